@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, line_dedup, mixing, sharding
+from tessera.llm import chat_format, language_id, line_dedup, minhash, mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_mixing": mixing.op5_mixing,
+    "op8_minhash": minhash.op8_minhash,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 SQL = {
