@@ -251,6 +251,23 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     return placed.unionByName(alone).select(F.col("id").alias(key), "class_id", "component_id", (F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """df with one row for each near-duplicate component, that of the smallest key.
+
+    Rows repeated with the same key and text count once.  Rows with a null key or
+    a null text stay.  All columns of df stay, and no others come.
+    """
+    found = write_table(near_duplicates(df, key, text, **options), "minhash-kept")
+    gone = write_table(found.filter("not kept").select(F.col(key).alias("_tessera_id")).distinct(), "minhash-gone")
+    left = df.join(gone, F.col(key) == F.col("_tessera_id"), "left_anti")
+    repeated = write_table(found.filter("kept").groupBy(F.col(key).alias("_tessera_id")).count().filter("count > 1 and _tessera_id is not null").select("_tessera_id"), "minhash-repeated")
+    if repeated.isEmpty():
+        return left
+    same = F.col(key) == F.col("_tessera_id")
+    again = left.join(repeated, same, "left_semi")
+    return left.join(repeated, same, "left_anti").unionByName(again.filter(F.col(text).isNull())).unionByName(again.filter(F.col(text).isNotNull()).dropDuplicates([key, text]))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its exact copies and its near-duplicate component."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")

@@ -77,6 +77,29 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return boundary.select("source", F.col("prefix").alias("threshold"))
 
 
+def _keyed(df: DataFrame, key: str, source: str, text: str) -> dict[str, Column]:
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    return {"source": F.col(source), "size": word_count(F.col(text)), "hash": F.substring(digest, 1, LEVELS * LEVEL_DIGITS)}
+
+
+def mixing_plan(narrow: DataFrame, **targets) -> DataFrame:
+    """(_source, source_size, target, full, budget, threshold): one row for each source of rows (source, size, hash)."""
+    per_source = source_targets(narrow, **targets)
+    full = F.when(F.col("capped"), F.round(F.col("target") / F.col("source_size"))).otherwise(F.floor(F.col("target") / F.col("source_size")))
+    per_source = per_source.withColumn("full", F.when(F.col("source_size") > 0, full).otherwise(0).cast("long")).withColumn(
+        "budget", F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("target") - F.col("full") * F.col("source_size"))
+    )
+    per_source = write_table(per_source, "mixing-targets")
+    cuts = hash_thresholds(narrow.filter("size > 0"), per_source.filter("budget > 0").select("source", "budget"))
+    plan = per_source.join(cuts.select(F.struct("source").alias("_cut"), "threshold"), F.struct(per_source["source"].alias("source")) == F.col("_cut"), "left")
+    return write_table(plan.select(F.struct("source").alias("_source"), "source_size", "target", "full", "budget", "threshold"), "mixing-plan")
+
+
+def _copies(size: Column, hashed: Column) -> Column:
+    partial = (F.col("budget") > 0) & (F.col("threshold").isNull() | (hashed < F.col("threshold")))
+    return F.when(size > 0, F.col("full") + partial.cast("long")).otherwise(0).cast("long")
+
+
 def mix_sources(df: DataFrame, key: str, source: str, text: str, **targets) -> DataFrame:
     """(key, source, size, source_size, target, copies, taken) for every row of df.
 
@@ -88,28 +111,28 @@ def mix_sources(df: DataFrame, key: str, source: str, text: str, **targets) -> D
     sources form one source, null keys share one hash.  Rows with the same key
     and source go together.  The hash depends on the key alone, so reruns agree.
     """
-    narrow = df.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, LEVELS * LEVEL_DIGITS).alias("hash"),
-    )
-    narrow = write_table(narrow, "mixing-sizes")
-    per_source = source_targets(narrow, **targets)
-    full = F.when(F.col("capped"), F.round(F.col("target") / F.col("source_size"))).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    per_source = per_source.withColumn("full", F.when(F.col("source_size") > 0, full).otherwise(0).cast("long")).withColumn(
-        "budget", F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("target") - F.col("full") * F.col("source_size"))
-    )
-    per_source = write_table(per_source, "mixing-targets")  # one row for each source
-    cuts = hash_thresholds(narrow.filter("size > 0"), per_source.filter("budget > 0").select("source", "budget"))
-    plan = per_source.join(cuts.select(F.struct("source").alias("_cut"), "threshold"), F.struct(per_source["source"].alias("source")) == F.col("_cut"), "left")
-    plan = write_table(plan.select(F.struct("source").alias("_source"), "source_size", "target", "full", "budget", "threshold"), "mixing-plan")
+    narrow = write_table(df.select(F.col(key).alias("key"), *[c.alias(n) for n, c in _keyed(df, key, source, text).items()]), "mixing-sizes")
+    plan = mixing_plan(narrow, **targets)
     taken = narrow.join(plan, F.struct(narrow["source"].alias("source")) == F.col("_source"))
-    partial = (F.col("budget") > 0) & (F.col("threshold").isNull() | (F.col("hash") < F.col("threshold")))
-    copies = F.when(F.col("size") > 0, F.col("full") + partial.cast("long")).otherwise(0).cast("long")
-    return taken.withColumn("copies", copies).select(
+    return taken.withColumn("copies", _copies(F.col("size"), F.col("hash"))).select(
         F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def take_mix(df: DataFrame, key: str, source: str, text: str, **targets) -> DataFrame:
+    """The mix itself: every row of df as often as mix_sources says, with df's columns.
+
+    Texts are not shuffled while the plan, one row for each source, is small
+    enough for Spark to broadcast.
+    """
+    keyed = _keyed(df, key, source, text)
+    narrow = write_table(df.select(*[c.alias(n) for n, c in keyed.items()]), "mixing-sizes")
+    plan = mixing_plan(narrow, **targets)
+    joined = df.join(plan, F.struct(F.col(source).alias("source")) == F.col("_source"))
+    times = F.array_repeat(F.lit(0), _copies(keyed["size"], keyed["hash"]).cast("int"))
+    return joined.withColumn("_tessera_copy", F.explode(times)).select(*[f"`{c}`" for c in df.columns])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed with weights 3, 1, 2 in turn to 150 % of their words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

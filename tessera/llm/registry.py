@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, language_id, line_dedup, minhash, mixing, sharding
+from tessera.llm import chat_format, language_id, line_dedup, minhash, mixing, pieces, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op8_minhash": minhash.op8_minhash,
     "op9_language_id": language_id.op9_language_id,
+    "op10_pieces": pieces.op10_pieces,
 }
 
 SQL = {
