@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, language_id, line_dedup, minhash, mixing, pieces, sharding
+from tessera.llm import chat_format, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_mixing": mixing.op5_mixing,
+    "op6_nn_descent": nn_descent.op6_nn_descent,
+    "op7_mtree": mtree.op7_mtree,
     "op8_minhash": minhash.op8_minhash,
     "op9_language_id": language_id.op9_language_id,
     "op10_pieces": pieces.op10_pieces,
@@ -18,4 +20,6 @@ SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_chat_formatting": chat_format.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_nn_descent": nn_descent.OP6_SQL,
+    "op7_mtree": mtree.OP7_SQL,
 }
