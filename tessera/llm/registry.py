@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, sharding
+from tessera.llm import chat_format, katz, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_katz": katz.op2_katz,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_mixing": mixing.op5_mixing,
