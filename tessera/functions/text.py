@@ -90,7 +90,7 @@ def code_signature(source: Column, name: Column) -> Column:
 
 def wordy_signature(source: Column, name: Column) -> Column:
     """The lines from `function <name>` (else the first function) up to `begin`, joined by bars."""
-    lines = F.transform(F.split(source, r"\R"), F.trim)
+    lines = F.transform(F.split(source, r"\R"), lambda x: F.trim(x))
     exact = F.array_position(lines, F.concat(F.lit("function "), name))
     any_at = F.array_position(F.transform(lines, lambda x: x.startswith("function ")), F.lit(True))
     start = F.when(exact > 0, exact).otherwise(any_at).cast("int")
