@@ -42,7 +42,10 @@ def usable(vector: Column) -> Column:
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    """Vectors of length 1; shorter ones are filled up with zeros, which leaves cosines as they are."""
+    sizes = vectors.map(len).to_numpy()
+    x = np.zeros((len(vectors), sizes.max()))
+    x[np.arange(x.shape[1]) < sizes[:, None]] = np.concatenate(vectors.to_numpy())
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
