@@ -28,6 +28,7 @@ from tessera.llm.wordarrays import mix64, span_hashes, text_chunks
 
 MODEL_PATH = os.environ.get("PIECE_MODEL_PATH", "/opt/tokenizers/piece_bpe_32k.model")
 CACHE_WORDS = 400_000  # words that a worker remembers; older ones go all at once
+ARROW_ROWS = 500
 BATCH_CELLS = 1 << 19  # (word, position, length) cells examined at a time
 
 _MARK = 0x2581  # stands for a space in pieces
@@ -307,12 +308,22 @@ def decode_column(spark: SparkSession, model: PieceModel, ids: Column) -> Column
 def encode_decode(df: DataFrame, text: str, model_path: str = MODEL_PATH) -> DataFrame:
     """df with piece_ids, n_pieces and round_trip (the ids decode to exactly the text).
 
-    All other columns stay.  Null texts have null ids and a null round_trip.
+    All other columns stay, but for ones of these names.  Null texts have null ids
+    and a null round_trip.  Texts are encoded and decoded in one pass, in Arrow
+    batches of ARROW_ROWS rows, so that a worker's memory stays bounded.
     """
-    spark, model = df.sparkSession, PieceModel(model_path)
-    ids = df.withColumn("piece_ids", encode_column(spark, model, F.col(text)))
-    back = ids.withColumn("_tessera_text", decode_column(spark, model, F.col("piece_ids")))
-    return back.withColumn("n_pieces", F.size("piece_ids").cast("long")).withColumn("round_trip", F.col("_tessera_text") == F.col(text)).drop("_tessera_text")
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast(PieceModel(model_path))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+    @F.arrow_udf("struct<ids: array<int>, same: boolean>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = sent.value.encode(texts)
+        return pa.StructArray.from_arrays([ids, pc.equal(sent.value.decode(ids), texts.cast(pa.string()))], ["ids", "same"])
+
+    done = df.withColumn("_tessera_pieces", both.asNondeterministic()(F.col(text)))
+    new = {"piece_ids": F.col("_tessera_pieces.ids"), "n_pieces": F.size("_tessera_pieces.ids").cast("long"), "round_trip": F.col("_tessera_pieces.same")}
+    return done.select(*[f"`{c}`" for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
