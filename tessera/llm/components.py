@@ -23,7 +23,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _digest(links: DataFrame) -> tuple:
@@ -40,7 +40,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = write_table(now, "links")
     before = _digest(now)
     while before[0]:
-        now = write_table(_star(_star(now, large=True), large=False), "links")
+        now = write_table(_star(_star(now, large=True), large=False).distinct(), "links")
         after = _digest(now)
         if after == before:
             break

@@ -48,7 +48,8 @@ def pack(x: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     used = data[0]
-    raw = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(used, -1)
+    raw = np.frombuffer(zlib.decompress(data[1:]), np.uint8)
+    raw = raw.reshape(used, len(raw) // used)
     planes = np.zeros((raw.shape[1], 8), np.uint8)
     planes[:, :used] = raw.T
     return planes.view("<u8").ravel()

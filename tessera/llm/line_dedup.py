@@ -51,7 +51,8 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX
     pages, and at least min_pages, contain it.  Lines are compared without outer
     spaces; the lines that stay keep their spaces and order.  A text whose lines
     all go becomes empty; null texts stay null, with 0 lines dropped.  Null hosts
-    form one host.  An empty table stays empty.  All columns of df stay.
+    form one host.  An empty table stays empty.  All columns of df stay, but for
+    an n_lines_dropped of its own.
     """
     flagged = (
         site_boilerplate(df, host, text, max_share, min_pages)
@@ -69,7 +70,7 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX
         hit.withColumn("_tessera_kept", F.when(~none, kept))
         .withColumn("n_lines_dropped", F.when(none, F.lit(0)).otherwise(F.size(_lines(F.col(text))) - F.size("_tessera_kept")).cast("long"))
         .withColumn(text, F.when(none, F.col(text)).otherwise(F.array_join("_tessera_kept", "\n")))
-        .select(*[f"`{c}`" for c in df.columns], "n_lines_dropped")
+        .select(*[f"`{c}`" for c in df.columns if c != "n_lines_dropped"], "n_lines_dropped")
     )
 
 

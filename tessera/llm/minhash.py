@@ -8,10 +8,11 @@ that depends on the total weight cannot matter once all registers are filled, so
 almost every shingle stops after its first.
 
 Equal texts form a class first, and only classes are compared.  Classes that
-agree in a band are candidates: the smallest id of a band's bucket is compared
-with all others there, round after round among those not yet connected, so that
-work stays linear in the size of a bucket; what remains after that is compared in
-blocks, without writing out its pairs.  Every link is verified on the whole texts.
+agree in a band are candidates: a leader of a band's bucket, the member that shares
+the most buckets with others, is compared with all others there, then a leader of
+those that were not like the first, so that work stays linear in a bucket's size;
+members whose components still differ after that are compared block against
+block, and only links come out.  Every link is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -32,7 +33,7 @@ SHINGLE = 5
 BANDS = 20
 BAND_ROWS = 5
 THRESHOLD = 0.8
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 BLOCK = 512  # bucket members in one block of the last round
 _SURE = 5.0  # e**-5 of the texts need a second look with a later bound
 
@@ -149,22 +150,24 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return keyed.mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>")
 
 
+def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted shingle hashes, counts) of each text."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, n, row, value, count in shingles(texts):
+        cuts = np.searchsorted(row, np.arange(1, n))
+        out += zip(np.split(value, cuts), np.split(count, cuts), strict=True)
+    return out
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts' probability Jaccard is at least the threshold."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
-    def sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, n, row, value, count in shingles(texts):
-            cuts = np.searchsorted(row, np.arange(1, n))
-            out += zip(np.split(value, cuts), np.split(count, cuts), strict=True)
-        return out
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                similar = [probability_jaccard(x, y) for x, y in zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True)]
+                similar = [probability_jaccard(x, y) for x, y in zip(_sets(part.column("text_a")), _sets(part.column("text_b")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similar, pa.float64())], ["a", "b", "similarity"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
@@ -177,26 +180,61 @@ def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
 
 
-def _block_pairs(open_members: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Pairs of a bucket from different components, found block against block.
+def _block_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of a bucket's members (bucket, id, comp, text) between different components.
 
-    Each member goes to a row block and meets the blocks up to its own; a task
-    holds two blocks of about BLOCK members at a time and emits only pairs of
-    different components.
+    Blocks of about BLOCK members meet in pairs, two in a task.  For each text a
+    bound from above of its similarity to all others of the other block is
+    computed at once; what is left is verified.  Components that have met once
+    within a task are not compared there again.
     """
-    sizes = open_members.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    dealt = open_members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("bucket", "id", "comp", "block", meets).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
+    carried = ["bucket", "id", "comp", "block", "text"]
+    cells = dealt.select(*carried, meets).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *carried)
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        differ = left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-        x, y = np.nonzero(differ)
-        a, b = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        out: list[tuple[int, int]] = []
+        if left.empty or right.empty:
+            return pd.DataFrame(out, columns=["a", "b"])
+        x, y = (_sets(pa.array(p["text"], pa.string())) for p in (left, right))
+        known = np.unique(np.concatenate([v for v, _ in x]))
+        values, weights = (np.concatenate([s[k] for s in y]) for k in (0, 1))
+        starts = np.cumsum([0] + [len(v) for v, _ in y[:-1]])
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        at[known[at] != values] = len(known)  # a place that stays zero
+        totals = np.add.reduceat(weights, starts).astype(float)
+        owner = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(values))))
+        root = {c: c for c in pdf["comp"].unique()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        own, comp_y = np.zeros(len(known) + 1, np.int64), right["comp"].to_numpy()
+        for (v, w), id_x, comp in zip(x, left["id"], left["comp"], strict=True):
+            place = np.searchsorted(known, v)
+            own[place] = w
+            here = np.flatnonzero(own[at])
+            of, wx, wy = owner[here], own[at[here]].astype(float), weights[here].astype(float)
+            own[place] = 0
+            total = float(w.sum())
+            only_x = total - np.bincount(of, wx, len(y))
+            only_y = totals - np.bincount(of, wy, len(y))
+            # Each maximum is at least either of its sides; exact where all counts are equal.
+            terms = np.minimum(wx / (total + only_y[of] * wx / wy), wy / (totals[of] + only_x[of] * wy / wx))
+            bound = np.bincount(of, terms, len(y))
+            for k in np.flatnonzero((bound >= threshold - 1e-9) & (comp_y != comp)):
+                one, two = find(comp), find(comp_y[k])
+                if one != two and probability_jaccard((v, w), y[k]) >= threshold:
+                    root[max(one, two)] = min(one, two)
+                    out.append((id_x, right["id"].iloc[k]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return cells.groupBy("bucket", "i", "j").applyInPandas(cross, "a long, b long").distinct()
 
@@ -215,33 +253,37 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     signed = write_table(_signed(docs.filter("text is not null and id is not null"), bands, band_rows), "minhash-signed")
     classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"))
     buckets = classes.filter("bands is not null").select(F.col("class_id").alias("id"), F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
-    members = write_table(buckets.join(shared.select("bucket"), "bucket"), "minhash-members")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # The text that most others were copied from shares the most buckets.
+    central = F.sum("n").over(Window.partitionBy("id"))  # a row for each band at most
+    members = write_table(buckets.join(shared, "bucket").select("bucket", "id", central.alias("central")), "minhash-members")
     texts = docs.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = write_table(texts, "minhash-texts")
 
     links, compared, comps = None, None, None
-    for number in range(STAR_ROUNDS + 1):
-        now = _labelled(members, comps)
-        spread = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-        now = write_table(now.join(spread, "bucket"), "minhash-open")  # buckets that hold several components
-        if now.isEmpty():
-            break
-        if number < STAR_ROUNDS:
-            # Leaders change from round to round: the smallest id of the component
-            # that comes first in an order that the round's number decides.
-            first = F.min(F.struct(F.xxhash64("comp", F.lit(number)).alias("o") if number else F.col("comp").alias("o"), "id", "comp"))
-            leaders = now.groupBy("bucket").agg(first.alias("f")).select("bucket", F.col("f.id").alias("leader"), F.col("f.comp").alias("leader_comp"))
-            pairs = now.join(leaders, "bucket").filter("comp <> leader_comp").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        else:
-            pairs = _block_pairs(now, bands, band_rows)
+    waiting = members  # (bucket, id) not yet linked to a leader of the bucket
+    for _ in range(STAR_ROUNDS):
+        leaders = write_table(waiting.groupBy("bucket").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("leader")), "minhash-leaders")
+        pairs = members.join(leaders, "bucket").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = write_table(pairs, "minhash-pairs")
         compared = pairs if compared is None else compared.union(pairs)
         found = write_table(_verify(pairs, texts, threshold), "minhash-links")
         links = found if links is None else links.union(found)
+        led = waiting.join(leaders, "bucket").filter("id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")})
+        waiting = write_table(led.join(links.select("a", "b"), ["a", "b"], "left_anti").select("bucket", "id", "central"), "minhash-waiting")
+        if waiting.isEmpty():
+            break
+    if links is not None:
         comps = write_table(components(links, "a", "b"), "minhash-components")
+        # Up to three members have all been compared; of more, those from
+        # different components may still be alike without either being a leader.
+        spread = _labelled(members, comps)
+        parted = spread.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 3").select("bucket")
+        found = write_table(_block_links(spread.join(parted, "bucket").join(texts, "id"), threshold), "minhash-links")
+        if not found.isEmpty():
+            comps = write_table(components(links.select("a", "b").union(found), "a", "b"), "minhash-components")
 
     keys = signed.select("id", "k1", "k2").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select("id", "class_id")
     placed = keys if comps is None else keys.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")

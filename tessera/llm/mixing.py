@@ -95,9 +95,10 @@ def mixing_plan(narrow: DataFrame, **targets) -> DataFrame:
     return write_table(plan.select(F.struct("source").alias("_source"), "source_size", "target", "full", "budget", "threshold"), "mixing-plan")
 
 
-def _copies(size: Column, hashed: Column) -> Column:
-    partial = (F.col("budget") > 0) & (F.col("threshold").isNull() | (hashed < F.col("threshold")))
-    return F.when(size > 0, F.col("full") + partial.cast("long")).otherwise(0).cast("long")
+def _copies(size: Column, hashed: Column, plan: str = "") -> Column:
+    full, budget, threshold = (F.col(plan + c) for c in ("full", "budget", "threshold"))
+    partial = (budget > 0) & (threshold.isNull() | (hashed < threshold))
+    return F.when(size > 0, full + partial.cast("long")).otherwise(0).cast("long")
 
 
 def mix_sources(df: DataFrame, key: str, source: str, text: str, **targets) -> DataFrame:
@@ -128,8 +129,9 @@ def take_mix(df: DataFrame, key: str, source: str, text: str, **targets) -> Data
     keyed = _keyed(df, key, source, text)
     narrow = write_table(df.select(*[c.alias(n) for n, c in keyed.items()]), "mixing-sizes")
     plan = mixing_plan(narrow, **targets)
-    joined = df.join(plan, F.struct(F.col(source).alias("source")) == F.col("_source"))
-    times = F.array_repeat(F.lit(0), _copies(keyed["size"], keyed["hash"]).cast("int"))
+    plan = plan.select(F.struct("_source", "full", "budget", "threshold").alias("_tessera_plan"))
+    joined = df.join(plan, F.struct(F.col(source).alias("source")) == F.col("_tessera_plan._source"))
+    times = F.array_repeat(F.lit(0), _copies(keyed["size"], keyed["hash"], "_tessera_plan.").cast("int"))
     return joined.withColumn("_tessera_copy", F.explode(times)).select(*[f"`{c}`" for c in df.columns])
 
 
