@@ -33,6 +33,7 @@ def _rules(text: Column, *rules: tuple[str, tuple[str, ...]]) -> Column:
     return out
 
 
+# The messages of compilers and converters that these rules look for.
 _BUILD_RULES = (
     ("name_resolution", ("expected value, found crate",)),
     ("name_resolution", ("cannot find",)),
