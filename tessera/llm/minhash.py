@@ -34,6 +34,7 @@ BANDS = 20
 BAND_ROWS = 5
 THRESHOLD = 0.8
 STAR_ROUNDS = 2
+BROADCAST_IDS = 1_000_000  # so many ids (8 MB) at most are broadcast to pick out texts; more are joined by shuffling
 BLOCK = 512  # bucket members in one block of the last round
 _SURE = 5.0  # e**-5 of the texts need a second look with a later bound
 
@@ -239,6 +240,12 @@ def _block_links(members: DataFrame, threshold: float) -> DataFrame:
     return cells.groupBy("bucket", "i", "j").applyInPandas(cross, "a long, b long").distinct()
 
 
+def _ids(ids: DataFrame, name: str) -> DataFrame:
+    """Distinct ids as a table, marked for broadcasting if they are few."""
+    table = write_table(ids.distinct(), name)
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """(key, class_id, component_id, kept), one row for each row of df.
 
@@ -257,7 +264,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     # The text that most others were copied from shares the most buckets.
     central = F.sum("n").over(Window.partitionBy("id"))  # a row for each band at most
     members = write_table(buckets.join(shared, "bucket").select("bucket", "id", central.alias("central")), "minhash-members")
-    texts = docs.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.join(_ids(members.select("id"), "minhash-ids"), "id", "left_semi").dropDuplicates(["id"])
     texts = write_table(texts, "minhash-texts")
 
     links, compared, comps = None, None, None
@@ -300,7 +307,7 @@ def drop_near_duplicates(df: DataFrame, key: str, text: str, **options) -> DataF
     a null text stay.  All columns of df stay, and no others come.
     """
     found = write_table(near_duplicates(df, key, text, **options), "minhash-kept")
-    gone = write_table(found.filter("not kept").select(F.col(key).alias("_tessera_id")).distinct(), "minhash-gone")
+    gone = _ids(found.filter("not kept").select(F.col(key).alias("_tessera_id")), "minhash-gone")
     left = df.join(gone, F.col(key) == F.col("_tessera_id"), "left_anti")
     repeated = write_table(found.filter("kept").groupBy(F.col(key).alias("_tessera_id")).count().filter("count > 1 and _tessera_id is not null").select("_tessera_id"), "minhash-repeated")
     if repeated.isEmpty():
