@@ -31,6 +31,7 @@ TOP = 5
 QUERY_EVERY = 50
 PAGE = 512  # vectors of a leaf
 FANOUT = 24  # children of a node
+LEVELS = 12  # of nodes that are dealt to children; node numbers stay below 2**63
 QUERY_BLOCK = 1024  # queries that meet a leaf at a time
 SLACK = 1e-6  # relative to M
 
@@ -71,20 +72,24 @@ def _grow(points: DataFrame, dim: int, top: float) -> tuple[DataFrame, list[Data
     """
     now = points.withColumn("node", F.lit(1).cast("long")).withColumn("away", F.lit(0.0))
     done, levels = None, []
-    for level in range(12):
-        sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("vec")).alias("kinds"))
-        large = write_table(sizes.filter((F.col("n") > PAGE) & (F.col("kinds") > 1)).select("node", "n"), "mtree-large")
-        small = now.join(large, "node", "left_anti")
-        done = small if done is None else done.unionByName(small)
-        if large.isEmpty():
-            break
+    for level in range(LEVELS):
+        drawn = F.xxhash64("vec", F.lit(level))
+        sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct(drawn).alias("kinds"))
+        large = write_table(sizes.filter((F.col("n") > PAGE) & (F.col("kinds") > 1)).select("node", "kinds"), "mtree-large")
         # The children's centres: the node's vectors with the smallest hashes, all different.
+        # Copies share a hash, so the rate is of the different vectors, not of the rows.
         inside = now.join(large, "node")
-        likely = F.pmod(F.xxhash64("vec", F.lit(level)), F.lit(1 << 30)) < F.lit(8.0 * FANOUT) / F.col("n") * F.lit(1 << 30)
+        likely = F.pmod(drawn, F.lit(1 << 30)) < F.lit(8.0 * FANOUT) / F.col("kinds") * F.lit(1 << 30)
         order = Window.partitionBy("node").orderBy("h", "vec")
-        few = inside.filter(likely | (F.col("n") <= 8 * PAGE)).select("node", "vec", F.xxhash64("vec", F.lit(level)).alias("h")).distinct()
+        few = inside.filter(likely | (F.col("kinds") <= 8 * PAGE)).select("node", "vec", drawn.alias("h")).distinct()
         centres = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FANOUT).groupBy("node").agg(F.collect_list("vec").alias("centres"))
-        centres = write_table(centres, "mtree-centres")
+        centres = write_table(centres.filter(F.size("centres") > 1), "mtree-centres")
+        # A node without two centres is a leaf, whatever its size.
+        small = now.join(centres, "node", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        if centres.isEmpty():
+            now = now.limit(0)
+            break
 
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -94,12 +99,17 @@ def _grow(points: DataFrame, dim: int, top: float) -> tuple[DataFrame, list[Data
                     pick = far.argmin(1)
                     yield pd.DataFrame({"uid": part["uid"], "id": part["id"], "vec": part["vec"], "node": node * _CHILD + pick, "away": far[np.arange(len(pick)), pick]})
 
-        dealt = inside.join(centres, "node").select("uid", "id", "vec", "node", "centres").mapInPandas(deal, "uid long, id long, vec array<long>, node long, away double")
+        dealt = now.join(centres, "node").select("uid", "id", "vec", "node", "centres").mapInPandas(deal, "uid long, id long, vec array<long>, node long, away double")
         now = write_table(dealt, "mtree-level")
         reach = now.groupBy("node").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
         centre = centres.select(F.col("node").alias("parent"), F.posexplode("centres").alias("place", "centre")).withColumn("node", F.col("parent") * _CHILD + F.col("place"))
         levels.append(write_table(reach.join(centre, "node").select("node", "parent", "centre", "radius", "n"), "mtree-nodes"))
-    return write_table(done.unionByName(now.limit(0)), "mtree-leaves"), levels
+    # What is still large after the last level stays as it is.
+    leaves = write_table(done.unionByName(now), "mtree-leaves")
+    held, given = leaves.count(), points.count()
+    if held != given:
+        raise AssertionError(f"leaves hold {held} of {given} vectors")
+    return leaves, levels
 
 
 def _reach(level: DataFrame, frontier: DataFrame, dim: int, top: float) -> DataFrame:

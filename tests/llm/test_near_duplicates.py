@@ -190,3 +190,39 @@ def test_products_through_several_levels(spark, monkeypatch):
         expected += [(i, r + 1, int(j), int(score[j])) for r, j in enumerate(order)]
     got = mtree.top_products(df, "vec_id", "embedding", F.col("vec_id") % 37 == 0).collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_products_among_many_copies(spark):
+    """More copies of one vector than a node deals at random, beside a few others."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((50, 4)), np.tile(rng.standard_normal(4), (10_000, 1))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = np.floor(256 * x.astype(float)).astype(int)
+    asked = [0, 7, 49, 50, 5000]
+    expected = []
+    for i in asked:
+        score = whole @ whole[i]
+        order = [j for j in np.lexsort((np.arange(len(x)), -score)) if j != i][:5]
+        expected += [(i, r + 1, int(j), int(score[j])) for r, j in enumerate(order)]
+    got = top_products(df, "vec_id", "embedding", F.col("vec_id").isin(asked)).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+@pytest.mark.parametrize("level_count", [1, 2])
+def test_products_when_levels_run_out(spark, monkeypatch, level_count):
+    """Nodes that are still large after the last level are leaves."""
+    from tessera.llm import mtree
+
+    monkeypatch.setattr(mtree, "PAGE", 20)
+    monkeypatch.setattr(mtree, "FANOUT", 2)
+    monkeypatch.setattr(mtree, "LEVELS", level_count)
+    x = np.random.default_rng(6).standard_normal((200, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = np.floor(256 * x.astype(float)).astype(int)
+    expected = []
+    for i in (0, 100):
+        score = whole @ whole[i]
+        order = [j for j in np.lexsort((np.arange(200), -score)) if j != i][:5]
+        expected += [(i, r + 1, int(j), int(score[j])) for r, j in enumerate(order)]
+    got = mtree.top_products(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
