@@ -5,10 +5,12 @@ vertex starts with the nearest others of a few random-projection blocks.  Then
 each round brings the neighbours of every vertex, in both directions, together in
 one cell, compares them with each other, and keeps for each vertex the best it
 has seen.  Where all kept neighbours are links, the list is saturated and may have
-lost some; the lists of such a component are enlarged to the whole component,
-counted block against block without writing pairs out.  At last a sample is
-compared with all vectors; if too few of its links were found, the search starts
-again with longer lists.
+lost some: the members of such a component are compared with each other, block
+against block, and with all other vectors of the label that the triangle
+inequality does not rule out; links are counted without writing pairs out.  At
+last a sample is compared with all vectors; if too few of its links were found,
+the search goes on with other planes and longer lists, and after the last try
+everything is compared.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ CELLS = 64  # cells that one group of a round holds, on average
 AUDIT = 200  # vectors, in expectation, that are compared with all
 TARGET_RECALL = 0.97
 TRIES = 3
+SPLITS = 4  # times that a block that is too large is parted by further planes
+HELD = 32768  # vectors that every task compares with its own at a time, on average
+SLACK = 1e-6  # of angles, for rounding
 
 
 def usable(vector: Column) -> Column:
@@ -67,17 +72,43 @@ def _top_lists(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
-def _start(vectors: DataFrame, sizes: dict, k: int, threshold: float) -> DataFrame:
+def _split(blocks: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
+    """Blocks that are too large, parted by planes through the mean of a sample of each."""
+    keys = ["grp", "repeat", "code"]
+    inside = blocks.join(counts, keys)
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[keys].head(1).copy()
+        at["mean"] = [unit_rows(pdf["vec"]).mean(0)]
+        return at
+
+    few = inside.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(float(BLOCK << 20)) / F.col("n"))
+    means = few.select(*keys, "vec").groupBy(*keys).applyInPandas(mean, "grp long, repeat int, code long, mean array<double>")
+
+    def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (repeat, n, size), part in pdf.groupby(["repeat", "n", pdf["vec"].map(len)]):
+                planes = math.ceil(math.log2(n / BLOCK))
+                normal = np.random.default_rng([seed, repeat]).standard_normal((size, planes))
+                far = unit_rows(part["vec"]) - np.stack(part["mean"].to_numpy())
+                yield pd.DataFrame({"grp": part["grp"], "repeat": part["repeat"], "code": part["code"], "side": ((far @ normal) > 0) @ (1 << np.arange(planes)), "id": part["id"], "vec": part["vec"]})
+
+    parted = inside.join(means, keys).mapInPandas(sides, "grp long, repeat int, code long, side long, id long, vec array<float>")
+    return parted.select("grp", "repeat", F.xxhash64("code", "side", F.lit(seed)).alias("code"), "id", "vec")
+
+
+def _start(vectors: DataFrame, sizes: dict, k: int, threshold: float, attempt: int = 0) -> DataFrame:
     """Lists from blocks: vectors of a label that lie on the same sides of random planes.
 
     The number of planes follows from the label's size, the number of repeats from
     how likely a pair at the threshold is to be parted.  A block larger than BLOCK
-    is dealt into parts.
+    is parted by further planes; only what these cannot part is dealt at random.
+    Each attempt has other planes, and twice the repeats of the one before.
     """
     largest = max(sizes.values())
     planes = max(0, math.ceil(math.log2(max(1, largest / BLOCK))))
-    together = (1 - math.acos(threshold) / math.pi) ** planes
-    repeats = 1 if planes == 0 else math.ceil(math.log(MISS) / math.log1p(-together))
+    together = (1 - math.acos(threshold) / math.pi) ** (planes + 1)
+    repeats = 1 if planes == 0 else math.ceil(math.log(MISS) / math.log1p(-together)) << attempt
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -85,14 +116,24 @@ def _start(vectors: DataFrame, sizes: dict, k: int, threshold: float) -> DataFra
                 continue
             x = unit_rows(pdf["vec"])
             for number in range(repeats):
-                normal = np.random.default_rng(1000 + number).standard_normal((x.shape[1], planes))
+                normal = np.random.default_rng(1000 * (attempt + 1) + number).standard_normal((x.shape[1], planes))
                 code = ((x @ normal) > 0) @ (1 << np.arange(planes)) if planes else np.zeros(len(x), np.int64)
                 yield pd.DataFrame({"grp": pdf["grp"], "repeat": np.int32(number), "code": code.astype(np.int64), "id": pdf["id"], "vec": pdf["vec"]})
 
+    keys = ["grp", "repeat", "code"]
     coded = vectors.select("grp", "id", "vec").mapInPandas(sides, "grp long, repeat int, code long, id long, vec array<float>")
-    coded = write_table(coded, "descent-blocks")
-    counts = coded.groupBy("grp", "repeat", "code").agg(F.count("*").alias("n"))
-    dealt = coded.join(counts, ["grp", "repeat", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "repeat"), F.ceil(F.col("n") / BLOCK)))
+    coded, ready = write_table(coded, "descent-blocks"), None
+    for split in range(SPLITS):
+        large = write_table(coded.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "descent-large")
+        small = coded.join(large, keys, "left_anti")
+        ready = small if ready is None else ready.unionByName(small)
+        if large.isEmpty():
+            coded = coded.limit(0)
+            break
+        coded = write_table(_split(coded, large, 100 * attempt + split), "descent-blocks")
+    coded = ready.unionByName(coded)
+    counts = coded.groupBy(*keys).agg(F.count("*").alias("n"))
+    dealt = coded.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("id", "repeat", F.lit(attempt)), F.ceil(F.col("n") / BLOCK)))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = unit_rows(pdf["vec"]), pdf["id"].to_numpy()
@@ -158,10 +199,70 @@ def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
     return cells.groupBy("component_id", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _across(vectors: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of open components and the vectors outside their component.
+
+    vectors has (id, grp, copies, vec, component_id, open), members those of open
+    components.  Gives (id, links) for both ends, and (a, b) for components that a
+    link joins.  Members come to all tasks, about HELD at a time, in units of one
+    component; a unit meets the vectors within its radius and the threshold's angle.
+    """
+    sizes = members.groupBy("component_id").agg(F.count("*").alias("n"))
+    units = members.join(sizes, "component_id").withColumn("unit", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    chunks = max(1, math.ceil(members.count() / HELD))
+    units = write_table(units.withColumn("chunk", F.pmod(F.xxhash64("component_id", "unit"), F.lit(chunks))), "descent-units")
+    found = None
+    for chunk in range(chunks):
+        held = units.filter(F.col("chunk") == chunk).select("grp", "component_id", "unit", "id", "copies", "vec").toPandas()
+        sides = {}
+        for g, part in held.groupby("grp"):
+            parts = [(u["component_id"].iloc[0], u["id"].to_numpy(), u["copies"].to_numpy(), unit_rows(u["vec"])) for _, u in part.groupby(["component_id", "unit"])]
+            centres = np.stack([x.mean(0) for *_, x in parts])
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+            reach = [np.arccos(np.clip(x @ c, -1, 1)).max() for (*_, x), c in zip(parts, centres)]
+            sides[g] = (centres, np.cos(np.minimum(np.array(reach) + math.acos(threshold) + SLACK, math.pi)) - SLACK, parts)
+
+        def compare(batches: Iterator[pd.DataFrame], sides: dict = sides) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for g, part in pdf.groupby("grp"):
+                    if g not in sides:
+                        continue
+                    centres, least, parts = sides[g]
+                    x, ids, own = unit_rows(part["vec"]), part["id"].to_numpy(), part["component_id"].to_numpy()
+                    copies, alone = part["copies"].to_numpy(), ~part["open"].to_numpy()
+                    links, ends, joined = np.zeros(len(ids), np.int64), [], []
+                    near = x @ centres.T >= least
+                    for at in np.flatnonzero(near.any(0)):
+                        component, others, weights, y = parts[at]
+                        rows = np.flatnonzero(near[:, at] & (own != component))
+                        if not len(rows):
+                            continue
+                        hit = x[rows] @ y.T >= threshold
+                        if not hit.any():
+                            continue
+                        links[rows] += hit @ weights
+                        back = (copies[rows] * alone[rows]) @ hit  # open vectors are held in their turn
+                        ends.append(pd.DataFrame({"id": others[back > 0], "links": back[back > 0], "a": None, "b": None}))
+                        joined += [(a, component) for a in np.unique(own[rows[hit.any(1)]])]
+                    yield pd.DataFrame({"id": ids[links > 0], "links": links[links > 0], "a": None, "b": None})
+                    yield from ends
+                    if joined:
+                        a, b = np.array(joined).T
+                        yield pd.DataFrame({"id": None, "links": None, "a": a, "b": b})
+
+        now = vectors.mapInPandas(compare, "id long, links long, a long, b long")
+        now = now.groupBy("id", "a", "b").agg(F.sum("links").alias("links"))
+        now = write_table(now, "descent-across")
+        found = now if found is None else found.unionByName(now)
+    return found
+
+
 def audit_recall(vectors: DataFrame, degrees: DataFrame, n: int, threshold: float) -> float:
     """Share of a sample's links that degrees (id, links) has, against a comparison with all vectors.
 
-    About AUDIT vectors, chosen by hash, go to every task.
+    About AUDIT vectors, chosen by hash, go to every task.  The share is that of all
+    links or the mean over the vectors that have any, whichever is smaller, so that
+    one large group does not hide the rest.
     """
     rate = min(1.0, AUDIT / max(n, 1))
     chosen = vectors.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("id", "grp", "vec").toPandas()
@@ -179,8 +280,9 @@ def audit_recall(vectors: DataFrame, degrees: DataFrame, n: int, threshold: floa
                     yield pd.DataFrame({"id": own, "links": near @ part["copies"].to_numpy()})
 
     true = vectors.select("id", "grp", "copies", "vec").mapInPandas(compare, "id long, links long").groupBy("id").agg(F.sum("links").alias("true_links"))
-    both = true.join(degrees, "id", "left").agg(F.sum("true_links").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return 1.0 if not both["t"] else (both["f"] or 0) / both["t"]
+    both = true.filter("true_links > 0").join(degrees, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    both = both.agg(F.sum("true_links").alias("t"), F.sum("links").alias("f"), F.avg(F.col("links") / F.col("true_links")).alias("each")).first()
+    return 1.0 if not both["t"] else min(both["f"] / both["t"], both["each"])
 
 
 def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -205,23 +307,34 @@ def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, thr
     if n == 0:
         return keyed.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
 
-    k = neighbours
-    for attempt in range(TRIES):
-        lists = write_table(_start(vectors, sizes, k, threshold), "descent-lists")
-        for _ in range(ROUNDS):
-            lists = write_table(_descend(lists, vectors, n, k), "descent-lists")
-        links = write_table(lists.filter(F.col("s") >= threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "descent-links")
-        comps = write_table(components(links, "a", "b"), "descent-components")
-        full = lists.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("has")).filter((F.col("has") >= k) & (F.col("low") >= threshold)).select(F.col("u").alias("id"))
-        open_comps = comps.join(full, "id").select("component_id").distinct()
-        inside = comps.join(open_comps, "component_id")
-        enlarged = _enlarged(inside.join(vectors, "id").select("component_id", "id", "copies", "vec"), threshold)
+    k, lists = neighbours, None
+    for attempt in range(TRIES + 1):
+        if attempt < TRIES:
+            begun = _start(vectors, sizes, k, threshold, attempt)
+            lists = write_table(begun if lists is None else _top_lists(begun.union(lists), k), "descent-lists")
+            for _ in range(ROUNDS):
+                lists = write_table(_descend(lists, vectors, n, k), "descent-lists")
+            links = write_table(lists.filter(F.col("s") >= threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "descent-links")
+            comps = write_table(components(links, "a", "b"), "descent-components")
+            full = lists.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("has")).filter((F.col("has") >= k) & (F.col("low") >= threshold)).select(F.col("u").alias("id"))
+            open_comps = comps.join(full, "id").select("component_id").distinct()
+        else:  # no try found enough: all are compared with all
+            open_comps = vectors.select("id").join(comps, "id", "left").select(F.coalesce("component_id", "id").alias("component_id")).distinct()
+        placed = vectors.select("id", "grp", "copies", "vec").join(comps, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        placed = write_table(placed.join(open_comps.withColumn("open", F.lit(True)), "component_id", "left").na.fill(False, ["open"]), "descent-placed")
+        inside = placed.filter("open")
+        enlarged = _enlarged(inside.select("component_id", "id", "copies", "vec"), threshold)
         ends = links.select(F.col("a").alias("id"), F.col("b").alias("o")).union(links.select(F.col("b"), F.col("a")))
         listed = ends.join(vectors.select(F.col("id").alias("o"), "copies"), "o").groupBy("id").agg(F.sum("copies").alias("links")).join(inside.select("id"), "id", "left_anti")
-        degrees = write_table(listed.unionByName(enlarged), "descent-degrees")
-        if attempt == TRIES - 1 or audit_recall(vectors, degrees, n, threshold) >= TARGET_RECALL:
+        across = _across(placed, inside, threshold)
+        counted = listed.unionByName(enlarged).unionByName(across.filter("id is not null").select("id", "links"))
+        degrees = write_table(counted.groupBy("id").agg(F.sum("links").alias("links")), "descent-degrees")
+        joined = components(across.filter("a is not null").select("a", "b"), "a", "b").select(F.col("id").alias("component_id"), F.col("component_id").alias("whole"))
+        whole = placed.select("id", "component_id").join(joined, "component_id", "left").select("id", F.coalesce("whole", "component_id").alias("component_id"))
+        if attempt == TRIES or audit_recall(vectors, degrees, n, threshold) >= TARGET_RECALL:
             break
         k *= 2
+    comps = whole
 
     known = vectors.select("grp", "k", "id", "copies").join(degrees, "id", "left").join(comps, "id", "left")
     known = known.select("grp", "k", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

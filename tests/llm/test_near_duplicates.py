@@ -159,6 +159,49 @@ def test_vectors_near(spark):
     assert near_duplicate_vectors(df.filter("false"), "vec_id", "embedding", "label").count() == 0
 
 
+def by_brute_force(x, labels, threshold=0.98):
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= threshold) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    sets = Sets(range(len(x)))
+    for a, b in zip(*np.nonzero(near)):
+        sets.join(int(a), int(b))
+    return [(i, int(near[i].sum()), sets.find(i)) for i in range(len(x))]
+
+
+def near_of(spark, x, labels):
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x.astype(np.float32), labels))], "vec_id long, embedding array<float>, label int")
+    return sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df, "vec_id", "embedding", "label").collect())
+
+
+def test_links_between_tight_groups(spark):
+    """Lists that are full of their own group's members still give the links to the next group."""
+    rng = np.random.default_rng(8)
+    axes = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+    angle = math.acos(0.985)
+    groups = [axes[0], math.cos(angle) * axes[0] + math.sin(angle) * axes[1], axes[2]]
+    x = np.concatenate([c + rng.standard_normal((60, 16)) * 0.003 for c in groups] + [axes[3:6]])
+    labels = np.zeros(len(x), int)
+    expected = by_brute_force(x, labels)
+    assert expected[0][1] > 80
+    assert near_of(spark, x, labels) == expected
+
+
+def test_everything_is_compared_when_no_try_finds_enough(spark, monkeypatch):
+    from tessera.llm import nn_descent
+
+    monkeypatch.setattr(nn_descent, "TARGET_RECALL", 2.0)
+    monkeypatch.setattr(nn_descent, "TRIES", 1)
+    monkeypatch.setattr(nn_descent, "BLOCK", 8)
+    monkeypatch.setattr(nn_descent, "ROUNDS", 0)
+    rng = np.random.default_rng(3)
+    lone = rng.standard_normal((60, 8)) * 0.3 + 1
+    x = np.concatenate([lone, lone[:20] + rng.standard_normal((20, 8)) * 0.01])
+    labels = np.arange(len(x)) % 2
+    assert near_of(spark, x, labels) == by_brute_force(x, labels)
+
+
 def test_products(spark):
     rows = odd_vectors()
     df = spark.createDataFrame(rows, VECTORS)
