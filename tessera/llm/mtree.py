@@ -5,18 +5,24 @@ extra coordinate sqrt(M**2 - |x|**2), a query q gets 0, and then
 |q - x|**2 = |q|**2 + M**2 - 2 q.x, so the nearest vectors have the largest
 products.  The tree is grown level by level: the vectors of a node that is too
 large are dealt to the nearest of a few of its own vectors, which become the
-centres of its children.  A node keeps its centre and covering radius, a vector its
-distance from its leaf's centre.
-
-Every query looks first into its most promising leaf, which gives it a score to
-beat.  After that it descends the tree: children whose ball cannot reach that score
-are left out with all below them, and in the leaves that remain the stored
-distances rule vectors out by the triangle inequality before any product is
-computed.  Bounds carry a slack for rounding; scores are whole numbers.
+centres of its children.  A node keeps its centre, its covering radius and its
+distance from its parent's centre, a vector its distance from its leaf's centre.
+
+Queries go through the tree in blocks, so that a frontier has a row for each block
+and node with the queries that still hope for something there, not one for each
+query.  A query first searches the leaf it lies in itself, which gives it a score
+to beat.  Children whose stored distance from the parent's centre already rules
+them out cost no distance computation; those whose ball cannot reach the score are
+left out with all below them.  The leaves that remain are read most promising
+first, in waves that grow; after each wave the scores to beat are higher, and
+leaves that cannot reach them any more are not read.  In a leaf the stored
+distances rule vectors out before any product is computed.  Bounds carry a slack
+for rounding; scores are whole numbers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,11 @@ QUERY_EVERY = 50
 PAGE = 512  # vectors of a leaf
 FANOUT = 24  # children of a node
 LEVELS = 12  # of nodes that are dealt to children; node numbers stay below 2**63
-QUERY_BLOCK = 1024  # queries that meet a leaf at a time
+DEALT = 8192  # vectors that are dealt in one group
+QUERY_BLOCK = 1024  # queries that go through the tree together, on average
+NODES = 64  # nodes that a block opens in one group, on average
+PAGES = 16  # pages that a block reads in one group, on average
+WAVES = (4, 32)  # leaves that a block has read after each wave but the last
 SLACK = 1e-6  # relative to M
 
 _CHILD = 1 << 5  # child numbers fit below this
@@ -58,31 +68,43 @@ def _lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x.astype(float), rest[:, None]], 1)
 
 
+def _flat(q: np.ndarray) -> np.ndarray:
+    """Queries, whose extra coordinate is 0."""
+    return np.concatenate([q.astype(float), np.zeros((len(q), 1))], 1)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     return np.sqrt(np.maximum(square, 0))
 
 
-def _grow(points: DataFrame, dim: int, top: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Leaves (node, uid, id, vec, away) and the levels' nodes (node, parent, centre, radius, n).
+def _promise(q: np.ndarray, least: np.ndarray, top: float) -> np.ndarray:
+    """A bound of the products of each query with vectors at least that far away."""
+    near = np.maximum(least - SLACK * np.sqrt(top), 0)
+    return ((q * q).sum(1)[:, None] + top - near * near) / 2 + SLACK * top
+
 
-    A node's number is its parent's times 32 plus its own place; the root is 1.
-    Vectors that are all alike cannot be parted by distance; they stay one node,
-    and its leaf is read in pages.
+def _grow(points: DataFrame, dim: int, top: float) -> tuple[DataFrame, DataFrame | None, int]:
+    """Leaves (node, depth, uid, id, vec, asks, away), nodes (node, parent, centre, radius, apart, leaf) and the depth.
+
+    A node's number is its parent's times 32 plus its own place; the root is 1 and
+    is no row of the nodes.  Vectors that are all alike cannot be parted by
+    distance; they stay one node, and a leaf of any size is read in pages.
     """
-    now = points.withColumn("node", F.lit(1).cast("long")).withColumn("away", F.lit(0.0))
-    done, levels = None, []
+    now = points.withColumns({"node": F.lit(1).cast("long"), "depth": F.lit(0), "away": F.lit(0.0)})
+    done, levels, above = None, [], None
     for level in range(LEVELS):
         drawn = F.xxhash64("vec", F.lit(level))
         sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct(drawn).alias("kinds"))
-        large = write_table(sizes.filter((F.col("n") > PAGE) & (F.col("kinds") > 1)).select("node", "kinds"), "mtree-large")
+        large = write_table(sizes.filter((F.col("n") > PAGE) & (F.col("kinds") > 1)), "mtree-large")
         # The children's centres: the node's vectors with the smallest hashes, all different.
         # Copies share a hash, so the rate is of the different vectors, not of the rows.
         inside = now.join(large, "node")
         likely = F.pmod(drawn, F.lit(1 << 30)) < F.lit(8.0 * FANOUT) / F.col("kinds") * F.lit(1 << 30)
         order = Window.partitionBy("node").orderBy("h", "vec")
-        few = inside.filter(likely | (F.col("kinds") <= 8 * PAGE)).select("node", "vec", drawn.alias("h")).distinct()
-        centres = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FANOUT).groupBy("node").agg(F.collect_list("vec").alias("centres"))
+        few = inside.filter(likely | (F.col("kinds") <= 8 * PAGE)).select("node", "n", "vec", drawn.alias("h")).distinct()
+        first = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FANOUT)
+        centres = first.groupBy("node").agg(F.collect_list("vec").alias("centres"), F.ceil(F.max("n") / DEALT).alias("pieces"))
         centres = write_table(centres.filter(F.size("centres") > 1), "mtree-centres")
         # A node without two centres is a leaf, whatever its size.
         small = now.join(centres, "node", "left_anti")
@@ -91,88 +113,187 @@ def _grow(points: DataFrame, dim: int, top: float) -> tuple[DataFrame, list[Data
             now = now.limit(0)
             break
 
-        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for node, part in pdf.groupby("node"):
-                    at = _lifted(_matrix(pd.Series(list(part["centres"].iloc[0])), dim), top)
-                    far = _distances(_lifted(_matrix(part["vec"], dim), top), at)
-                    pick = far.argmin(1)
-                    yield pd.DataFrame({"uid": part["uid"], "id": part["id"], "vec": part["vec"], "node": node * _CHILD + pick, "away": far[np.arange(len(pick)), pick]})
-
-        dealt = now.join(centres, "node").select("uid", "id", "vec", "node", "centres").mapInPandas(deal, "uid long, id long, vec array<long>, node long, away double")
-        now = write_table(dealt, "mtree-level")
-        reach = now.groupBy("node").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+        def deal(rows: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+            if rows.empty:
+                return pd.DataFrame({c.split()[0]: [] for c in dealt_schema.split(", ")})
+            far = _distances(_lifted(_matrix(rows["vec"], dim), top), _lifted(_matrix(pd.Series(list(at["centres"].iloc[0])), dim), top))
+            pick = far.argmin(1)
+            return rows.assign(node=rows["node"] * _CHILD + pick, depth=rows["depth"] + 1, away=far[np.arange(len(pick)), pick])[[c.split()[0] for c in dealt_schema.split(", ")]]
+
+        dealt_schema = "uid long, id long, vec array<long>, asks boolean, node long, depth int, away double"
+        pieces = now.join(centres.select("node", "pieces"), "node").withColumn("piece", F.pmod(F.xxhash64("uid"), F.col("pieces"))).drop("pieces")
+        held = centres.select("node", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+        now = write_table(pieces.groupBy("node", "piece").cogroup(held.groupBy("node", "piece")).applyInPandas(deal, dealt_schema), "mtree-level")
+        reach = now.groupBy("node").agg(F.max("away").alias("radius"))
         centre = centres.select(F.col("node").alias("parent"), F.posexplode("centres").alias("place", "centre")).withColumn("node", F.col("parent") * _CHILD + F.col("place"))
-        levels.append(write_table(reach.join(centre, "node").select("node", "parent", "centre", "radius", "n"), "mtree-nodes"))
+        below = reach.join(centre, "node").select("node", "parent", "centre", "radius")
+        below = below.withColumn("parent_centre", F.lit(None).cast("array<long>")) if above is None else below.join(above.select(F.col("node").alias("parent"), F.col("centre").alias("parent_centre")), "parent")
+        above = write_table(below.mapInPandas(_apart(dim, top), "node long, parent long, centre array<long>, radius double, apart double"), "mtree-nodes")
+        levels.append(above)
     # What is still large after the last level stays as it is.
     leaves = write_table(done.unionByName(now), "mtree-leaves")
     held, given = leaves.count(), points.count()
     if held != given:
         raise AssertionError(f"leaves hold {held} of {given} vectors")
-    return leaves, levels
+    if not levels:
+        return leaves, None, 0
+    nodes = levels[0]
+    for level_nodes in levels[1:]:
+        nodes = nodes.unionByName(level_nodes)
+    parents = nodes.select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    nodes = nodes.join(parents, "node", "left").withColumn("leaf", F.col("inner").isNull()).drop("inner")
+    return leaves, write_table(nodes, "mtree-tree"), len(levels)
 
 
-def _reach(level: DataFrame, frontier: DataFrame, dim: int, top: float) -> DataFrame:
-    """(uid, node, promise, parent): promise is a bound of the products in a child's ball."""
+def _apart(dim: int, top: float):
+    """Adds the distance between a node's centre and its parent's; null below the root, which has no centre."""
 
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
+            apart = np.full(len(pdf), np.nan)
+            has = pdf["parent_centre"].notna().to_numpy()
+            if has.any():
+                one, two = (_lifted(_matrix(pdf[c][has], dim), top) for c in ("centre", "parent_centre"))
+                apart[has] = np.linalg.norm(one - two, axis=1)
+            yield pdf.drop(columns="parent_centre").assign(apart=apart)[["node", "parent", "centre", "radius", "apart"]]
+
+    return measure
+
+
+FRONTIER = "block long, node long, leaf boolean, asks array<long>, to array<double>, hope array<double>"
+
+
+def _batched(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """rows with a batch number such that a block has about size rows in each batch."""
+    counts = rows.groupBy("block").agg(F.ceil(F.count("*") / size).alias("batches"))
+    return rows.join(counts, "block").withColumn("batch", F.pmod(F.xxhash64(*keys), F.col("batches"))).drop("batches")
+
+
+def _with_batches(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """The queries of each block, once for each of its batches."""
+    found = queries.join(rows.select("block", "batch").distinct(), "block")
+    return found.select([F.col(c).alias(c) for c in found.columns])  # as columns of their own, for the cogroup
+
+
+def _open(frontier: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, top: float) -> DataFrame:
+    """The children of a frontier's nodes that can still hold something for a query."""
+    asked = _batched(frontier.select("block", "node", "asks", "to"), NODES, "node")
+    children = asked.select("block", "batch", F.col("node").alias("parent")).join(nodes, "parent")
+    both = children.unionByName(asked, allowMissingColumns=True)
+
+    def open_nodes(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        place = pd.Series(np.arange(len(own)), index=own["uid"].to_numpy())
+        q, beat = _matrix(own["q"], dim), own["beat"].to_numpy()
+        here = rows[rows["asks"].notna()].set_index("node")
+        for parent, below in rows[rows["asks"].isna()].groupby("parent"):
+            asks, to = (np.asarray(here.at[parent, c]) for c in ("asks", "to"))
+            at = place[asks].to_numpy()
+            radius, apart = below["radius"].to_numpy(), below["apart"].to_numpy()
+            # The parent distance bounds a child's from below without computing it.
+            least = np.nan_to_num(np.abs(to[:, None] - apart[None, :]) - radius[None, :], nan=0.0)
+            may = _promise(q[at], least, top) >= beat[at, None]
+            some = np.flatnonzero(may.any(0))
+            if not len(some):
                 continue
-            q = _matrix(pdf["q"], dim)
-            flat = np.concatenate([q.astype(float), np.zeros((len(q), 1))], 1)
-            to = np.linalg.norm(flat - _lifted(_matrix(pdf["centre"], dim), top), axis=1)
-            near = np.maximum(to - pdf["radius"].to_numpy() - SLACK * np.sqrt(top), 0)
-            yield pd.DataFrame({"uid": pdf["uid"], "node": pdf["node"], "promise": ((q * q).sum(1) + top - near * near) / 2 + SLACK * top, "to": to})
+            far = _distances(_flat(q[at]), _lifted(_matrix(below["centre"].iloc[some], dim), top))
+            hope = _promise(q[at], far - radius[None, some], top)
+            good = may[:, some] & (hope >= beat[at, None])
+            for k, c in enumerate(some):
+                g = good[:, k]
+                if g.any():
+                    out.append((own["block"].iloc[0], below["node"].iloc[c], below["leaf"].iloc[c], asks[g], far[g, k], hope[g, k]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FRONTIER.split(", ")])
 
-    return frontier.join(level, F.col("at") == F.col("parent")).select("uid", "q", "node", "centre", "radius").mapInPandas(bound, "uid long, node long, promise double, to double")
+    opened = both.groupBy("block", "batch").cogroup(_with_batches(queries, asked).groupBy("block", "batch"))
+    return opened.applyInPandas(open_nodes, FRONTIER)
 
 
-def _search_leaves(leaves: DataFrame, visits: DataFrame, dim: int, top: float, k: int) -> DataFrame:
-    """The k best (uid, id, other, score) of the visits (node, uid, q, beat, to) to leaves.
+def _read_leaves(visits: DataFrame, leaves: DataFrame, queries: DataFrame, dim: int, top: float, k: int, home: bool) -> DataFrame:
+    """The k best (uid, id, other, score) of each query in the leaves it visits, a batch of pages at a time.
 
-    A leaf's vectors come in pages and the queries that visit it in blocks; a page
-    meets a block in one group.
+    Unless home is true, a query's own leaf, which it has searched, is left out.
     """
-    sizes = leaves.groupBy("node").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))
-    blocks = visits.groupBy("node").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    shape = write_table(sizes.join(blocks, "node"), "mtree-shape")
-    pages = leaves.join(shape, "node").withColumn("page", F.pmod(F.xxhash64("uid"), F.col("pages")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    askers = visits.join(shape, "node").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-
-    def search(page: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"uid": [], "other": [], "id": [], "score": []})
-        if page.empty or asked.empty:
-            return empty
-        x, q = _matrix(page["vec"], dim), _matrix(asked["q"], dim)
-        beat, own = asked["beat"].to_numpy(), asked["uid"].to_numpy()
-        # |distance to the centre - stored distance| bounds the distance from below.
-        least = np.maximum(np.abs(asked["to"].to_numpy()[:, None] - page["away"].to_numpy()[None, :]) - SLACK * np.sqrt(top), 0)
-        hope = ((q * q).sum(1)[:, None] + top - least * least) / 2 + SLACK * top >= beat[:, None]
-        hope &= own[:, None] != page["uid"].to_numpy()[None, :]
-        rows, cols = np.flatnonzero(hope.any(1)), np.flatnonzero(hope.any(0))
-        if not len(rows):
-            return empty
-        # Products of whole numbers below 2**53 are exact in floating point, and fast.
-        exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim < 2**53
-        kind = np.float64 if exact else np.int64
-        score = (q[rows].astype(kind) @ x[cols].astype(kind).T).astype(np.int64)
-        good = hope[np.ix_(rows, cols)] & (score >= beat[rows, None])
-        r, c = np.nonzero(good)
-        out = pd.DataFrame({"uid": own[rows[r]], "other": page["uid"].to_numpy()[cols[c]], "id": page["id"].to_numpy()[cols[c]], "score": score[r, c]})
-        out = out.sort_values(["uid", "score", "id", "other"], ascending=[True, False, True, True])
-        return out[out.groupby("uid").cumcount() < k]
-
-    keys = ["node", "page", "block"]
-    found = pages.select(*keys, "uid", "id", "vec", "away").groupBy(*keys).cogroup(askers.select(*keys, "uid", "q", "beat", "to").groupBy(*keys))
+    pages = leaves.join(visits.select("node").distinct(), "node").groupBy("node").agg(F.ceil(F.count("*") / PAGE).alias("pages"))
+    paged = visits.select("block", "node", "asks", "to").join(pages, "node").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
+    asked = _batched(paged, PAGES, "node", "page")
+    vectors = leaves.select("node", "uid", "id", "vec", "away").join(pages, "node").withColumn("page", F.pmod(F.xxhash64("uid"), F.col("pages"))).drop("pages")
+    read = asked.select("block", "batch", "node", "page").join(vectors, ["node", "page"])
+    both = read.unionByName(asked.drop("pages"), allowMissingColumns=True)
+
+    def search(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"uid": [], "other": [], "id": [], "score": []}, dtype=np.int64)]
+        place = pd.Series(np.arange(len(own)), index=own["uid"].to_numpy())
+        all_q, all_beat, all_home = _matrix(own["q"], dim), own["beat"].to_numpy(), own["home"].to_numpy()
+        uids = own["uid"].to_numpy()
+        here = rows[rows["asks"].notna()].set_index(["node", "page"])
+        for at_page, part in rows[rows["asks"].isna()].groupby(["node", "page"]):
+            asks, to = (np.asarray(here.at[at_page, c]) for c in ("asks", "to"))
+            at = place[asks].to_numpy()
+            if not home:
+                away = all_home[at] != at_page[0]
+                at, to = at[away], to[away]
+            if not len(at):
+                continue
+            x, q, beat, me = _matrix(part["vec"], dim), all_q[at], all_beat[at], uids[at]
+            # |distance to the centre - stored distance| bounds the distance from below.
+            hope = _promise(q, np.nan_to_num(np.abs(to[:, None] - part["away"].to_numpy()[None, :]), nan=0.0), top) >= beat[:, None]
+            hope &= me[:, None] != part["uid"].to_numpy()[None, :]
+            rs, cs = np.flatnonzero(hope.any(1)), np.flatnonzero(hope.any(0))
+            if not len(rs):
+                continue
+            # Products of whole numbers below 2**53 are exact in floating point, and fast.
+            exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim < 2**53
+            kind = np.float64 if exact else np.int64
+            score = (q[rs].astype(kind) @ x[cs].astype(kind).T).astype(np.int64)
+            r, c = np.nonzero(hope[np.ix_(rs, cs)] & (score >= beat[rs, None]))
+            found = pd.DataFrame({"uid": me[rs[r]], "other": part["uid"].to_numpy()[cs[c]], "id": part["id"].to_numpy()[cs[c]], "score": score[r, c]})
+            out.append(_best(found, k))
+        return _best(pd.concat(out), k)
+
+    found = both.groupBy("block", "batch").cogroup(_with_batches(queries, asked).groupBy("block", "batch"))
     return found.applyInPandas(search, "uid long, other long, id long, score long")
 
 
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["uid", "score", "id", "other"], ascending=[True, False, True, True])
+    return found[found.groupby("uid").cumcount() < k]
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("uid").orderBy(F.desc("score"), "id", "other")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    """(block, asks): each block's queries in one row of at most a few thousand numbers."""
+    return queries.groupBy("block").agg(F.sort_array(F.collect_list("uid")).alias("asks"))
+
+
+def _raised(queries: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """queries with the score that each has to beat."""
+    beat = known.groupBy("uid").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("beat"))
+    return write_table(queries.drop("beat").join(beat, "uid", "left").na.fill(float("-inf"), ["beat"]), "mtree-queries")
+
+
+def _hopeful(visits: DataFrame, queries: DataFrame) -> DataFrame:
+    """visits without the queries, and then the leaves, that can't reach the scores to beat any more."""
+    flat = visits.select("block", "node", F.explode(F.arrays_zip("asks", "to", "hope")).alias("z")).select("block", "node", F.col("z.asks").alias("uid"), "z.to", "z.hope")
+    left = flat.join(queries.select("uid", "beat"), "uid").filter("hope >= beat")
+    return left.groupBy("block", "node").agg(F.collect_list(F.struct("uid", "to", "hope")).alias("z")).select("block", "node", F.col("z.uid").alias("asks"), F.col("z.to").alias("to"), F.col("z.hope").alias("hope"))
+
+
+def _blocks(leaves: DataFrame) -> DataFrame:
+    """(uid, q, home, block): queries that lie in the same part of the tree share a block."""
+    queries = leaves.filter("asks").select("uid", F.col("vec").alias("q"), F.col("node").alias("home"), "depth")
+    wanted = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    level = int(math.log(wanted, FANOUT))
+    region = F.expr(f"shiftright(home, {int(math.log2(_CHILD))} * greatest(depth - {level}, 0))")
+    queries = queries.withColumn("region", region).drop("depth")
+    parts = queries.groupBy("region").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
+    return queries.join(parts, "region").withColumn("block", F.xxhash64("region", F.pmod(F.xxhash64("uid"), F.col("parts")))).select("uid", "q", "home", "block")
+
+
 def top_products(df: DataFrame, key: str, vector: str, is_query: Column, k: int = TOP, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, key, score): the k largest inner products of every query with all other rows.
 
@@ -181,6 +302,7 @@ def top_products(df: DataFrame, key: str, vector: str, is_query: Column, k: int
     null key, take no part; shorter vectors count as filled up with zeros.  A row
     is no candidate for itself, but another row with the same key and vector is.
     If there are fewer than k candidates, all come.  An empty table gives no rows.
+    Other columns, whatever their names, are not read.
     """
     rows = df.select(F.col(key).alias("id"), whole_components(F.col(vector), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     points = write_table(rows.filter("vec is not null and id is not null").withColumn("uid", F.monotonically_increasing_id()), "mtree-points")
@@ -190,34 +312,30 @@ def top_products(df: DataFrame, key: str, vector: str, is_query: Column, k: int
     if whole["top"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long").withColumnRenamed("vec_id", key)
     top, dim = float(whole["top"]), int(whole["dim"])
-    leaves, levels = _grow(points.select("uid", "id", "vec"), dim, top)
-    queries = points.filter("asks").select("uid", F.col("vec").alias("q"))
-
-    # Greedy descent: the most promising child at each level, down to a leaf.
-    at = queries.withColumn("at", F.lit(1).cast("long")).withColumn("to", F.lit(0.0))
-    first = None
-    for level in levels:
-        best = _reach(level, at, dim, top).groupBy("uid").agg(F.max_by(F.struct("node", "to"), F.struct("promise", -F.col("node"))).alias("b"))
-        at = at.select("uid", "q", F.col("at").alias("was"), F.col("to").alias("was_to")).join(best, "uid", "left")
-        at = write_table(at.select("uid", "q", F.coalesce("b.node", "was").alias("at"), F.coalesce("b.to", "was_to").alias("to")), "mtree-greedy")
-    first = at.select(F.col("at").alias("node"), "uid", "q", F.lit(float("-inf")).alias("beat"), "to")
-    known = _top(_search_leaves(leaves, first, dim, top, k), k)
-    beat = known.groupBy("uid").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("beat"))
-    queries = write_table(queries.join(beat, "uid", "left").na.fill(float("-inf"), ["beat"]), "mtree-queries")
-
-    # All nodes that may still hold a better vector.
-    frontier = queries.select("uid", "q", "beat", F.lit(1).cast("long").alias("at"), F.lit(0.0).alias("to"))
-    visits = None
-    for level in levels:
-        reached = _reach(level, frontier, dim, top).join(queries, "uid").filter("promise >= beat")
-        inner = level.select("parent").distinct()
-        here = frontier.select(F.col("at").alias("node"), "uid", "q", "beat", "to").join(inner, F.col("node") == F.col("parent"), "left_anti")
-        visits = here if visits is None else visits.unionByName(here)
-        frontier = write_table(reached.select("uid", "q", "beat", F.col("node").alias("at"), "to"), "mtree-frontier")
-    here = frontier.select(F.col("at").alias("node"), "uid", "q", "beat", "to")
-    visits = here if visits is None else visits.unionByName(here)
-    found = _top(_search_leaves(leaves, visits, dim, top, k), k)
-    return found.join(points.select("uid", F.col("id").alias("query_id")), "uid").select("query_id", "rank", F.col("id").alias(key), "score")
+    leaves, nodes, depth = _grow(points.select("uid", "id", "vec", "asks"), dim, top)
+    queries = write_table(_blocks(leaves).withColumn("beat", F.lit(float("-inf"))), "mtree-queries")
+
+    # Every query's own leaf gives it a first score to beat.
+    unknown = F.transform("asks", lambda x: F.lit(float("nan")))
+    own = queries.groupBy("block", F.col("home").alias("node")).agg(F.sort_array(F.collect_list("uid")).alias("asks")).withColumn("to", unknown)
+    known = write_table(_top(_read_leaves(own, leaves, queries, dim, top, k, home=True), k).drop("rank"), "mtree-known")
+    if depth:
+        queries = _raised(queries, known, k)
+        frontier = _asked(queries).select("block", F.lit(1).cast("long").alias("node"), F.lit(False).alias("leaf"), "asks", unknown.alias("to"))
+        visits = None
+        for _ in range(depth):
+            opened = write_table(_open(write_table(frontier, "mtree-frontier"), nodes, queries, dim, top), "mtree-opened")
+            frontier = opened.filter("not leaf")
+            visits = opened.filter("leaf") if visits is None else visits.unionByName(opened.filter("leaf"))
+        best_first = F.row_number().over(Window.partitionBy("block").orderBy(F.desc(F.array_max("hope")), "node"))
+        visits = write_table(visits.withColumn("turn", best_first), "mtree-visits")
+        for after, upto in zip((0, *WAVES), (*WAVES, None)):
+            wave = visits.filter((F.col("turn") > after) & (F.lit(True) if upto is None else F.col("turn") <= upto))
+            wave = write_table(_hopeful(wave, queries), "mtree-wave")
+            found = _read_leaves(wave, leaves, queries, dim, top, k, home=False)
+            known = write_table(_top(found.unionByName(known), k).drop("rank"), "mtree-known")
+            queries = _raised(queries, known, k)
+    return _top(known, k).join(points.select("uid", F.col("id").alias("query_id")), "uid").select("query_id", "rank", F.col("id").alias(key), "score")
 
 
 def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,6 +251,21 @@ def test_products_among_many_copies(spark):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_products_of_three_vectors_many_times(spark):
+    base = np.array([[0.5, 0.25], [-0.5, 0.25], [0.25, 1.0]])
+    df = spark.range(6000).select(F.col("id").alias("vec_id"), *[F.element_at(F.array(*[F.lit(float(v)) for v in base[:, c]]), (F.col("id") % 3 + 1).cast("int")).alias(f"x{c}") for c in range(2)])
+    df = df.select("vec_id", F.array("x0", "x1").alias("embedding"))
+    got = top_products(df, "vec_id", "embedding", F.col("vec_id") % 10 == 0).collect()
+    whole = np.floor(256 * base).astype(int)[np.arange(6000) % 3]
+    expected = []
+    for i in range(0, 6000, 10):
+        score = whole @ whole[i]
+        score[i] = -(1 << 40)
+        best = np.flatnonzero(score == score.max())[:5]  # each vector has 2,000 copies
+        expected += [(i, r + 1, int(j), int(score[j])) for r, j in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 @pytest.mark.parametrize("level_count", [1, 2])
 def test_products_when_levels_run_out(spark, monkeypatch, level_count):
     """Nodes that are still large after the last level are leaves."""
