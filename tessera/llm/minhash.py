@@ -8,21 +8,26 @@ that depends on the total weight cannot matter once all registers are filled, so
 almost every shingle stops after its first.
 
 Equal texts form a class first, and only classes are compared.  Classes that
-agree in a band are candidates: a leader of a band's bucket, the member that shares
-the most buckets with others, is compared with all others there, then a leader of
-those that were not like the first, so that work stays linear in a bucket's size;
-members whose components still differ after that are compared block against
-block, and only links come out.  Every link is verified on the whole texts.
+agree in a band are candidates.  Their sketches, 16 bits of each register, are
+compared before any text is fetched: a pair whose sketches agree in fewer
+registers than PLAUSIBLE standard deviations below the threshold is left out,
+which at the threshold happens to one pair in a million.  In each band's bucket a
+leader, the member that shares the most buckets with others, is compared with all
+others there, then a leader of those that were not like the first, so that work
+stays linear in a group of copies; members whose components still differ after
+that are compared sketch block against sketch block.  The plausible pairs are
+then verified on the whole texts, and only verified pairs are links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -34,8 +39,9 @@ BANDS = 20
 BAND_ROWS = 5
 THRESHOLD = 0.8
 STAR_ROUNDS = 2
-BROADCAST_IDS = 1_000_000  # so many ids (8 MB) at most are broadcast to pick out texts; more are joined by shuffling
-BLOCK = 512  # bucket members in one block of the last round
+PLAUSIBLE = 5.0  # standard deviations of a sketch's agreement below the threshold
+BLOCK = 1024  # sketches in one block of a bucket
+TASK_PAIRS = 100_000_000  # pairs of sketches that a task of the last round compares, on average
 _SURE = 5.0  # e**-5 of the texts need a second look with a later bound
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -132,23 +138,50 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (x_from / x + y_before / y)).sum())
 
 
+def _text_key(text: Column) -> tuple[Column, Column]:
+    """Two independent hashes of a text, 96 bits in all."""
+    return F.xxhash64(text), F.crc32(text.cast("binary"))
+
+
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, text_key, words, bands): band keys are null where the text has no word."""
+    """(id, k1, k2, bands, sketch): the text's hashes, band keys and sketch; the last two are null where the text has no word."""
+    registers = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[pa.Array] = []
-            texts = batch.column("text")
-            for _, n, row, value, count in shingles(texts):
-                found = band_keys(signatures(n, row, value, count, bands * rows), bands, rows)
+            sketches: list[pa.Array] = []
+            for _, n, row, value, count in shingles(batch.column("text")):
+                signed = signatures(n, row, value, count, registers)
                 has = np.bincount(row, minlength=n) > 0
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(has * bands)).astype(np.int32), pa.array(found[has].ravel()), mask=pa.array(~has))
-                keys.append(lists)
-            merged = pa.concat_arrays(keys) if keys else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k1"), batch.column("k2"), merged], ["id", "k1", "k2", "bands"])
+                keys.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(has * bands)).astype(np.int32), pa.array(band_keys(signed, bands, rows)[has].ravel()), mask=pa.array(~has)))
+                low = mix64(signed).astype(np.uint16)
+                sketches.append(pa.array([x.tobytes() if h else None for x, h in zip(low, has, strict=True)], pa.binary()))
+            found = [pa.concat_arrays(x) if x else pa.array([], t) for x, t in ((keys, pa.list_(pa.int64())), (sketches, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2")), *found], ["id", "k1", "k2", "bands", "sketch"])
+
+    k1, k2 = _text_key(F.col("text"))
+    return docs.select("id", k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>, sketch binary")
+
+
+def _registers(sketches: pa.Array | pd.Series) -> np.ndarray:
+    data = sketches.to_pylist() if isinstance(sketches, pa.Array) else sketches
+    return np.frombuffer(b"".join(data), np.uint16).reshape(len(data), -1)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in at least so many registers."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(classes.select(F.col("uid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_registers(batch.column("sketch_a")) == _registers(batch.column("sketch_b"))).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(same >= least))
 
-    keyed = docs.select("id", F.xxhash64("text").alias("k1"), F.crc32(F.col("text").cast("binary")).alias("k2"), "text")
-    return keyed.mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
 
 
 def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -160,9 +193,19 @@ def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' probability Jaccard is at least the threshold."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts' probability Jaccard is at least the threshold.
+
+    The text of a class is fetched once, from a document with its smallest key;
+    Spark broadcasts the classes asked for while they are small by its own measure.
+    """
+    asked = write_table(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(classes.select("uid", "class_id", "k1", "k2"), "uid"), "minhash-asked")
+    k1, k2 = _text_key(F.col("text"))
+    found = docs.join(asked, (F.col("id") == F.col("class_id")) & (k1 == F.col("k1")) & (k2 == F.col("k2")))
+    texts = write_table(found.select("uid", "text").dropDuplicates(["uid"]), "minhash-texts")
+    both = pairs
+    for side in ("b", "a"):
+        both = both.join(texts.select(F.col("uid").alias(side), F.col("text").alias(f"text_{side}")), side)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,150 +214,128 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 similar = [probability_jaccard(x, y) for x, y in zip(_sets(part.column("text_a")), _sets(part.column("text_b")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similar, pa.float64())], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
-
-
-def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """members with comp, the id's component so far (itself while it has none)."""
-    if comps is None:
-        return members.withColumn("comp", F.col("id"))
-    return members.join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
+    checked = both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, similarity double")
+    return write_table(checked.filter(F.col("similarity") >= threshold).select("a", "b"), "minhash-links")
 
 
-def _block_links(members: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of a bucket's members (bucket, id, comp, text) between different components.
+def _block_pairs(members: DataFrame, least: int) -> DataFrame:
+    """Plausible pairs (a, b) of a bucket's members (bucket, uid, comp, sketch) from different components.
 
-    Blocks of about BLOCK members meet in pairs, two in a task.  For each text a
-    bound from above of its similarity to all others of the other block is
-    computed at once; what is left is verified.  Components that have met once
-    within a task are not compared there again.
+    Blocks of about BLOCK sketches meet in pairs, two in a group.  The number of
+    tasks follows from the number of pairs, not of bytes.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_PAIRS))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    carried = ["bucket", "id", "comp", "block", "text"]
-    cells = dealt.select(*carried, meets).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *carried)
+    dealt = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    carried = ["bucket", "uid", "comp", "block", "sketch"]
+    cells = dealt.select(*carried, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *carried)
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        out: list[tuple[int, int]] = []
-        if left.empty or right.empty:
-            return pd.DataFrame(out, columns=["a", "b"])
-        x, y = (_sets(pa.array(p["text"], pa.string())) for p in (left, right))
-        known = np.unique(np.concatenate([v for v, _ in x]))
-        values, weights = (np.concatenate([s[k] for s in y]) for k in (0, 1))
-        starts = np.cumsum([0] + [len(v) for v, _ in y[:-1]])
-        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        at[known[at] != values] = len(known)  # a place that stays zero
-        totals = np.add.reduceat(weights, starts).astype(float)
-        owner = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(values))))
-        root = {c: c for c in pdf["comp"].unique()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                c = root[c]
-            return c
-
-        own, comp_y = np.zeros(len(known) + 1, np.int64), right["comp"].to_numpy()
-        for (v, w), id_x, comp in zip(x, left["id"], left["comp"], strict=True):
-            place = np.searchsorted(known, v)
-            own[place] = w
-            here = np.flatnonzero(own[at])
-            of, wx, wy = owner[here], own[at[here]].astype(float), weights[here].astype(float)
-            own[place] = 0
-            total = float(w.sum())
-            only_x = total - np.bincount(of, wx, len(y))
-            only_y = totals - np.bincount(of, wy, len(y))
-            # Each maximum is at least either of its sides; exact where all counts are equal.
-            terms = np.minimum(wx / (total + only_y[of] * wx / wy), wy / (totals[of] + only_x[of] * wy / wx))
-            bound = np.bincount(of, terms, len(y))
-            for k in np.flatnonzero((bound >= threshold - 1e-9) & (comp_y != comp)):
-                one, two = find(comp), find(comp_y[k])
-                if one != two and probability_jaccard((v, w), y[k]) >= threshold:
-                    root[max(one, two)] = min(one, two)
-                    out.append((id_x, right["id"].iloc[k]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return cells.groupBy("bucket", "i", "j").applyInPandas(cross, "a long, b long").distinct()
-
-
-def _ids(ids: DataFrame, name: str) -> DataFrame:
-    """Distinct ids as a table, marked for broadcasting if they are few."""
-    table = write_table(ids.distinct(), name)
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
-
-
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(key, class_id, component_id, kept), one row for each row of df.
-
-    class_id is the smallest key with exactly the same text, component_id the
-    smallest key reachable over links of at least the threshold; kept says that a
-    row's key is its component's.  Null texts are like nothing, not even each
-    other; texts without words are like exact copies only; texts of one to four
-    words have one shingle.  Rows with a null key are kept, with null ids.
-    Repeated rows give repeated results.  Other columns are not carried.
-    """
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    signed = write_table(_signed(docs.filter("text is not null and id is not null"), bands, band_rows), "minhash-signed")
-    classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"))
-    buckets = classes.filter("bands is not null").select(F.col("class_id").alias("id"), F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+        left, right = (pdf[pdf["block"] == pdf[c].iloc[0]] for c in ("i", "j"))
+        ids, comps, y = right["uid"].to_numpy(), right["comp"].to_numpy(), _registers(right["sketch"])
+        out = [np.empty((0, 2), np.int64)]
+        for own, comp, x in zip(left["uid"], left["comp"], _registers(left["sketch"]), strict=True):
+            near = ids[((y == x).sum(1) >= least) & (comps != comp)]
+            out.append(np.stack([np.minimum(near, own), np.maximum(near, own)], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return cells.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(cross, "a long, b long").distinct()
+
+
+def _placed(docs: DataFrame, threshold: float, bands: int, band_rows: int) -> DataFrame:
+    """(id, k1, k2, class_id, component_id, kept) for every row of docs (id, text) with an id and a text."""
+    signed = write_table(_signed(docs, bands, band_rows), "minhash-signed")
+    classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # A text's own number: a key may have several texts.
+    classes = write_table(classes.withColumn("uid", F.monotonically_increasing_id()), "minhash-classes")
+    least = math.ceil(bands * band_rows * (threshold - PLAUSIBLE * math.sqrt(threshold * (1 - threshold) / (bands * band_rows))))
+
+    buckets = classes.filter("bands is not null").select("uid", F.posexplode("bands").alias("band", "value")).select("uid", F.xxhash64("band", "value").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     # The text that most others were copied from shares the most buckets.
-    central = F.sum("n").over(Window.partitionBy("id"))  # a row for each band at most
-    members = write_table(buckets.join(shared, "bucket").select("bucket", "id", central.alias("central")), "minhash-members")
-    texts = docs.join(_ids(members.select("id"), "minhash-ids"), "id", "left_semi").dropDuplicates(["id"])
-    texts = write_table(texts, "minhash-texts")
+    central = F.sum("n").over(Window.partitionBy("uid"))  # a row for each band at most
+    members = write_table(buckets.join(shared, "bucket").select("bucket", "uid", central.alias("central")), "minhash-members")
 
-    links, compared, comps = None, None, None
-    waiting = members  # (bucket, id) not yet linked to a leader of the bucket
+    near, compared = None, None
+    waiting = members  # (bucket, uid) not like a leader of the bucket so far
     for _ in range(STAR_ROUNDS):
-        leaders = write_table(waiting.groupBy("bucket").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("leader")), "minhash-leaders")
-        pairs = members.join(leaders, "bucket").filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        leaders = write_table(waiting.groupBy("bucket").agg(F.max_by("uid", F.struct("central", -F.col("uid"))).alias("leader")), "minhash-leaders")
+        pairs = members.join(leaders, "bucket").filter("uid <> leader").select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = write_table(pairs, "minhash-pairs")
         compared = pairs if compared is None else compared.union(pairs)
-        found = write_table(_verify(pairs, texts, threshold), "minhash-links")
-        links = found if links is None else links.union(found)
-        led = waiting.join(leaders, "bucket").filter("id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")})
-        waiting = write_table(led.join(links.select("a", "b"), ["a", "b"], "left_anti").select("bucket", "id", "central"), "minhash-waiting")
+        found = write_table(_plausible(pairs, classes, least), "minhash-near")
+        near = found if near is None else near.union(found)
+        led = waiting.join(leaders, "bucket").filter("uid <> leader").withColumns({"a": F.least("uid", "leader"), "b": F.greatest("uid", "leader")})
+        waiting = write_table(led.join(near, ["a", "b"], "left_anti").select("bucket", "uid", "central"), "minhash-waiting")
         if waiting.isEmpty():
             break
-    if links is not None:
+    links = _verified(near, classes, docs, threshold)
+    comps = write_table(components(links, "a", "b"), "minhash-components")
+
+    # Two members of a bucket have been compared; of more, those from different
+    # components may still be alike without either being a leader.
+    spread = members.join(comps.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "uid", F.coalesce("component_id", "uid").alias("comp"))
+    parted = spread.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("bucket")
+    apart = write_table(spread.join(parted, "bucket").join(classes.select("uid", "sketch"), "uid"), "minhash-apart")
+    more = write_table(_block_pairs(apart, least).join(compared, ["a", "b"], "left_anti"), "minhash-near")
+    if not more.isEmpty():
+        links = links.union(_verified(more, classes, docs, threshold))
         comps = write_table(components(links, "a", "b"), "minhash-components")
-        # Up to three members have all been compared; of more, those from
-        # different components may still be alike without either being a leader.
-        spread = _labelled(members, comps)
-        parted = spread.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 3").select("bucket")
-        found = write_table(_block_links(spread.join(parted, "bucket").join(texts, "id"), threshold), "minhash-links")
-        if not found.isEmpty():
-            comps = write_table(components(links.select("a", "b").union(found), "a", "b"), "minhash-components")
-
-    keys = signed.select("id", "k1", "k2").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select("id", "class_id")
-    placed = keys if comps is None else keys.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
-    component = F.col("class_id") if comps is None else F.coalesce("component_id", "class_id")
-    placed = placed.select("id", "class_id", component.alias("component_id"))
-    alone = docs.filter("text is null or id is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
-    return placed.unionByName(alone).select(F.col("id").alias(key), "class_id", "component_id", (F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).alias("kept"))
-
-
-def drop_near_duplicates(df: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """df with one row for each near-duplicate component, that of the smallest key.
-
-    Rows repeated with the same key and text count once.  Rows with a null key or
-    a null text stay.  All columns of df stay, and no others come.
+
+    # A component is known by its smallest key, and by one text that has this key.
+    linked = classes.select("uid", "class_id", "k1", "k2").join(comps.withColumnRenamed("id", "uid"), "uid")
+    roots = linked.groupBy("component_id").agg(F.min(F.struct("class_id", "k1", "k2", "uid")).alias("root"))
+    linked = linked.join(roots, "component_id").select("uid", F.col("root.class_id").alias("component_id"), (F.col("root.uid") == F.col("uid")).alias("first"))
+    known = classes.select("uid", "k1", "k2", "class_id").join(linked, "uid", "left")
+    known = known.select("k1", "k2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    placed = signed.select("id", "k1", "k2").join(known, ["k1", "k2"])
+    return placed.select("id", "k1", "k2", "class_id", "component_id", (F.col("first") & (F.col("id") == F.col("component_id"))).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(key, class_id, component_id, kept), one row for each row of df.
+
+    class_id is the smallest key with exactly the same text, component_id the
+    smallest key reachable over links of at least the threshold; kept is true for
+    one text of each component, where it stands under the component's key.  Null
+    texts are like nothing, not even each other; texts without words are like
+    exact copies only; texts of one to four words have one shingle.  A text of any
+    length is read whole, but must fit into a task.  Several texts under one key
+    are texts of their own.  Rows with a null key are kept, with null ids.
+    Repeated rows give repeated results, and an empty table gives none.  Other
+    columns, whatever their names, are not carried.
+    """
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    placed = _placed(docs.filter("text is not null and id is not null"), threshold, bands, band_rows).drop("k1", "k2")
+    alone = docs.filter("text is null or id is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return placed.unionByName(alone).withColumnRenamed("id", key)
+
+
+def drop_near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """df with one row for each near-duplicate component: one text with its smallest key.
+
+    Rows go by key and text, so that a text of its own stays even if its key also
+    has a text that goes.  Rows repeated with the same key and text count once.
+    Rows with a null key or a null text stay.  All columns of df stay, whatever
+    their names, and no others come.
     """
-    found = write_table(near_duplicates(df, key, text, **options), "minhash-kept")
-    gone = _ids(found.filter("not kept").select(F.col(key).alias("_tessera_id")), "minhash-gone")
-    left = df.join(gone, F.col(key) == F.col("_tessera_id"), "left_anti")
-    repeated = write_table(found.filter("kept").groupBy(F.col(key).alias("_tessera_id")).count().filter("count > 1 and _tessera_id is not null").select("_tessera_id"), "minhash-repeated")
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    placed = write_table(_placed(docs.filter("text is not null and id is not null"), threshold, bands, band_rows).select("id", "k1", "k2", "kept"), "minhash-kept")
+    k1, k2 = _text_key(F.col(text))
+    rows = df.select(F.struct("*").alias("row"), F.struct(F.col(key).alias("id"), k1.alias("k1"), k2.alias("k2")).alias("at"), F.col(text).isNotNull().alias("has_text"))
+    gone = placed.filter("not kept").select(F.struct("id", "k1", "k2").alias("at")).distinct()
+    left = rows.join(gone, "at", "left_anti")
+    repeated = placed.filter("kept").groupBy(F.struct("id", "k1", "k2").alias("at")).count().filter("count > 1").select("at")
+    repeated = write_table(repeated, "minhash-repeated")
     if repeated.isEmpty():
-        return left
-    same = F.col(key) == F.col("_tessera_id")
-    again = left.join(repeated, same, "left_semi")
-    return left.join(repeated, same, "left_anti").unionByName(again.filter(F.col(text).isNull())).unionByName(again.filter(F.col(text).isNotNull()).dropDuplicates([key, text]))
+        return left.select("row.*")
+    again = left.filter("has_text").join(repeated, "at", "left_semi").dropDuplicates(["at"])
+    return left.join(repeated, "at", "left_anti").unionByName(again).select("row.*")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,37 @@ def test_one_of_each_group_stays(odd_docs, no_docs):
     assert drop_near_duplicates(no_docs, "doc_id", "text").count() == 0
 
 
+def test_keys_with_several_texts(spark):
+    """A text goes or stays by itself, whatever else stands under its key."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    near = b.replace("b39", "b40")
+    rows = [(1, a), (4, a), (4, b), (1, c), (4, near), (4, near), (7, None), (7, None), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "at": F.lit(2), "uid": F.lit(3), "has_text": F.lit(4)})
+    out = drop_near_duplicates(df, "doc_id", "text")
+    assert out.columns == df.columns
+    kept = sorted((r["doc_id"], r["text"] or "") for r in out.collect())
+    assert kept[0] == (1, a) and kept[1] == (1, c) and kept[3:] == [(7, ""), (7, "")] and kept[2] in ((4, b), (4, near)) and len(kept) == 5
+    found = near_duplicates(df, "doc_id", "text").collect()
+    assert len(found) == len(rows) and sum(r["kept"] for r in found if r["doc_id"] != 7) in (3, 4)
+    assert {r["component_id"] for r in found} == {1, 4, 7}
+
+
+def test_texts_that_share_a_passage(spark, monkeypatch):
+    """Many unlike texts meet in the buckets of a passage; the few that are alike are found among them."""
+    from tessera.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    bodies = [[f"x{n}_{i}" for i in range(40)] for n in range(90)]
+    texts = [passage + b for b in bodies] + [passage + b[:-2] + ["y", "z"] for b in bodies[::9]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, "doc_id", "text").collect()}
+    assert got == groups_by_hand(rows) and len(set(got.values())) == 90
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, id string, vec string, k string, grp string"
 
 
