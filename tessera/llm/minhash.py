@@ -15,8 +15,10 @@ which at the threshold happens to one pair in a million.  In each band's bucket
 leader, the member that shares the most buckets with others, is compared with all
 others there, then a leader of those that were not like the first, so that work
 stays linear in a group of copies; members whose components still differ after
-that are compared sketch block against sketch block.  The plausible pairs are
-then verified on the whole texts, and only verified pairs are links.
+that are compared sketch block against sketch block, each pair in the first bucket
+that it shares.  The plausible pairs are then verified on the whole texts, and only
+verified pairs are links.  Texts are always fetched by the same join, so that a
+small corpus shows what a large one costs.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ BAND_ROWS = 5
 THRESHOLD = 0.8
 STAR_ROUNDS = 2
 PLAUSIBLE = 5.0  # standard deviations of a sketch's agreement below the threshold
-BLOCK = 1024  # sketches in one block of a bucket
+BLOCK = 1024  # members in one block of a bucket, at most
+BLOCK_BYTES = 16 << 20  # of their texts in one block, on average at most
 TASK_PAIRS = 100_000_000  # pairs of sketches that a task of the last round compares, on average
 _SURE = 5.0  # e**-5 of the texts need a second look with a later bound
 
@@ -144,7 +147,7 @@ def _text_key(text: Column) -> tuple[Column, Column]:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, k1, k2, bands, sketch): the text's hashes, band keys and sketch; the last two are null where the text has no word."""
+    """(id, k1, k2, size, bands, sketch): the text's hashes, bytes, band keys and sketch; the last two are null where the text has no word."""
     registers = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +161,11 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 low = mix64(signed).astype(np.uint16)
                 sketches.append(pa.array([x.tobytes() if h else None for x, h in zip(low, has, strict=True)], pa.binary()))
             found = [pa.concat_arrays(x) if x else pa.array([], t) for x, t in ((keys, pa.list_(pa.int64())), (sketches, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2")), *found], ["id", "k1", "k2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2", "size")), *found], ["id", "k1", "k2", "size", "bands", "sketch"])
 
     k1, k2 = _text_key(F.col("text"))
-    return docs.select("id", k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>, sketch binary")
+    keyed = docs.select("id", k1.alias("k1"), k2.alias("k2"), F.octet_length("text").cast("long").alias("size"), "text")
+    return keyed.mapInArrow(sign, "id long, k1 long, k2 long, size long, bands array<long>, sketch binary")
 
 
 def _registers(sketches: pa.Array | pd.Series) -> np.ndarray:
@@ -193,19 +197,20 @@ def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' probability Jaccard is at least the threshold.
-
-    The text of a class is fetched once, from a document with its smallest key;
-    Spark broadcasts the classes asked for while they are small by its own measure.
-    """
-    asked = write_table(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(classes.select("uid", "class_id", "k1", "k2"), "uid"), "minhash-asked")
+def _texts(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(uid, text) of the classes asked for, each from a document with its smallest key."""
+    asked = write_table(asked.distinct().join(classes.select("uid", "class_id", "k1", "k2"), "uid"), "minhash-asked")
     k1, k2 = _text_key(F.col("text"))
-    found = docs.join(asked, (F.col("id") == F.col("class_id")) & (k1 == F.col("k1")) & (k2 == F.col("k2")))
-    texts = write_table(found.select("uid", "text").dropDuplicates(["uid"]), "minhash-texts")
+    found = docs.join(asked.hint("merge"), (F.col("id") == F.col("class_id")) & (k1 == F.col("k1")) & (k2 == F.col("k2")))
+    return write_table(found.select("uid", "text").dropDuplicates(["uid"]), "minhash-texts")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts' probability Jaccard is at least the threshold."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("uid")), classes, docs)
     both = pairs
     for side in ("b", "a"):
-        both = both.join(texts.select(F.col("uid").alias(side), F.col("text").alias(f"text_{side}")), side)
+        both = both.join(texts.select(F.col("uid").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,46 +223,107 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
     return write_table(checked.filter(F.col("similarity") >= threshold).select("a", "b"), "minhash-links")
 
 
-def _block_pairs(members: DataFrame, least: int) -> DataFrame:
-    """Plausible pairs (a, b) of a bucket's members (bucket, uid, comp, sketch) from different components.
+CELL = ("bucket", "i", "j")
+
 
-    Blocks of about BLOCK sketches meet in pairs, two in a group.  The number of
-    tasks follows from the number of pairs, not of bytes.
+def _cells(members: DataFrame, least: int, band_rows: int) -> DataFrame:
+    """(bucket, i, j, side, uid, comp, partners): what has to be verified in each cell of two blocks.
+
+    members has (bucket, band, uid, comp, size, sketch).  A member of block i has
+    the members of block j that it is plausibly like as partners; these have a row
+    on the other side.  Left out are pairs of one component and pairs that share
+    an earlier bucket.  The number of tasks follows from the number of pairs.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     total = sizes.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_PAIRS))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    carried = ["bucket", "uid", "comp", "block", "sketch"]
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = members.drop("size").join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    carried = ["bucket", "band", "uid", "comp", "block", "sketch"]
     cells = dealt.select(*carried, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *carried)
+    schema = "bucket long, i int, j int, side int, uid long, comp long, partners array<long>"
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (pdf[pdf["block"] == pdf[c].iloc[0]] for c in ("i", "j"))
-        ids, comps, y = right["uid"].to_numpy(), right["comp"].to_numpy(), _registers(right["sketch"])
-        out = [np.empty((0, 2), np.int64)]
+        ids, comps, y, band = right["uid"].to_numpy(), right["comp"].to_numpy(), _registers(right["sketch"]), pdf["band"].iloc[0]
+        out, met, whole = [], np.zeros(len(ids), bool), left["block"].iloc[0] == right["block"].iloc[0] if len(left) and len(right) else False
         for own, comp, x in zip(left["uid"], left["comp"], _registers(left["sketch"]), strict=True):
-            near = ids[((y == x).sum(1) >= least) & (comps != comp)]
-            out.append(np.stack([np.minimum(near, own), np.maximum(near, own)], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            same = y == x
+            near = np.flatnonzero((same.sum(1) >= least) & (comps != comp) & ((ids > own) | (not whole)))
+            near = near[same[near].reshape(len(near), len(x) // band_rows, band_rows).all(2).argmax(1) == band]
+            if len(near):
+                out.append((0, own, comp, ids[near]))
+                met[near] = True
+        out += [(1, u, c, None) for u, c in zip(ids[met], comps[met], strict=True)]
+        found = pd.DataFrame(out, columns=["side", "uid", "comp", "partners"])
+        return found.assign(**{c: pdf[c].iloc[0] for c in CELL})[[c.split()[0] for c in schema.split(", ")]]
+
+    return cells.repartition(tasks, *CELL).groupBy(*CELL).applyInPandas(cross, schema)
+
+
+def _cell_links(cells: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among a cell's partners that join components.
+
+    For each text a bound from above of its similarity to all others of the other
+    side is computed at once; what is left is verified.  Components that have met
+    once in the cell are not compared there again.
+    """
 
-    return cells.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(cross, "a long, b long").distinct()
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["side"] == s].reset_index(drop=True) for s in (0, 1))
+        x, y = (_sets(pa.array(p["text"], pa.string())) for p in (left, right))
+        known = np.unique(np.concatenate([v for v, _ in x]))
+        values, weights = (np.concatenate([s[k] for s in y]) for k in (0, 1))
+        starts = np.cumsum([0] + [len(v) for v, _ in y[:-1]])
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        at[known[at] != values] = len(known)  # a place that stays zero
+        totals = np.add.reduceat(weights, starts).astype(float)
+        owner = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(values))))
+        root = {c: c for c in pdf["comp"].unique()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        own, ids, comps, out = np.zeros(len(known) + 1, np.int64), right["uid"].to_numpy(), right["comp"].to_numpy(), []
+        for (v, w), uid, comp, partners in zip(x, left["uid"], left["comp"], left["partners"], strict=True):
+            place = np.searchsorted(known, v)
+            own[place] = w
+            here = np.flatnonzero(own[at])
+            of, wx, wy = owner[here], own[at[here]].astype(float), weights[here].astype(float)
+            own[place] = 0
+            total = float(w.sum())
+            only_x = total - np.bincount(of, wx, len(y))
+            only_y = totals - np.bincount(of, wy, len(y))
+            # Each maximum is at least either of its sides; exact where all counts are equal.
+            terms = np.minimum(wx / (total + only_y[of] * wx / wy), wy / (totals[of] + only_x[of] * wy / wx))
+            bound = np.bincount(of, terms, len(y))
+            for k in np.flatnonzero((bound >= threshold - 1e-9) & np.isin(ids, partners)):
+                one, two = find(comp), find(comps[k])
+                if one != two and probability_jaccard((v, w), y[k]) >= threshold:
+                    root[max(one, two)] = min(one, two)
+                    out.append((min(uid, ids[k]), max(uid, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    both = cells.join(texts.hint("merge"), "uid")
+    return write_table(both.repartition(*CELL).groupBy(*CELL).applyInPandas(verify, "a long, b long"), "minhash-links")
 
 
 def _placed(docs: DataFrame, threshold: float, bands: int, band_rows: int) -> DataFrame:
     """(id, k1, k2, class_id, component_id, kept) for every row of docs (id, text) with an id and a text."""
     signed = write_table(_signed(docs, bands, band_rows), "minhash-signed")
-    classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     # A text's own number: a key may have several texts.
     classes = write_table(classes.withColumn("uid", F.monotonically_increasing_id()), "minhash-classes")
     least = math.ceil(bands * band_rows * (threshold - PLAUSIBLE * math.sqrt(threshold * (1 - threshold) / (bands * band_rows))))
 
-    buckets = classes.filter("bands is not null").select("uid", F.posexplode("bands").alias("band", "value")).select("uid", F.xxhash64("band", "value").alias("bucket"))
+    buckets = classes.filter("bands is not null").select("uid", F.posexplode("bands").alias("band", "value")).select("uid", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     # The text that most others were copied from shares the most buckets.
     central = F.sum("n").over(Window.partitionBy("uid"))  # a row for each band at most
-    members = write_table(buckets.join(shared, "bucket").select("bucket", "uid", central.alias("central")), "minhash-members")
+    members = write_table(buckets.join(shared, "bucket").select("bucket", "band", "uid", central.alias("central")), "minhash-members")
 
     near, compared = None, None
     waiting = members  # (bucket, uid) not like a leader of the bucket so far
@@ -279,13 +345,13 @@ def _placed(docs: DataFrame, threshold: float, bands: int, band_rows: int) -> Da
 
     # Two members of a bucket have been compared; of more, those from different
     # components may still be alike without either being a leader.
-    spread = members.join(comps.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "uid", F.coalesce("component_id", "uid").alias("comp"))
+    spread = members.join(comps.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "band", "uid", F.coalesce("component_id", "uid").alias("comp"))
     parted = spread.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("bucket")
-    apart = write_table(spread.join(parted, "bucket").join(classes.select("uid", "sketch"), "uid"), "minhash-apart")
-    more = write_table(_block_pairs(apart, least).join(compared, ["a", "b"], "left_anti"), "minhash-near")
+    apart = write_table(spread.join(parted, "bucket").join(classes.select("uid", "size", "sketch"), "uid"), "minhash-apart")
+    cells = write_table(_cells(apart, least, band_rows), "minhash-cells")
+    more = _cell_links(cells, _texts(cells.select("uid"), classes, docs), threshold)
     if not more.isEmpty():
-        links = links.union(_verified(more, classes, docs, threshold))
-        comps = write_table(components(links, "a", "b"), "minhash-components")
+        comps = write_table(components(links.union(more), "a", "b"), "minhash-components")
 
     # A component is known by its smallest key, and by one text that has this key.
     linked = classes.select("uid", "class_id", "k1", "k2").join(comps.withColumnRenamed("id", "uid"), "uid")

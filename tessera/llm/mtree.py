@@ -91,8 +91,7 @@ def _grow(points: DataFrame, dim: int, top: float) -> tuple[DataFrame, DataFrame
     is no row of the nodes.  Vectors that are all alike cannot be parted by
     distance; they stay one node, and a leaf of any size is read in pages.
     """
-    now = points.withColumns({"node": F.lit(1).cast("long"), "depth": F.lit(0), "away": F.lit(0.0)})
-    done, levels, above = None, [], None
+    now, done, levels, above = points, None, [], None
     for level in range(LEVELS):
         drawn = F.xxhash64("vec", F.lit(level))
         sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct(drawn).alias("kinds"))
@@ -305,14 +304,16 @@ def top_products(df: DataFrame, key: str, vector: str, is_query: Column, k: int
     Other columns, whatever their names, are not read.
     """
     rows = df.select(F.col(key).alias("id"), whole_components(F.col(vector), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    points = write_table(rows.filter("vec is not null and id is not null").withColumn("uid", F.monotonically_increasing_id()), "mtree-points")
+    rows = rows.filter("vec is not null and id is not null").withColumn("uid", F.monotonically_increasing_id())
+    # All lie in the root; as columns of the table, for a join on a literal would be a cross join.
+    points = write_table(rows.withColumns({"node": F.lit(1).cast("long"), "depth": F.lit(0), "away": F.lit(0.0)}), "mtree-points")
     norm = F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x * x)
     whole = points.agg(F.max(norm).alias("top"), F.max(F.size("vec")).alias("dim")).first()
     spark = df.sparkSession
     if whole["top"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long").withColumnRenamed("vec_id", key)
     top, dim = float(whole["top"]), int(whole["dim"])
-    leaves, nodes, depth = _grow(points.select("uid", "id", "vec", "asks"), dim, top)
+    leaves, nodes, depth = _grow(points, dim, top)
     queries = write_table(_blocks(leaves).withColumn("beat", F.lit(float("-inf"))), "mtree-queries")
 
     # Every query's own leaf gives it a first score to beat.

@@ -1,16 +1,17 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors of one label form a class first; classes are the vertices.  Every
-vertex starts with the nearest others of a few random-projection blocks.  Then
-each round brings the neighbours of every vertex, in both directions, together in
-one cell, compares them with each other, and keeps for each vertex the best it
-has seen.  Where all kept neighbours are links, the list is saturated and may have
-lost some: the members of such a component are compared with each other, block
-against block, and with all other vectors of the label that the triangle
-inequality does not rule out; links are counted without writing pairs out.  At
-last a sample is compared with all vectors; if too few of its links were found,
-the search goes on with other planes and longer lists, and after the last try
-everything is compared.
+vertex starts with the nearest others of a few random-projection blocks, or of
+small random blocks.  Then each round brings the neighbours of every vertex, in both
+directions, together in one cell, compares them with each other, and keeps for
+each vertex the best it has seen, until a round hardly improves the lists.  Where
+all kept neighbours are links, the list is saturated and may have lost some: the
+component of such a vertex is open, and its members are cut into units with a
+centre and a radius.  Every vector of the label that the triangle inequality does
+not rule out meets a unit's members; links are counted without writing pairs out.
+At last a sample is compared with all vectors; if too few of its links were found,
+the search goes on with other planes and longer lists, and after the last try all
+components are open, so that everything is compared.
 """
 
 from __future__ import annotations
@@ -28,16 +29,20 @@ from tessera.llm.worktables import write_table
 
 THRESHOLD = 0.98
 NEIGHBOURS = 10
-ROUNDS = 3
-BLOCK = 384  # vectors in a starting block, and in a block of an enlarged list
+ROUNDS = 8  # at most
+IMPROVED = 0.001  # a round that lowers the lists' distances by a smaller share is the last
+BLOCK = 384  # vectors in a starting block
+UNIT = 1024  # members of an open component in one unit
+MEET = 4096  # vectors that meet a unit in one group
+CENTRES = 4096  # centres, and vectors, in one group of the search for units in reach
 MISS = 0.01  # share of links at the threshold that may have no starting block in common
 CELLS = 64  # cells that one group of a round holds, on average
 AUDIT = 200  # vectors, in expectation, that are compared with all
 TARGET_RECALL = 0.97
 TRIES = 3
 SPLITS = 4  # times that a block that is too large is parted by further planes
-HELD = 32768  # vectors that every task compares with its own at a time, on average
 SLACK = 1e-6  # of angles, for rounding
+CLOSE = 1e-12  # cosines nearer to the threshold than this are computed again, one product after another
 
 
 def usable(vector: Column) -> Column:
@@ -46,15 +51,37 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def unit_rows(vectors: pd.Series) -> np.ndarray:
-    """Vectors of length 1; shorter ones are filled up with zeros, which leaves cosines as they are."""
+def _raw_rows(vectors: pd.Series) -> np.ndarray:
+    """Vectors in double precision; shorter ones are filled up with zeros."""
     sizes = vectors.map(len).to_numpy()
     x = np.zeros((len(vectors), sizes.max()))
     x[np.arange(x.shape[1]) < sizes[:, None]] = np.concatenate(vectors.to_numpy())
-    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.abs(x).max(1, keepdims=True)
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length 1; shorter ones are filled up with zeros, which leaves cosines as they are."""
+    x = _raw_rows(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Cosines of rows of length 1; those at the threshold don't depend on how rows are put together.
+
+    A matrix product may add in another order for another shape.  Where that
+    could decide, the products are added one after another.
+    """
+    similar = x @ y.T
+    i, j = np.nonzero(np.abs(similar - threshold) < CLOSE)
+    if len(i):
+        a, b = x[i], y[j]
+        dot, one, two = np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(i))
+        for k in range(x.shape[1]):
+            dot, one, two = dot + a[:, k] * b[:, k], one + a[:, k] * a[:, k], two + b[:, k] * b[:, k]
+        similar[i, j] = dot / np.sqrt(one * two)
+    return similar
+
+
 def _best(x: np.ndarray, y: np.ndarray, similar: np.ndarray, k: int) -> pd.DataFrame:
     """The k most similar distinct y of each x."""
     order = np.lexsort((y, -similar, x))
@@ -72,7 +99,7 @@ def _top_lists(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
-def _split(blocks: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
+def _split(blocks: DataFrame, counts: DataFrame, seed: int, kind: str) -> DataFrame:
     """Blocks that are too large, parted by planes through the mean of a sample of each."""
     keys = ["grp", "repeat", "code"]
     inside = blocks.join(counts, keys)
@@ -93,51 +120,61 @@ def _split(blocks: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
                 far = unit_rows(part["vec"]) - np.stack(part["mean"].to_numpy())
                 yield pd.DataFrame({"grp": part["grp"], "repeat": part["repeat"], "code": part["code"], "side": ((far @ normal) > 0) @ (1 << np.arange(planes)), "id": part["id"], "vec": part["vec"]})
 
-    parted = inside.join(means, keys).mapInPandas(sides, "grp long, repeat int, code long, side long, id long, vec array<float>")
+    parted = inside.join(means, keys).mapInPandas(sides, f"grp long, repeat int, code long, side long, id long, vec array<{kind}>")
     return parted.select("grp", "repeat", F.xxhash64("code", "side", F.lit(seed)).alias("code"), "id", "vec")
 
 
-def _start(vectors: DataFrame, sizes: dict, k: int, threshold: float, attempt: int = 0) -> DataFrame:
+def _start(vectors: DataFrame, largest: int, k: int, threshold: float, kind: str, attempt: int = 0, at_random: bool = False) -> DataFrame:
     """Lists from blocks: vectors of a label that lie on the same sides of random planes.
 
-    The number of planes follows from the label's size, the number of repeats from
-    how likely a pair at the threshold is to be parted.  A block larger than BLOCK
-    is parted by further planes; only what these cannot part is dealt at random.
-    Each attempt has other planes, and twice the repeats of the one before.
+    vectors has (grp, id, vec, size), size being the number of vectors of the
+    label.  The number of planes follows from that, the number of repeats from how
+    likely a pair at the threshold is to be parted.  A block larger than BLOCK is
+    parted by further planes; only what these cannot part is dealt at random.
+    Each attempt has other planes, and twice the repeats of the one before.  With
+    at_random a vector starts with those of a few small random blocks.
     """
-    largest = max(sizes.values())
-    planes = max(0, math.ceil(math.log2(max(1, largest / BLOCK))))
-    together = (1 - math.acos(threshold) / math.pi) ** (planes + 1)
-    repeats = 1 if planes == 0 else math.ceil(math.log(MISS) / math.log1p(-together)) << attempt
+    planes = 0 if at_random else max(0, math.ceil(math.log2(max(1, largest / BLOCK))))
+
+    def repeats(planes: int) -> int:
+        if at_random:
+            return 4
+        together = (1 - math.acos(threshold) / math.pi) ** (planes + 1)
+        return 1 if planes == 0 else math.ceil(math.log(MISS) / math.log1p(-together)) << attempt
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
             x = unit_rows(pdf["vec"])
-            for number in range(repeats):
+            # A label's own planes are the first of those of the largest label.
+            own = np.minimum(np.ceil(np.log2(np.maximum(pdf["size"].to_numpy() / BLOCK, 1))).astype(int), planes)
+            times = np.array([repeats(p) for p in range(planes + 1)])[own]
+            for number in range(times.max()):
                 normal = np.random.default_rng(1000 * (attempt + 1) + number).standard_normal((x.shape[1], planes))
-                code = ((x @ normal) > 0) @ (1 << np.arange(planes)) if planes else np.zeros(len(x), np.int64)
-                yield pd.DataFrame({"grp": pdf["grp"], "repeat": np.int32(number), "code": code.astype(np.int64), "id": pdf["id"], "vec": pdf["vec"]})
+                bits = ((x @ normal) > 0) & (np.arange(planes) < own[:, None]) if planes else np.zeros((len(x), 0), bool)
+                has = times > number
+                yield pd.DataFrame({"grp": pdf["grp"], "repeat": np.int32(number), "code": (bits @ (1 << np.arange(planes))).astype(np.int64), "id": pdf["id"], "vec": pdf["vec"]})[has]
 
     keys = ["grp", "repeat", "code"]
-    coded = vectors.select("grp", "id", "vec").mapInPandas(sides, "grp long, repeat int, code long, id long, vec array<float>")
+    block = max(4, k // 2) if at_random else BLOCK
+    coded = vectors.select("grp", "id", "vec", "size").mapInPandas(sides, f"grp long, repeat int, code long, id long, vec array<{kind}>")
     coded, ready = write_table(coded, "descent-blocks"), None
-    for split in range(SPLITS):
+    for split in range(0 if at_random else SPLITS):
         large = write_table(coded.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "descent-large")
         small = coded.join(large, keys, "left_anti")
         ready = small if ready is None else ready.unionByName(small)
         if large.isEmpty():
             coded = coded.limit(0)
             break
-        coded = write_table(_split(coded, large, 100 * attempt + split), "descent-blocks")
-    coded = ready.unionByName(coded)
+        coded = write_table(_split(coded, large, 100 * attempt + split, kind), "descent-blocks")
+    coded = coded if ready is None else ready.unionByName(coded)
     counts = coded.groupBy(*keys).agg(F.count("*").alias("n"))
-    dealt = coded.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("id", "repeat", F.lit(attempt)), F.ceil(F.col("n") / BLOCK)))
+    dealt = coded.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("id", "repeat", F.lit(attempt)), F.ceil(F.col("n") / block)))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = unit_rows(pdf["vec"]), pdf["id"].to_numpy()
-        similar = x @ x.T
+        similar = cosines(x, x, threshold)
         np.fill_diagonal(similar, -np.inf)
         most = min(k, len(ids) - 1)
         at = np.argpartition(-similar, max(most - 1, 0), axis=1)[:, :most]
@@ -147,7 +184,7 @@ def _start(vectors: DataFrame, sizes: dict, k: int, threshold: float, attempt: i
     return _top_lists(dealt.groupBy("grp", "repeat", "code", "part").applyInPandas(nearest, "u long, v long, s double"), k)
 
 
-def _descend(lists: DataFrame, vectors: DataFrame, n: int, k: int) -> DataFrame:
+def _descend(lists: DataFrame, vectors: DataFrame, n: int, k: int, threshold: float) -> DataFrame:
     """One round: neighbours of a vertex meet in its cell; lists with the better ones among them."""
     both = lists.select("u", "v", "s").union(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
     worst = lists.groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("has")).select(F.col("u").alias("v"), F.when(F.col("has") >= k, F.col("worst")).otherwise(-2.0).alias("worst"))
@@ -167,105 +204,108 @@ def _descend(lists: DataFrame, vectors: DataFrame, n: int, k: int) -> DataFrame:
         a, b = ids[place][:, :, None], ids[place][:, None, :]
         good = there[:, :, None] & there[:, None, :] & (a != b) & (similar > worst[place][:, :, None])
         c, i, j = np.nonzero(good)
-        return _best(ids[place[c, i]], ids[place[c, j]], similar[c, i, j], k)
+        s = similar[c, i, j]
+        for m in np.flatnonzero(np.abs(s - threshold) < CLOSE):
+            s[m] = cosines(x[place[c[m], i[m]]][None], x[place[c[m], j[m]]][None], threshold)[0, 0]
+        return _best(ids[place[c, i]], ids[place[c, j]], s, k)
 
     met = members.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups))).groupBy("g").applyInPandas(meet, "u long, v long, s double")
     return _top_lists(lists.select("u", "v", "s").union(met), k)
 
 
-def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): for each member of a component, the vectors of the others within the threshold.
+def _refined(lists: DataFrame, vectors: DataFrame, n: int, k: int, threshold: float) -> DataFrame:
+    """Rounds of descent until one hardly improves the lists."""
+
+    def far(now: DataFrame) -> float:
+        # A place that is still free counts as far away.
+        return 2.0 * n * k - (now.agg(F.sum(F.col("s") + 1)).first()[0] or 0.0)
+
+    before = far(lists)
+    for _ in range(ROUNDS):
+        lists = write_table(_descend(lists, vectors, n, k, threshold), "descent-lists")
+        after = far(lists)
+        if before - after <= IMPROVED * before:
+            break
+        before = after
+    return lists
+
 
-    Blocks of a component meet in pairs; a task holds two blocks and gives one
-    row for each vector in them.
+def _reached(vectors: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """(unit, grp, id): the vectors of a label within a unit's radius and the threshold's angle.
+
+    units has (grp, unit, centre, radius).  About CENTRES vectors meet as many
+    centres in a group; a vector is sent once for every CENTRES units of its label.
     """
-    sizes = members.groupBy("component_id").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "component_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("component_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "vec")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "links": []})
-        near = unit_rows(left["vec"]) @ unit_rows(right["vec"]).T >= threshold
-        if i == j:
-            np.fill_diagonal(near, False)
-            return pd.DataFrame({"id": left["id"], "links": near @ right["copies"].to_numpy()})
-        ids = np.concatenate([left["id"], right["id"]])
-        return pd.DataFrame({"id": ids, "links": np.concatenate([near @ right["copies"].to_numpy(), near.T @ left["copies"].to_numpy()])})
-
-    return cells.groupBy("component_id", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-
-
-def _across(vectors: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """Links between members of open components and the vectors outside their component.
-
-    vectors has (id, grp, copies, vec, component_id, open), members those of open
-    components.  Gives (id, links) for both ends, and (a, b) for components that a
-    link joins.  Members come to all tasks, about HELD at a time, in units of one
-    component; a unit meets the vectors within its radius and the threshold's angle.
+    a = vectors.groupBy("grp").agg(F.ceil(F.count("*") / CENTRES).alias("chunks"))
+    b = units.groupBy("grp").agg(F.ceil(F.count("*") / CENTRES).alias("sets"))
+    shape = write_table(a.join(b, "grp"), "descent-shape")
+    zero = F.lit(0).cast("long")
+    rows = vectors.select("grp", "id", "vec").join(shape, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("set", F.explode(F.sequence(zero, F.col("sets") - 1)))
+    held = units.select("grp", "unit", "centre", "radius").join(shape, "grp").withColumn("set", F.pmod(F.xxhash64("unit"), F.col("sets"))).withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+    least = math.acos(threshold) + SLACK
+
+    def reach(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or c.empty:
+            return pd.DataFrame({"unit": [], "id": []})
+        near = unit_rows(x["vec"]) @ np.stack(c["centre"].to_numpy()).T >= np.cos(np.minimum(c["radius"].to_numpy() + least, math.pi)) - SLACK
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"unit": c["unit"].to_numpy()[j], "id": x["id"].to_numpy()[i]})
+
+    keys = ["grp", "chunk", "set"]
+    return rows.drop("chunks", "sets").groupBy(*keys).cogroup(held.drop("chunks", "sets").groupBy(*keys)).applyInPandas(reach, "unit long, id long")
+
+
+def _complete(vectors: DataFrame, threshold: float) -> DataFrame:
+    """All links of the members of open components: (id, links) and (a, b) for components that a link joins.
+
+    vectors has (id, grp, copies, vec, component_id, open).  A vector outside the
+    open components gets its links with their members only.
     """
-    sizes = members.groupBy("component_id").agg(F.count("*").alias("n"))
-    units = members.join(sizes, "component_id").withColumn("unit", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    chunks = max(1, math.ceil(members.count() / HELD))
-    units = write_table(units.withColumn("chunk", F.pmod(F.xxhash64("component_id", "unit"), F.lit(chunks))), "descent-units")
-    found = None
-    for chunk in range(chunks):
-        held = units.filter(F.col("chunk") == chunk).select("grp", "component_id", "unit", "id", "copies", "vec").toPandas()
-        sides = {}
-        for g, part in held.groupby("grp"):
-            parts = [(u["component_id"].iloc[0], u["id"].to_numpy(), u["copies"].to_numpy(), unit_rows(u["vec"])) for _, u in part.groupby(["component_id", "unit"])]
-            centres = np.stack([x.mean(0) for *_, x in parts])
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
-            reach = [np.arccos(np.clip(x @ c, -1, 1)).max() for (*_, x), c in zip(parts, centres)]
-            sides[g] = (centres, np.cos(np.minimum(np.array(reach) + math.acos(threshold) + SLACK, math.pi)) - SLACK, parts)
-
-        def compare(batches: Iterator[pd.DataFrame], sides: dict = sides) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for g, part in pdf.groupby("grp"):
-                    if g not in sides:
-                        continue
-                    centres, least, parts = sides[g]
-                    x, ids, own = unit_rows(part["vec"]), part["id"].to_numpy(), part["component_id"].to_numpy()
-                    copies, alone = part["copies"].to_numpy(), ~part["open"].to_numpy()
-                    links, ends, joined = np.zeros(len(ids), np.int64), [], []
-                    near = x @ centres.T >= least
-                    for at in np.flatnonzero(near.any(0)):
-                        component, others, weights, y = parts[at]
-                        rows = np.flatnonzero(near[:, at] & (own != component))
-                        if not len(rows):
-                            continue
-                        hit = x[rows] @ y.T >= threshold
-                        if not hit.any():
-                            continue
-                        links[rows] += hit @ weights
-                        back = (copies[rows] * alone[rows]) @ hit  # open vectors are held in their turn
-                        ends.append(pd.DataFrame({"id": others[back > 0], "links": back[back > 0], "a": None, "b": None}))
-                        joined += [(a, component) for a in np.unique(own[rows[hit.any(1)]])]
-                    yield pd.DataFrame({"id": ids[links > 0], "links": links[links > 0], "a": None, "b": None})
-                    yield from ends
-                    if joined:
-                        a, b = np.array(joined).T
-                        yield pd.DataFrame({"id": None, "links": None, "a": a, "b": b})
-
-        now = vectors.mapInPandas(compare, "id long, links long, a long, b long")
-        now = now.groupBy("id", "a", "b").agg(F.sum("links").alias("links"))
-        now = write_table(now, "descent-across")
-        found = now if found is None else found.unionByName(now)
-    return found
+    members = vectors.filter("open")
+    sizes = members.groupBy("component_id").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
+    members = members.join(sizes, "component_id").withColumn("unit", F.xxhash64("component_id", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("parts", "open")
+    members = write_table(members, "descent-members")
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit_rows(pdf["vec"])
+        centre = x.mean(0)
+        centre /= max(np.linalg.norm(centre), 1e-300)
+        return pd.DataFrame({"grp": pdf["grp"].head(1), "unit": pdf["unit"].head(1), "centre": [centre], "radius": np.arccos(np.clip(x @ centre, -1, 1)).max()})
+
+    units = write_table(members.select("grp", "unit", "vec").groupBy("grp", "unit").applyInPandas(measure, "grp long, unit long, centre array<double>, radius double"), "descent-units")
+    reached = write_table(_reached(vectors, units, threshold), "descent-reached")
+    meets = write_table(reached.groupBy("unit").agg(F.ceil(F.count("*") / MEET).alias("parts")), "descent-meets")
+    x = reached.join(meets, "unit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    x = x.join(vectors.select("id", "copies", "vec", "component_id", "open"), "id")
+    y = members.select("unit", "id", "copies", "vec", "component_id").join(meets, "unit").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+    def compare(near: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "links": [], "a": [], "b": []})]
+        if len(near) and len(own):
+            hit = cosines(unit_rows(near["vec"]), unit_rows(own["vec"]), threshold) >= threshold
+            hit &= near["id"].to_numpy()[:, None] != own["id"].to_numpy()[None, :]
+            alone = ~near["open"].to_numpy(bool)
+            for ids, links in ((own["id"].to_numpy(), near["copies"].to_numpy() @ hit), (near["id"].to_numpy()[alone], hit[alone] @ own["copies"].to_numpy())):
+                out.append(pd.DataFrame({"id": ids[links > 0], "links": links[links > 0]}))
+            to = near["component_id"].to_numpy()
+            joined = np.unique(to[hit.any(1) & (to != own["component_id"].iloc[0])])
+            out.append(pd.DataFrame({"a": joined, "b": own["component_id"].iloc[0]}))
+        return pd.concat([o for o in out if len(o)] or out).reindex(columns=["id", "links", "a", "b"]).astype("Int64")
+
+    found = x.groupBy("unit", "part").cogroup(y.groupBy("unit", "part")).applyInPandas(compare, "id long, links long, a long, b long")
+    return write_table(found.groupBy("id", "a", "b").agg(F.sum("links").alias("links")), "descent-complete")
 
 
 def audit_recall(vectors: DataFrame, degrees: DataFrame, n: int, threshold: float) -> float:
     """Share of a sample's links that degrees (id, links) has, against a comparison with all vectors.
 
-    About AUDIT vectors, chosen by hash, go to every task.  The share is that of all
-    links or the mean over the vectors that have any, whichever is smaller, so that
-    one large group does not hide the rest.
+    About AUDIT vectors, chosen by hash, go to every task.  The share is the
+    smallest of three: of all links, of the mean over the vectors that have any,
+    and of the vectors with few links (as many as a list holds at first), so that
+    large groups, which are counted exactly, do not hide small ones.
     """
     rate = min(1.0, AUDIT / max(n, 1))
-    chosen = vectors.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("id", "grp", "vec").toPandas()
+    chosen = vectors.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 60)) < int(rate * (1 << 60))).select("id", "grp", "vec").toPandas()
     if chosen.empty:
         return 1.0
     ids, grp = chosen["id"].to_numpy(), chosen["grp"].to_numpy()
@@ -276,16 +316,17 @@ def audit_recall(vectors: DataFrame, degrees: DataFrame, n: int, threshold: floa
             for g, part in pdf.groupby("grp"):
                 if g in sides:
                     own, x = sides[g]
-                    near = (x @ unit_rows(part["vec"]).T >= threshold) & (own[:, None] != part["id"].to_numpy()[None, :])
+                    near = (cosines(x, unit_rows(part["vec"]), threshold) >= threshold) & (own[:, None] != part["id"].to_numpy()[None, :])
                     yield pd.DataFrame({"id": own, "links": near @ part["copies"].to_numpy()})
 
     true = vectors.select("id", "grp", "copies", "vec").mapInPandas(compare, "id long, links long").groupBy("id").agg(F.sum("links").alias("true_links"))
     both = true.filter("true_links > 0").join(degrees, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    both = both.agg(F.sum("true_links").alias("t"), F.sum("links").alias("f"), F.avg(F.col("links") / F.col("true_links")).alias("each")).first()
-    return 1.0 if not both["t"] else min(both["f"] / both["t"], both["each"])
+    few = F.col("true_links") <= NEIGHBOURS
+    shares = both.agg(F.sum("links") / F.sum("true_links"), F.avg(F.col("links") / F.col("true_links")), F.sum(F.when(few, F.col("links"))) / F.sum(F.when(few, F.col("true_links"))))
+    return min((x for x in shares.first() if x is not None), default=1.0)
 
 
-def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
+def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, at_random: bool = False) -> DataFrame:
     """(key, n_links, component_id, kept), one row for each row of df.
 
     Rows link if their labels are equal and not null and the cosine of their
@@ -293,27 +334,34 @@ def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, thr
     null or zero, or hold null or non-finite components, link with nothing, and
     nor do vectors of different lengths, null labels or null keys.  n_links counts
     the other rows linked directly, copies included; component_id is the smallest
-    key reachable; kept says that the key is its component's.  An empty table
-    gives an empty result.  Other columns of df are not carried.
+    key reachable; kept says that the key is its component's.  Many rows of one
+    label, of one vector or of its multiples are compared in groups of bounded
+    size.  With at_random the first lists are random and only the descent finds
+    neighbours.  An empty table gives an empty result.  Other columns of df,
+    whatever their names, are not carried.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vec"), F.col(label).alias("label"))
+    kind = "float" if dict(df.dtypes)[vector] == "array<float>" else "double"
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{kind}>").alias("vec"), F.col(label).alias("label"))
     ok = usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull()
     keyed = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    keyed = write_table(keyed.withColumn("grp", F.xxhash64("label", F.size("vec"))).withColumn("k", F.when(F.col("ok"), F.xxhash64("label", "vec"))), "descent-rows")
-    classes = keyed.filter("ok").groupBy("grp", "k").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    vectors = write_table(classes, "descent-vectors")
-    sizes = {r["grp"]: r["count"] for r in vectors.groupBy("grp").count().collect()}  # one row for each label
-    n = sum(sizes.values())
+    # Two hashes of different seeds, 128 bits in all, stand for a label's vector.
+    known_by = F.struct(F.xxhash64("label", "vec").alias("a"), F.xxhash64(F.lit("second"), "vec", "label").alias("b"))
+    keyed = write_table(keyed.withColumn("grp", F.xxhash64("label", F.size("vec"))).withColumn("k", F.when(F.col("ok"), known_by)), "descent-rows")
+    classes = keyed.filter("ok").groupBy("grp", "k").agg(F.min("id").alias("key"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    # A vertex has a number of its own: a key may have several vectors.
+    classes = write_table(classes.withColumn("id", F.monotonically_increasing_id()), "descent-classes")
+    sizes = classes.groupBy("grp").agg(F.count("*").alias("size"))
+    vectors = write_table(classes.join(sizes, "grp"), "descent-vectors")
+    n, largest = vectors.agg(F.count("*"), F.max("size")).first()
     if n == 0:
         return keyed.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
 
     k, lists = neighbours, None
     for attempt in range(TRIES + 1):
         if attempt < TRIES:
-            begun = _start(vectors, sizes, k, threshold, attempt)
+            begun = _start(vectors, largest, k, threshold, kind, attempt, at_random)
             lists = write_table(begun if lists is None else _top_lists(begun.union(lists), k), "descent-lists")
-            for _ in range(ROUNDS):
-                lists = write_table(_descend(lists, vectors, n, k), "descent-lists")
+            lists = _refined(lists, vectors, n, k, threshold)
             links = write_table(lists.filter(F.col("s") >= threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "descent-links")
             comps = write_table(components(links, "a", "b"), "descent-components")
             full = lists.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("has")).filter((F.col("has") >= k) & (F.col("low") >= threshold)).select(F.col("u").alias("id"))
@@ -322,22 +370,19 @@ def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, thr
             open_comps = vectors.select("id").join(comps, "id", "left").select(F.coalesce("component_id", "id").alias("component_id")).distinct()
         placed = vectors.select("id", "grp", "copies", "vec").join(comps, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
         placed = write_table(placed.join(open_comps.withColumn("open", F.lit(True)), "component_id", "left").na.fill(False, ["open"]), "descent-placed")
-        inside = placed.filter("open")
-        enlarged = _enlarged(inside.select("component_id", "id", "copies", "vec"), threshold)
         ends = links.select(F.col("a").alias("id"), F.col("b").alias("o")).union(links.select(F.col("b"), F.col("a")))
-        listed = ends.join(vectors.select(F.col("id").alias("o"), "copies"), "o").groupBy("id").agg(F.sum("copies").alias("links")).join(inside.select("id"), "id", "left_anti")
-        across = _across(placed, inside, threshold)
-        counted = listed.unionByName(enlarged).unionByName(across.filter("id is not null").select("id", "links"))
+        listed = ends.join(vectors.select(F.col("id").alias("o"), "copies"), "o").groupBy("id").agg(F.sum("copies").alias("links")).join(placed.filter("open").select("id"), "id", "left_anti")
+        complete = _complete(placed, threshold)
+        counted = listed.unionByName(complete.filter("id is not null").select("id", "links"))
         degrees = write_table(counted.groupBy("id").agg(F.sum("links").alias("links")), "descent-degrees")
-        joined = components(across.filter("a is not null").select("a", "b"), "a", "b").select(F.col("id").alias("component_id"), F.col("component_id").alias("whole"))
-        whole = placed.select("id", "component_id").join(joined, "component_id", "left").select("id", F.coalesce("whole", "component_id").alias("component_id"))
         if attempt == TRIES or audit_recall(vectors, degrees, n, threshold) >= TARGET_RECALL:
             break
         k *= 2
-    comps = whole
-
-    known = vectors.select("grp", "k", "id", "copies").join(degrees, "id", "left").join(comps, "id", "left")
-    known = known.select("grp", "k", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    joined = components(complete.filter("a is not null").select("a", "b"), "a", "b").select(F.col("id").alias("component_id"), F.col("component_id").alias("whole"))
+    whole = placed.select("id", "component_id").join(joined, "component_id", "left").select("id", F.coalesce("whole", "component_id").alias("root"))
+    known = vectors.select("grp", "k", "id", "key", "copies").join(degrees, "id", "left").join(whole, "id")
+    smallest = known.groupBy("root").agg(F.min("key").alias("component_id"))
+    known = write_table(known.select("grp", "k", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).join(smallest, "root"), "descent-known")
     found = keyed.filter("ok").select("id", "grp", "k").join(known, ["grp", "k"]).select("id", "n_links", "component_id")
     alone = keyed.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

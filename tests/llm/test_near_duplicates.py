@@ -201,9 +201,43 @@ def by_brute_force(x, labels, threshold=0.98):
     return [(i, int(near[i].sum()), sets.find(i)) for i in range(len(x))]
 
 
-def near_of(spark, x, labels):
+def near_of(spark, x, labels, **options):
     df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x.astype(np.float32), labels))], "vec_id long, embedding array<float>, label int")
-    return sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df, "vec_id", "embedding", "label").collect())
+    return sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df, "vec_id", "embedding", "label", **options).collect())
+
+
+def test_descent_finds_links_from_random_lists(spark, monkeypatch):
+    """Without blocks to start from, the rounds alone bring the links together."""
+    from tessera.llm import nn_descent
+
+    rng = np.random.default_rng(12)
+    curve = np.linspace(0, 40, 700)
+    x = np.stack([np.cos(curve), np.sin(curve), curve / 10, np.ones_like(curve)], 1) + rng.standard_normal((700, 4)) * 0.005
+    labels = np.zeros(700, int)
+    expected = {(i, c): n for i, n, c in by_brute_force(x, labels)}
+    links = sum(expected.values())
+    found = {}
+    for rounds in (0, 8):
+        monkeypatch.setattr(nn_descent, "ROUNDS", rounds)
+        monkeypatch.setattr(nn_descent, "TARGET_RECALL", -1.0)
+        monkeypatch.setattr(nn_descent, "_complete", lambda vectors, threshold: spark.createDataFrame([], "id long, links long, a long, b long"))
+        listed = []
+        monkeypatch.setattr(nn_descent, "components", lambda l, a, b: listed.append(l.count()) or components(l, a, b))
+        near_of(spark, x, labels, at_random=True, neighbours=20)
+        found[rounds] = 2 * listed[0]
+    assert links > 5_000 and found[0] < 0.5 * min(links, 700 * 20) and found[8] > 0.9 * min(links, 700 * 20)
+
+
+def test_double_precision_and_multiples(spark):
+    """Double input is not rounded; multiples of a vector are other vectors that link."""
+    base = np.array([1.0, 2.0, 3.0])
+    angle = math.acos(0.98)
+    at = lambda t: (math.cos(t), math.sin(t), 0.0)
+    rows = [(i, (base * (i + 1)).tolist(), "m") for i in range(30)] + [(100, at(0), "d"), (101, at(angle - 1e-9), "d"), (102, at(2 * angle + 1e-9), "d")]
+    df = spark.createDataFrame([(i, list(v), x) for i, v, x in rows], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df, "vec_id", "embedding", "label").collect()}
+    assert all(got[i] == (29, 0) for i in range(30))
+    assert got[100] == (1, 100) and got[101] == (1, 100) and got[102] == (0, 102)
 
 
 def test_links_between_tight_groups(spark):
@@ -225,6 +259,9 @@ def test_everything_is_compared_when_no_try_finds_enough(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "TARGET_RECALL", 2.0)
     monkeypatch.setattr(nn_descent, "TRIES", 1)
     monkeypatch.setattr(nn_descent, "BLOCK", 8)
+    monkeypatch.setattr(nn_descent, "UNIT", 8)
+    monkeypatch.setattr(nn_descent, "MEET", 8)
+    monkeypatch.setattr(nn_descent, "CENTRES", 8)
     monkeypatch.setattr(nn_descent, "ROUNDS", 0)
     rng = np.random.default_rng(3)
     lone = rng.standard_normal((60, 8)) * 0.3 + 1
