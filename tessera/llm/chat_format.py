@@ -1,8 +1,9 @@
 """Conversations as training text, with Spark expressions only.
 
-A conversation's turns are collected as structs and sorted; adjacent turns of one
-role become one block, whose parts stay apart by a marker, so that the original
-turns can be read back:
+A conversation's turns are numbered in order, and their places in the text follow
+from running sums; collected as structs and sorted, adjacent turns of one role
+become one block, whose parts stay apart by a marker, so that the original turns
+can be read back:
 
     <turn:ROLE>TEXT<part>TEXT</turn>\\n
 
@@ -14,7 +15,7 @@ text, one for each assistant text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END = "</turn>\n"
@@ -45,43 +46,33 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     with a null conv_id form one conversation, and an empty table gives no rows.
     loss_spans is array<struct<start,length>> in code points from 0, one span for
     each assistant turn, the empty ones included.  A conversation is one row of
-    the result, so it must fit in one.  Other columns of df are ignored.
+    the result, so it must fit in one; the work grows with its length.  Other
+    columns of df, whatever their names, are ignored.
     """
     turns = df.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
+        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def role_at(i: Column) -> Column:
-        return F.get("turns", i)["role"]
-
-    def part(t: Column, i: Column) -> Column:
-        opens = (i == 0) | (role_at(i - 1) != t["role"])
-        closes = (i == F.size("turns") - 1) | (role_at(i + 1) != t["role"])
-        return F.struct(
-            F.when(opens, F.concat(F.lit("<turn:"), _escape_role(t["role"]), F.lit(">"))).otherwise(F.lit(PART)).alias("before"),
-            escape(t["text"]).alias("body"),
-            F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("after"),
-            (t["role"] == ASSISTANT).alias("loss"),
-            opens.alias("opens"),
-        )
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["before"])
-        span = F.struct(start.alias("start"), F.length(p["body"]).alias("length"))
-        return F.struct(
-            (start + F.length(p["body"]) + F.length(p["after"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    parts = sorted_turns.select("conv_id", F.transform("turns", part).alias("parts"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
-    return parts.select(
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    placed = turns.withColumns({
+        "n": F.row_number().over(order),
+        "opens": F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)),
+        "closes": F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True)),
+    })
+    parts = placed.select(
+        "conv_id", "n", "opens", (F.col("role") == ASSISTANT).alias("loss"),
+        F.when(F.col("opens"), F.concat(F.lit("<turn:"), _escape_role(F.col("role")), F.lit(">"))).otherwise(F.lit(PART)).alias("before"),
+        escape(F.col("text")).alias("body"),
+        F.when(F.col("closes"), F.lit(END)).otherwise(F.lit("")).alias("after"),
+    )
+    sizes = [F.length(c) for c in ("before", "body", "after")]
+    upto = F.sum(sizes[0] + sizes[1] + sizes[2]).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    spanned = parts.withColumn("span", F.struct((upto - sizes[1] - sizes[2]).cast("int").alias("start"), sizes[1].alias("length")))
+    chats = spanned.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "before", "body", "after", "loss", "span"))).alias("parts"), F.count_if("opens").alias("n_blocks"))
+    return chats.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["before"], p["body"], p["after"])), "").alias("formatted"),
-        F.aggregate("parts", start, step)["spans"].alias("loss_spans"),
-        F.size(F.filter("parts", lambda p: p["opens"])).cast("long").alias("n_blocks"),
+        F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: p["span"]).alias("loss_spans"),
+        "n_blocks",
     )
 
 
@@ -111,7 +102,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of one that imitates markers, read back from their formatted form."""
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     back = read_back(format_chats(chats.unionByName(extra)))
     loss = F.array_join("loss_texts", "")
     return back.select(

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.wordarrays import mix64, words_of
-from tessera.llm.worktables import work_dir, write_table
+from tessera.llm.worktables import write_buckets, write_table
 
 CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 20  # what a holder of words or pairs has on average
@@ -365,9 +365,7 @@ def score_documents(df: DataFrame, key: str, text: str, held_out: Column) -> Dat
     docs = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Stored in buckets by chunk, the corpus is not shuffled when answers come back.
-    name = f"katz_chunks_{abs(hash(work_dir(spark)))}_{spark.range(1).select(F.uuid()).first()[0].replace('-', '')}"
-    _chunks(docs).write.option("compression", "none").option("path", f"{work_dir(spark)}/{name}").bucketBy(parts, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = write_buckets(_chunks(docs), "katz_chunks", parts, "chunk")
     size = chunks.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
     word_buckets, pair_buckets = (max(1, -(-(x or 0) // BUCKET_ENTRIES)) for x in (size["n"], size["tokens"]))
 

@@ -12,9 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.worktables import free_name, write_table
+
 #: Production parameters.
 MAX_SHARE = 0.1
 MIN_PAGES = 3
+BROADCAST_BYTES = 64 << 20  # of flagged lines, at LINE_BYTES each, at most that are broadcast
+LINE_BYTES = 32  # of a flagged line's hashes in memory
+SALTS = 16  # parts of a host's pages where flagged lines are not broadcast
 
 
 def _lines(text: Column) -> Column:
@@ -48,30 +53,34 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX
     """df with its boilerplate lines taken out of the text, and n_lines_dropped added.
 
     A line goes from every page of a host on which more than max_share of the
-    pages, and at least min_pages, contain it.  Lines are compared without outer
-    spaces; the lines that stay keep their spaces and order.  A text whose lines
-    all go becomes empty; null texts stay null, with 0 lines dropped.  Null hosts
-    form one host.  An empty table stays empty.  All columns of df stay, but for
-    an n_lines_dropped of its own.
+    pages, and at least min_pages, contain it; a share equal to max_share is not
+    more.  Lines are compared without outer spaces; the lines that stay keep their
+    spaces and order.  A text whose lines all go becomes empty; null texts stay
+    null, with 0 lines dropped.  Texts and lines of any length are read whole.
+    Null hosts form one host.  An empty table stays empty.  All columns of df stay,
+    whatever their names; if one is called n_lines_dropped, the new one gets an
+    underscore more.
     """
-    flagged = (
-        site_boilerplate(df, host, text, max_share, min_pages)
-        .groupBy(F.struct("host").alias("_tessera_host"))
-        .agg(F.collect_list("line").alias("_tessera_lines"))
-    )
-    # A struct key compares null hosts as equal and lets Spark choose the join:
-    # it broadcasts the line lists while they are small, and otherwise splits
-    # the hot hosts of the page side.
-    pages = df.withColumn("_tessera_key", F.struct(F.col(host).alias("host")))
-    hit = pages.join(flagged, F.col("_tessera_key") == F.col("_tessera_host"), "left")
-    kept = F.filter(_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains("_tessera_lines", _line_key(x)))
-    none = F.col("_tessera_lines").isNull() | F.col(text).isNull()
-    return (
-        hit.withColumn("_tessera_kept", F.when(~none, kept))
-        .withColumn("n_lines_dropped", F.when(none, F.lit(0)).otherwise(F.size(_lines(F.col(text))) - F.size("_tessera_kept")).cast("long"))
-        .withColumn(text, F.when(none, F.col(text)).otherwise(F.array_join("_tessera_kept", "\n")))
-        .select(*[f"`{c}`" for c in df.columns if c != "n_lines_dropped"], "n_lines_dropped")
-    )
+    lines = write_table(site_boilerplate(df, host, text, max_share, min_pages).select("host", "line"), "boilerplate")
+    small = lines.count() * LINE_BYTES <= BROADCAST_BYTES
+    salts = 1 if small else SALTS
+    # A struct key compares null hosts as equal.  Lists of lines of known size are
+    # broadcast and pages stay where they are; larger ones go to each of a few
+    # parts into which every host's pages are dealt.
+    parts = lines.select("host", "line", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
+    flagged = parts.groupBy(F.struct("host", "salt").alias("at")).agg(F.collect_list("line").alias("flagged"))
+    salt = F.lit(0) if small else F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")
+    pages = df.select(F.struct("*").alias("row"), F.struct(F.col(host).alias("host"), salt.alias("salt")).alias("at"), F.col(text).alias("text"))
+    hit = pages.join(F.broadcast(flagged) if small else flagged, "at", "left")
+    # The set of a page's own flagged lines, so that no line is held against all of a host's.
+    own = F.array_intersect(F.transform(_lines(F.col("text")), _line_key), F.col("flagged"))
+    hit = hit.withColumn("bad", F.when(F.col("text").isNotNull() & F.col("flagged").isNotNull(), own))
+    kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _line_key(x)))
+    same = F.col("bad").isNull() | (F.size("bad") == 0)
+    hit = hit.withColumn("kept", F.when(~same, kept))
+    dropped = F.when(same, F.lit(0)).otherwise(F.size(_lines(F.col("text"))) - F.size("kept")).cast("long")
+    cleaned = F.when(same, F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return hit.select(*[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns], dropped.alias(free_name(df, "n_lines_dropped")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,8 +95,8 @@ def mixing_plan(narrow: DataFrame, **targets) -> DataFrame:
     return write_table(plan.select(F.struct("source").alias("_source"), "source_size", "target", "full", "budget", "threshold"), "mixing-plan")
 
 
-def _copies(size: Column, hashed: Column, plan: str = "") -> Column:
-    full, budget, threshold = (F.col(plan + c) for c in ("full", "budget", "threshold"))
+def _copies(size: Column, hashed: Column) -> Column:
+    full, budget, threshold = (F.col(c) for c in ("full", "budget", "threshold"))
     partial = (budget > 0) & (threshold.isNull() | (hashed < threshold))
     return F.when(size > 0, full + partial.cast("long")).otherwise(0).cast("long")
 
@@ -108,7 +108,7 @@ def mix_sources(df: DataFrame, key: str, source: str, text: str, **targets) -> D
     plus one if its hash is below the source's threshold.  A document never comes
     more than max_repeat times.  Each source's taken words fall short of its
     target by less than the first document (or group of rows with the same key)
-    that no longer fits.  Null texts and texts without words have size 0; null
+    that no longer fits.  Texts of any length count whole.  Null texts and texts without words have size 0; null
     sources form one source, null keys share one hash.  Rows with the same key
     and source go together.  The hash depends on the key alone, so reruns agree.
     """
@@ -129,10 +129,9 @@ def take_mix(df: DataFrame, key: str, source: str, text: str, **targets) -> Data
     keyed = _keyed(df, key, source, text)
     narrow = write_table(df.select(*[c.alias(n) for n, c in keyed.items()]), "mixing-sizes")
     plan = mixing_plan(narrow, **targets)
-    plan = plan.select(F.struct("_source", "full", "budget", "threshold").alias("_tessera_plan"))
-    joined = df.join(plan, F.struct(F.col(source).alias("source")) == F.col("_tessera_plan._source"))
-    times = F.array_repeat(F.lit(0), _copies(keyed["size"], keyed["hash"], "_tessera_plan.").cast("int"))
-    return joined.withColumn("_tessera_copy", F.explode(times)).select(*[f"`{c}`" for c in df.columns])
+    rows = df.select(F.struct("*").alias("row"), F.struct(F.col(source).alias("source")).alias("_source"), keyed["size"].alias("size"), keyed["hash"].alias("hash"))
+    times = F.array_repeat(F.lit(0), _copies(F.col("size"), F.col("hash")).cast("int"))
+    return rows.join(plan, "_source").select("row", F.explode(times)).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

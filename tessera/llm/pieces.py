@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.wordarrays import mix64, span_hashes, text_chunks
+from tessera.llm.worktables import free_name
 
 MODEL_PATH = os.environ.get("PIECE_MODEL_PATH", "/opt/tokenizers/piece_bpe_32k.model")
 CACHE_WORDS = 400_000  # words that a worker remembers; older ones go all at once
-ARROW_ROWS = 500
 BATCH_CELLS = 1 << 19  # (word, position, length) cells examined at a time
 
 _MARK = 0x2581  # stands for a space in pieces
@@ -46,11 +46,14 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _is_bpe(model) -> bool:
-    """Whether the ids follow from merges."""
+    """Whether the ids follow from merges; raises for a model that changes texts before it cuts them."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     proto.ParseFromString(model.serialized_model_proto())
+    rules = proto.normalizer_spec
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces:
+        raise ValueError("only models that leave texts as they are, but for a leading space and marks for spaces, are supported")
     return proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
 
 
@@ -308,22 +311,21 @@ def decode_column(spark: SparkSession, model: PieceModel, ids: Column) -> Column
 def encode_decode(df: DataFrame, text: str, model_path: str = MODEL_PATH) -> DataFrame:
     """df with piece_ids, n_pieces and round_trip (the ids decode to exactly the text).
 
-    All other columns stay, but for ones of these names.  Null texts have null ids
-    and a null round_trip.  Texts are encoded and decoded in one pass, in Arrow
-    batches of ARROW_ROWS rows, so that a worker's memory stays bounded.
+    All columns of df stay; if one has a new column's name, the new one gets an
+    underscore more.  Null texts have null ids and a null round_trip, repeated rows
+    equal results.  Texts of any length are encoded and decoded whole, in one pass.
+    Of pairs with equal scores the leftmost merges first.
     """
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(PieceModel(model_path))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    sent = df.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
     @F.arrow_udf("struct<ids: array<int>, same: boolean>")
     def both(texts: pa.Array) -> pa.Array:
         ids = sent.value.encode(texts)
         return pa.StructArray.from_arrays([ids, pc.equal(sent.value.decode(ids), texts.cast(pa.string()))], ["ids", "same"])
 
-    done = df.withColumn("_tessera_pieces", both.asNondeterministic()(F.col(text)))
-    new = {"piece_ids": F.col("_tessera_pieces.ids"), "n_pieces": F.size("_tessera_pieces.ids").cast("long"), "round_trip": F.col("_tessera_pieces.same")}
-    return done.select(*[f"`{c}`" for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
+    done = df.select(F.struct("*").alias("row"), both.asNondeterministic()(F.col(text)).alias("found"))
+    new = {"piece_ids": F.col("found.ids"), "n_pieces": F.size("found.ids").cast("long"), "round_trip": F.col("found.same")}
+    return done.select("row.*", *[c.alias(free_name(df, n)) for n, c in new.items()])
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

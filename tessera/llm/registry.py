@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_sharding": sharding.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_chat_formatting": chat_format.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,

@@ -77,3 +77,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP1_SQL = """
+WITH crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) AS c FROM (SELECT unnest(range(256)) AS n))
+), summed AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32
+  FROM documents, crc_table
+), running AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset, (sum(size) OVER ())::BIGINT AS total
+  FROM summed
+), placed AS (
+  SELECT *, least(((2 * byte_offset + size) * 8) // (2 * total), 7)::INTEGER AS shard FROM running
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY byte_offset) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard, byte_offset
+FROM placed
+"""

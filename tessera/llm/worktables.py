@@ -3,11 +3,13 @@
 A job that reads an intermediate result more than once, or that must not compute
 it twice with different outcomes, writes it here.  The files survive the loss of
 executors and cut the lineage.  The folder is the one the cluster names in
-``spark.checkpoint.dir``; only where that is unset, as in tests, is a local one made.
+``spark.checkpoint.dir``; where that is unset, a session with a local master gets a
+temporary one, and any other is refused.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ def work_dir(spark: SparkSession) -> str:
     """The application's own folder for intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
@@ -31,7 +35,28 @@ def write_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _table_prefix(spark: SparkSession) -> str:
+    return "work_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower() + "_"
+
+
+def write_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """As write_table, in buckets by key; the catalog entry goes with drop_work_tables."""
+    table = f"{_table_prefix(df.sparkSession)}{name}_{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "none").option("path", f"{work_dir(df.sparkSession)}/{table}").bucketBy(buckets, key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_work_tables(spark: SparkSession) -> None:
     """Delete all of this application's intermediate tables."""
+    for table in spark.catalog.listTables(pattern=_table_prefix(spark) + "*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
     path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

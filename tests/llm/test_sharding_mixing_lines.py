@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import drop_boilerplate
 from tessera.llm.mixing import mix_sources, source_targets, take_mix
@@ -105,6 +106,21 @@ def test_boilerplate(spark):
     assert got[9] == ("menu", 0) and got[10] == ("", 0)
 
 
+def test_boilerplate_share_ties_long_lines_and_large_tables(spark, monkeypatch):
+    from tessera.llm import line_dedup
+
+    long = "x" * 300_000
+    rows = [(i, "h", f"tie\n{long}\nown {i}" if i < 5 else f"own {i}\n{long}", "mine") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string, n_lines_dropped string").withColumns({"row": F.lit(1), "at": F.lit(2), "bad": F.lit(3), "line": F.lit(4)})
+    for most in (line_dedup.BROADCAST_BYTES, 0):  # lines sent to all tasks, or to each part of a host
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+        out = drop_boilerplate(df, "host", "text", 0.5, 3)
+        assert out.columns == [*df.columns, "n_lines_dropped_"]
+        for r in out.collect():
+            assert r["text"] == (f"tie\nown {r['doc_id']}" if r["doc_id"] < 5 else f"own {r['doc_id']}")
+            assert r["n_lines_dropped"] == "mine" and r["n_lines_dropped_"] == 1
+
+
 def test_boilerplate_edges(odd_docs, no_docs):
     out = drop_boilerplate(odd_docs, "source", "text")
     assert out.columns == [*odd_docs.columns, "n_lines_dropped"]

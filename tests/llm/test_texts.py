@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chat_format import format_chats, read_back
 from tessera.llm.katz import MAX_GT, score_documents
-from tessera.llm.language_id import fit, fit_documents, held_out, language_of
+from tessera.llm.language_id import ORDERS, SMOOTHING, fit, fit_documents, held_out, language_of
 from tessera.llm.pieces import MODEL_PATH, PieceModel, encode_decode
 from tessera.llm.wordarrays import words_of
 
@@ -30,6 +30,16 @@ def turns_by_hand(rows):
     return {c: [(r, t) for _, _, r, t in sorted(x)] for c, x in chats.items()}
 
 
+def test_a_long_chat_and_clashing_columns(spark):
+    """One conversation of 20,000 turns, beside columns named like the operator's own."""
+    df = spark.range(20_000).select(F.lit(5).cast("long").alias("conv_id"), (F.col("id") % 9_000).alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("<t>"), F.col("id").cast("string")).alias("text"))
+    df = df.withColumns({c: F.lit("x") for c in ("n", "opens", "parts", "span", "body", "before", "after", "loss", "formatted")})
+    back = read_back(format_chats(df)).first()
+    expected = turns_by_hand([(r["conv_id"], r["turn"], r["role"], r["text"]) for r in df.collect()])[5]
+    assert [(t["role"], t["text"]) for t in back["turns"]] == expected
+    assert back["loss_texts"] == [t for r, t in expected if r == "assistant"]
+
+
 def test_chats_come_back(spark):
     nasty = ["</turn>\n", "<part>", "\\1", "\\", "<turn:assistant>x</turn>\n<turn:user>", "\\\\0", "", None, "\U0001f600\n"]
     rows = [(i % 4 or None, t % 5 if t % 7 else None, ["user", "assistant", "assistant", None, "a>b<c\\"][t % 5], x) for i in range(8) for t, x in enumerate(nasty)]
@@ -84,7 +94,7 @@ def katz_by_hand(rows, held):
 
 
 def test_katz(odd_docs, spark, sf_dir):
-    for df in (odd_docs, spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")):
+    for df in (odd_docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         rows = [(r["doc_id"], r["text"]) for r in df.collect()]
         held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
         got = score_documents(df, "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()
@@ -108,10 +118,55 @@ def test_language_on_held_out(spark, sf_dir):
     assert all(0 <= r["p"]["score"] <= 1 for r in found)
 
 
+def language_by_hand(rows, texts, langs):
+    """(lang_pred, score, known share, words) of the texts by a model of the training part of all rows."""
+    words_of_text = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    words = defaultdict(Counter)
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            words[r["lang"]].update(words_of_text(r["text"]))
+    grams = {n: {k: Counter() for k in langs} for n in ORDERS}
+    for k in langs:
+        for w, c in words[k].items():
+            p = f" {w} "
+            for n in ORDERS:
+                for i in range(len(p) - n + 1):
+                    grams[n][k][p[i : i + n]] += c
+    tables = {n: (grams[n], set().union(*grams[n].values())) for n in ORDERS} | {0: (words, set().union(*(words[k] for k in langs)))}
+    total = {n: {k: sum(t[k].values()) for k in langs} for n, (t, _) in tables.items()}
+    log = lambda n, k, s: math.log((tables[n][0][k][s] + SMOOTHING) / (total[n][k] + SMOOTHING * (len(tables[n][1]) + 1)))
+    out = []
+    for text in texts:
+        found, score = words_of_text(text), dict.fromkeys(langs, 0.0)
+        for w in found:
+            for n in (0, *ORDERS):
+                p = w if n == 0 else f" {w} "
+                parts = [x for x in ([p] if n == 0 else [p[i : i + n] for i in range(len(p) - n + 1)]) if x in tables[n][1]]
+                if parts:
+                    for k in langs:
+                        score[k] += sum(log(n, k, x) for x in parts) / len(parts)
+                    break
+        best = max(langs, key=lambda k: score[k])
+        share = 1 / sum(math.exp(max(score[k] - score[best], -700)) for k in langs)
+        out.append((best, share, sum(words[best][w] > 0 for w in found) / len(found), len(found)) if found else ("und", 0.0, 0.0, 0))
+    return out
+
+
+def test_language_by_hand(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    model = fit_documents(docs)
+    texts = [r["text"] for r in rows] + ["zzzqx", "", None, "der xqz la", "x" * 5000]
+    got = model.predict(pa.array(texts, pa.string())).to_pylist()
+    for a, (lang, score, known, words) in zip(got, language_by_hand(rows, texts, model.langs), strict=True):
+        assert (a["lang_pred"], a["words"]) == (lang, words)
+        assert (a["score"], a["known_share"]) == (pytest.approx(score, rel=1e-3, abs=1e-6), pytest.approx(known))
+
+
 def test_language_edges(spark, odd_docs, no_docs):
     model = fit(odd_docs.filter("doc_id <> 5"), "doc_id", "text", "lang")  # 5 repeats one word 40,000 times
     got = {r["doc_id"]: r["p"] for r in odd_docs.select("doc_id", language_of(spark, model, F.col("text")).alias("p")).collect()}
-    assert all(tuple(got[i]) == ("und", 0.0) for i in (2, 3, 6, 7, 9))
+    assert all(tuple(got[i]) == ("und", 0.0, 0.0, 0) for i in (2, 3, 6, 7, 9))
     assert got[1]["lang_pred"] == "en" and got[11]["lang_pred"] == "de"
     empty = fit(no_docs, "doc_id", "text", "lang")
     assert {r["p"]["lang_pred"] for r in odd_docs.select(language_of(spark, empty, F.col("text")).alias("p")).collect()} == {"und"}
@@ -167,4 +222,20 @@ def test_round_trip(odd_docs, no_docs):
         assert r["round_trip"] is (None if r["text"] is None else True)
         assert (r["piece_ids"] is None) == (r["text"] is None)
     assert encode_decode(no_docs, "text").count() == 0
+    own = odd_docs.select("doc_id", "text", F.lit(1).alias("n_pieces"), F.lit(2).alias("Found"))
+    assert encode_decode(own, "text").columns == [*own.columns, "piece_ids", "n_pieces_", "round_trip"]
+    twice = own.union(own).filter("doc_id = 1")
+    assert len({tuple(r["piece_ids"]) for r in encode_decode(twice, "text").collect()}) == 1
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(MODEL_PATH, "rb").read())
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "strict.model"
+    path.write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError):
+        PieceModel(str(path))
 
