@@ -16,15 +16,17 @@ from tessera.llm.mixing import take_mix
 from tessera.llm.pieces import encode_decode
 from tessera.llm.worktables import write_table
 
-#: Language ID rejects a text whose best language has less than this share of the likelihood.
-MIN_LANGUAGE_SCORE = 0.5
+#: Language ID rejects a text if too few of its words are known in its best language.
+MIN_KNOWN = 0.4
+#: So many words, half of them known, are added to every text, so that a few unknown words reject none.
+PRIOR_WORDS = 8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those without a letter, or in between languages, go."""
-    found = docs.withColumn("_language", language_of(spark, fit_documents(docs), F.col("text")))
-    sure = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
-    return found.filter(sure).drop("_language")
+    """Documents in a learnt language; those without a letter, of other languages or of no words at all go."""
+    found = docs.select(F.struct("*").alias("row"), language_of(spark, fit_documents(docs), F.col("text")).alias("found"))
+    known = (F.col("found.known_share") * F.col("found.words") + PRIOR_WORDS / 2) / (F.col("found.words") + PRIOR_WORDS)
+    return found.filter((F.col("found.lang_pred") != UNKNOWN) & (known >= MIN_KNOWN)).select("row.*")
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ STAGES = [
     ("pieces", encoded),
 ]
 
-#: Signatures, the classifier and piece ids are beyond SQL; tests compare with brute force.
+#: Signatures, the classifier and piece ids are beyond SQL; a test compares the whole chain with brute force.
 ORACLE_SQL = None
 
 
