@@ -22,6 +22,13 @@ def failed(transform_ok: Column, compile_ok: Column, test_ok: Column) -> Column:
     return failure_phase(transform_ok, compile_ok, test_ok).isNotNull()
 
 
+def _named(label: Column, names: dict[str, str] | None) -> Column:
+    """The label under another name, where there is one."""
+    if not names:
+        return label
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), label), label)
+
+
 def _rules(text: Column, *rules: tuple[str, tuple[str, ...]]) -> Column:
     """The class of the first rule all of whose strings the text contains."""
     out = None
@@ -44,16 +51,16 @@ _BUILD_RULES = (
 )
 
 
-def evaluation_class(message: Column, phase: Column) -> Column:
-    """The failure class within one evaluation."""
+def evaluation_class(message: Column, phase: Column, names: dict[str, str] | None = None) -> Column:
+    """The failure class within one evaluation; names gives classes other names."""
     text = F.lower(F.coalesce(message, F.lit("")))
     transform = _rules(text, ("wordy_parse_error", ("unexpectedtoken",)), ("wordy_parse_error", ("parse error",)), ("conversion_error", ("oxidation failed",)))
     build = _rules(text, *_BUILD_RULES, ("missing_function", ("no function definition found",)), ("behavior_assertion", ("assertion failed",)))
-    return F.when(text == "", "none").when(phase == "transform", F.coalesce(transform, F.lit("transform_other"))).otherwise(F.coalesce(build, F.lit("other")))
+    return _named(F.when(text == "", "none").when(phase == "transform", F.coalesce(transform, F.lit("transform_other"))).otherwise(F.coalesce(build, F.lit("other"))), names)
 
 
-def report_class(message: Column, phase: Column) -> Column:
-    """The failure class in reports over several evaluations."""
+def report_class(message: Column, phase: Column, names: dict[str, str] | None = None) -> Column:
+    """The failure class in reports over several evaluations; names gives classes other names."""
     text = F.lower(F.coalesce(message, F.lit("")))
     build = _rules(text, *_BUILD_RULES, ("closure_return_shape", ("expected `i32`, found closure",)))
-    return F.when(text == "", "none").when(phase == "transform", "wordy_parse_or_convert").otherwise(F.coalesce(build, F.lit("other")))
+    return _named(F.when(text == "", "none").when(phase == "transform", "wordy_parse_or_convert").otherwise(F.coalesce(build, F.lit("other"))), names)

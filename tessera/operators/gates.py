@@ -55,7 +55,9 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     checked = parsed.withColumn("errors", errors)
     fields = [F.when(F.size("errors") == 0, F.try_variant_get("doc", f"$.{f}", "string")).alias(f) for f in FIELDS]
     rows = checked.select("line", "errors", *fields, F.coalesce(F.try_variant_get("doc", "$.deps", "array<string>"), F.expr("cast(array() as array<string>)")).alias("deps"), F.coalesce(F.try_variant_get("doc", "$.unsafe", "boolean"), F.lit(False)).alias("unsafe"))
-    again = (F.row_number().over(Window.partitionBy("id").orderBy("line")) > 1) & F.col("id").isNotNull()
+    # Rows without an id are no group: each goes by its line.
+    same = Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("line"))).orderBy("line")
+    again = (F.row_number().over(same) > 1) & F.col("id").isNotNull()
     rows = rows.withColumn("errors", F.when(again, F.array(F.concat(F.lit("duplicate id '"), "id", F.lit("'")))).otherwise(F.col("errors")))
     numbered = F.transform("errors", lambda e: F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), e))
     return rows.withColumn("errors", numbered)

@@ -48,9 +48,10 @@ def two_level_histogram(df: DataFrame, outer: str, inner: str, value: str) -> Da
     return df.groupingSets(sets, outer, inner, value).agg(F.count("*").alias("count"), F.grouping(inner).alias("level"))
 
 
-def top_per_group(counts: DataFrame, group: str, name: str, count: str, k: int) -> DataFrame:
+def top_per_group(counts: DataFrame, group: str | list[str], name: str, count: str, k: int) -> DataFrame:
     """The k largest counts of each group, ties by name."""
-    w = Window.partitionBy(group).orderBy(F.desc(count), name)
+    groups = [group] if isinstance(group, str) else group
+    w = Window.partitionBy(*groups).orderBy(F.desc(count), name)
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.classify import failure_phase
-from tessera.operators import aggregate, chat, gates, marts, score, taskgen
+from tessera.operators import aggregate, chat, gates, marts, reports, score, taskgen
+from tessera.sources import readers, writers
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,13 +103,13 @@ def most_common_class(spark, d):
 
 
 def zero_filled_days(spark, d):
-    counts = score.histogram(score.failures(_results(spark, d)).filter("seed <= '2024-01-02'"), "arm", "failure_class")
+    counts = score.histogram(score.failures(_results(spark, d)), "arm", "failure_class")
     return marts.zero_filled(counts, "count", arm=["base", "wordy", "other"], failure_class=["name_resolution", "type_mismatch", "parse_error"])
 
 
 def metrics_by_run(spark, d):
     results = _results(spark, d).withColumn("run_key", F.concat(F.lit("run"), (F.col("id") % 3).cast("string")))
-    return marts.metrics_by_run(results, "base", "wordy").select("run_key", "num_reports", "base_compile_at_1_mean", "wordy_test_at_1_std", "delta_test")
+    return marts.metrics_by_run(results, "base", "wordy")
 
 
 def strict_attribution(spark, d):
@@ -121,11 +122,11 @@ def validate_symbols(spark, d):
 
 
 def single_line(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.single_line(F.col("text"), unicode=False).alias("line"))
+    return _t(spark, d, "documents").select("doc_id", T.single_line(F.col("text")).alias("line"))
 
 
 def compact(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.compact(F.col("text"), unicode=False).alias("line"))
+    return _t(spark, d, "documents").select("doc_id", T.compact(F.col("text")).alias("line"))
 
 
 def crate_name(spark, d):
@@ -157,7 +158,7 @@ def missing_labels(spark, d):
 
 
 def arm_parity(spark, d):
-    return score.one_sided(_t(spark, d, "documents").filter("lang = 'en'"), _t(spark, d, "labels"), "doc_id")
+    return score.one_sided(_t(spark, d, "documents"), _t(spark, d, "labels").filter("toxic = 0").withColumn("doc_id", F.col("doc_id") + 3), "doc_id")
 
 
 def label_mismatches(spark, d):
@@ -165,17 +166,33 @@ def label_mismatches(spark, d):
     return score.mismatches(labels.select("doc_id", F.col("quality").alias("value")), labels.select("doc_id", F.col("toxic").alias("value")), "doc_id", "value")
 
 
-def purity_gate(spark, d):
+def _gated(spark, d):
+    """Labels as task results; a family whose tasks differ in quality is in two splits."""
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
     results = _t(spark, d, "labels").select(
-        (F.col("doc_id") % 7).cast("string").alias("family"), (F.col("toxic") == 1).alias("used_verbatim"), F.lit(True).alias("reduce_ok"), (F.col("quality") == 1).alias("restore_ok"),
-        F.lit(True).alias("reduce_deterministic"), (F.col("quality") == 1).alias("roundtrip_compile_ok"), F.when(F.col("quality") == 0, F.array(F.lit("bad"))).otherwise(F.array()).alias("errors"),
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 7).cast("string").alias("family"), F.when(good, "train").otherwise("val").alias("split"), (~clean).alias("used_verbatim"),
+        (good | clean).alias("reduce_ok"), good.alias("restore_ok"), clean.alias("reduce_deterministic"), good.alias("roundtrip_compile_ok"),
+        F.when(good, F.array()).otherwise(F.array(F.lit("bad"))).alias("errors"),
     )
-    report = gates.gate_report(results, _t(spark, d, "labels").filter("toxic > 1"), 0.9)
-    return report.select("total_tasks", "tasks_with_errors", "stable_count", "non_verbatim_count", "families", "gate_determinism", "gate_data_quality", "gate_purity", "gate_split_hygiene", "all_pass")
+    return results, gates.gate_report(results, gates.split_hygiene(results, "family", "split"), 0.9)
+
+
+def purity_gate(spark, d):
+    return _gated(spark, d)[1]
+
+
+def gate_lines(spark, d):
+    return reports.gate_lines(_gated(spark, d)[1], 0.9)
+
+
+def gate_documents(spark, d):
+    results, report = _gated(spark, d)
+    docs = reports.gate_documents(report, gates.split_hygiene(results, "family", "split"), results)
+    return docs.select("kind", F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.family").alias("family"), F.get_json_object("value", "$.total_tasks").alias("total"))
 
 
 def sanitize(spark, d):
-    words = _t(spark, d, "documents").filter("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word"))
+    words = _t(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word"))
     return words.groupBy("word", T.sanitize_identifier(F.col("word")).alias("name")).agg(F.count("*").alias("n"))
 
 
@@ -185,19 +202,47 @@ def round6(spark, d):
 
 
 def _tasks(spark, d):
-    """A task for each part: the family from its brand, the number from its key."""
-    part = _t(spark, d, "part").withColumn("family", F.when(F.col("p_size") % 2 == 0, "arith_add_const").otherwise("arith_mul_const"))
-    named = part.select("family", F.col("p_partkey").alias("number"), "p_brand").withColumn("id", taskgen.task_id(F.col("family"), F.col("number"), 6))
-    add, mul = (taskgen.template_code(f, F.col("id"), F.col("number")) for f in ("arith_add_const", "arith_mul_const"))
-    return named.withColumn("code", F.when(F.col("family") == "arith_add_const", add).otherwise(mul))
+    """A task for each part: the family and the number from its key."""
+    family = F.element_at(F.array(*[F.lit(f) for f in taskgen.TEMPLATES]), (F.col("p_partkey") % len(taskgen.TEMPLATES) + 1).cast("int"))
+    named = _t(spark, d, "part").select(family.alias("family"), F.col("p_partkey").alias("number"), "p_brand").withColumn("id", taskgen.task_id(F.col("family"), F.col("number"), 6))
+    prompt, code = taskgen.template_columns(F.col("family"), F.col("id"), F.col("number"))
+    return named.withColumns({"prompt": prompt, "code": code})
 
 
 def task_code(spark, d):
-    return _tasks(spark, d).select("id", "family", "number", "code")
+    return _tasks(spark, d).select("id", "family", "number", "prompt", "code")
 
 
 def signatures(spark, d):
-    return _tasks(spark, d).select("id", T.function_name(F.col("code")).alias("name"), T.code_signature(F.col("code"), F.col("id")).alias("signature"))
+    """Every fourth task has no public function."""
+    code = F.when(F.col("number") % 4 == 0, F.replace("code", F.lit("pub fn"), F.lit("fn"))).otherwise(F.col("code"))
+    return _tasks(spark, d).select("id", T.function_name(code).alias("name"), T.code_signature(code, F.col("id")).alias("signature"))
+
+
+def expected_values(spark, d):
+    values = T.expected_value(F.col("family"), F.col("prompt"))
+    return _tasks(spark, d).select("id", F.array_join(F.transform(values, lambda v: F.concat(v["call"], F.lit("="), v["value"])), ", ").alias("expected"))
+
+
+def contract_prompts(spark, d):
+    """Prompts with their contract; those that have one stay as they are."""
+    once = T.with_contract(F.col("prompt"), T.code_signature(F.col("code"), F.col("id")))
+    return _tasks(spark, d).select("id", T.with_contract(once, F.lit("x")).alias("prompt"))
+
+
+def wordy_signatures(spark, d):
+    source = F.concat(F.lit("note that\nfunction other\nbegin\nend\n  function "), "id", F.lit("\n  takes "), "p_brand", F.lit("\n\n  returns integer\nbegin\n  return\nend"))
+    return _tasks(spark, d).select("id", T.wordy_signature(source, F.col("id")).alias("signature"))
+
+
+def generation_summary(spark, d):
+    found = taskgen.generation_summary(_tasks(spark, d), "part")
+    return found.withColumn("families_added", F.array_join("families_added", ", "))
+
+
+def task_files(spark, d):
+    tasks = _tasks(spark, d).withColumns({"prompt_path": F.concat(F.lit("prompts/"), "id"), "rust_path": F.concat(F.lit("rust/"), "id")})
+    return taskgen.task_files(tasks).select("path", F.length("value").alias("n"))
 
 
 def task_prompts(spark, d):
@@ -218,6 +263,76 @@ def manifest_errors(spark, d):
     return gates.parse_manifest(lines).select("line", "id", F.array_join("errors", "; ").alias("errors"))
 
 
+def seed_reports(spark, d):
+    """Report documents of each seed and arm, their maps written out."""
+    docs = reports.seed_documents(_results(spark, d), "base", "wordy", "seed")
+    arms = docs.select("seed", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("r")) for a in ("base", "wordy")])).alias("x")).select("seed", "x.arm", "x.r")
+
+    def pairs(column, value=lambda v: v.cast("string")):
+        return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), ", ")
+
+    families = pairs(F.col("r.per_family"), lambda v: F.concat(v["total"].cast("string"), F.lit("/"), v["compile"].cast("string"), F.lit("/"), v["test"].cast("string")))
+    return arms.filter("r is not null").select("seed", "arm", "r.total", "r.transform_pass", families.alias("families"), pairs(F.col("r.failure_phase_counts")).alias("phases"), pairs(F.col("r.failure_taxonomy")).alias("classes"))
+
+
+def run_rows(spark, d):
+    """Runs joined to their reports by path, as flat rows; one run's report is missing."""
+    results = _results(spark, d)
+    aggregates = reports.aggregate_documents(results.withColumn("report_path", F.concat(F.lit("agg/"), (F.col("id") % 3).cast("string"))), "seed", "base", "wordy", "report_path")
+    seeds = reports.seed_documents(results.withColumn("report_path", F.concat(F.lit("seed/"), "seed")), "base", "wordy", "report_path")
+    paths = aggregates.select("report_path", F.lit("aggregate").alias("kind")).unionByName(seeds.select("report_path", F.lit("seed").alias("kind")))
+    specs = paths.unionByName(reports.run_specs(spark, [("none", "none", "seed", "gone/1")]).select("report_path", "kind"))
+    specs = specs.select(F.concat(F.lit("run "), "report_path").alias("run_key"), F.upper("report_path").alias("run_label"), "kind", "report_path")
+    return reports.run_rows(specs, aggregates, seeds, "base", "wordy")
+
+
+def summary_lines(spark, d):
+    return reports.summary_lines(_results(spark, d), "seed")
+
+
+def aggregate_lines(spark, d):
+    return reports.aggregate_lines(reports.aggregate_documents(_results(spark, d).withColumn("run", F.col("id") % 3), "seed", "base", "wordy", "run"), "base", "wordy", "run")
+
+
+def top_classes(spark, d):
+    return reports.top_classes(_results(spark, d), 5, "arm")
+
+
+def seed_metrics(spark, d):
+    return marts.seed_metrics(_results(spark, d))
+
+
+def enough_successes(spark, d):
+    return reports.at_least(_t(spark, d, "documents"), T.uses_verbatim(F.col("text")) | (F.length("text") > 1000), 3)
+
+
+def restored_names(spark, d):
+    names = _t(spark, d, "customer").select(F.lower("c_mktsegment").alias("word")).unionByName(_t(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word")))
+    return names.groupBy("word", T.restore_identifier(T.sanitize_identifier(F.col("word"))).alias("name")).agg(F.count("*").alias("n"))
+
+
+def export_summary(spark, d):
+    split = F.element_at(F.array(*[F.lit(x) for x in ("train", "val", "extra", "train")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return writers.export_summary(_t(spark, d, "documents").select(F.col("lang").alias("language"), split.alias("split")))
+
+
+def dereferenced(spark, d):
+    """Documents that name a page by path, with its text, and those whose page is missing."""
+    manifest = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("/pages/"), (F.col("doc_id") * 2).cast("string")).alias("p"))
+    files = _t(spark, d, "pages").select(F.concat(F.lit("file:///pages/"), F.col("page_id").cast("string")).alias("path"), F.col("url").alias("value"))
+    found, missing = readers.dereference(manifest, files, "p", "text")
+    return found.unionByName(missing.withColumn("text", F.lit(None).cast("string"))).select("doc_id", "text")
+
+
+def resolved_paths(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.resolve_path(F.lit("/data/x"), F.concat(F.lit("../a/./b"), F.col("page_id").cast("string"), F.lit("/../c"))).alias("path"))
+
+
+def unique_union(spark, d):
+    one = _t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
+    return taskgen.extend(one, _t(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name")))
+
+
 def tokens(spark, d):
     found = _t(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
     return found.groupBy("doc_id", T.token_kind(F.col("token")).alias("kind")).agg(F.count("*").alias("n"), F.max("pos").alias("last"))
@@ -229,21 +344,46 @@ QUERIES = {
         split_hygiene, dup_first_wins, pass_rates, seed_mean_std, family_mean_std, arm_delta, failure_rows, phase_histogram, taxonomy_topk,
         two_level_histogram, report_taxonomy, most_common_class, zero_filled_days, metrics_by_run, strict_attribution, validate_symbols, single_line,
         compact, crate_name, first_user_prompt, chat_rows, clean_generation, split_pivot, missing_labels, arm_parity, label_mismatches, purity_gate,
-        sanitize, round6, task_code, signatures, task_prompts, manifest_errors, tokens,
+        sanitize, round6, task_code, signatures, task_prompts, manifest_errors, tokens, gate_lines, gate_documents, expected_values, contract_prompts,
+        wordy_signatures, generation_summary, task_files, seed_reports, run_rows, summary_lines, aggregate_lines, top_classes, seed_metrics,
+        enough_successes, restored_names, export_summary, dereferenced, resolved_paths, unique_union,
     )
 }
 
 _RATES = "count(*) FILTER (transform_ok) / count(*)::DOUBLE AS tr, count(*) FILTER (compile_ok) / count(*)::DOUBLE AS co, count(*) FILTER (test_ok) / count(*)::DOUBLE AS te"
 _RESERVED = ", ".join(f"'{w}'" for w in T.RESERVED_WORDS)
 _KEYWORDS = ", ".join(f"'{w}'" for w in T.KEYWORDS)
-_COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-_TASKS_SQL = """tasks AS (
-  SELECT family, number, p_brand, family || '_' || lpad(number::VARCHAR, 6, '0') AS id,
-    'pub fn ' || family || '_' || lpad(number::VARCHAR, 6, '0') || '(input: i32) -> i32' AS signature,
-    CASE WHEN family = 'arith_add_const' THEN '+' ELSE '*' END AS op
-  FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'arith_add_const' ELSE 'arith_mul_const' END AS family, p_partkey AS number, p_brand FROM part)
+_COLLAPSED = r"trim(regexp_replace(text, '[\t\n\x0B\f\r\x{85}\p{Z}]+', ' ', 'g'))"
+_TEMPLATES_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (f, t[3], t[4])) + f", {n})" for n, (f, t) in enumerate(taskgen.TEMPLATES.items()))
+
+
+def _fill(column: str) -> str:
+    """The SQL that puts a task's values into a template."""
+    for slot, value in [("{id}", "id"), ("{k}", "lpad(number::VARCHAR, 3, '0')"), ("{i}", "number::VARCHAR"), ("{i*3}", "(number * 3)::VARCHAR"), *[(f"{{i+{n}}}", f"(number + {n})::VARCHAR") for n in (1, 2, 5, 10, 100, 200)]]:
+        column = f"replace({column}, '{slot}', {value})"
+    return column
+
+
+_TASKS_SQL = f"""tasks AS (
+  SELECT family, number, p_brand, id, {_fill("prompt")} AS prompt, {_fill("code")} AS code,
+    regexp_extract({_fill("code")}, 'pub fn [^{{]*[^{{ ]') AS signature
+  FROM (SELECT t.family, p_partkey AS number, p_brand, t.family || '_' || lpad(p_partkey::VARCHAR, 6, '0') AS id, t.prompt, t.code
+        FROM part JOIN (VALUES {_TEMPLATES_SQL}) t(family, prompt, code, n) ON p_partkey % {len(taskgen.TEMPLATES)} = t.n)
 )"""
 
+_RUN_STATS = ", ".join(
+    f"round_even(max({m}) FILTER (arm = '{a}'), 6) AS {a}_{name}_mean, round_even(max({m}d) FILTER (arm = '{a}'), 6) AS {a}_{name}_std"
+    for a in ("base", "wordy") for m, name in (("co", "compile_at_1"), ("te", "test_at_1"), ("tr", "transform_rate"))
+)
+_STATS = "avg(co) AS co, stddev_pop(co) AS cod, avg(te) AS te, stddev_pop(te) AS ted, avg(tr) AS tr, stddev_pop(tr) AS trd"
+_DELTAS = "round_even(max(co) FILTER (arm = 'wordy') - max(co) FILTER (arm = 'base'), 6) AS delta_compile, round_even(max(te) FILTER (arm = 'wordy') - max(te) FILTER (arm = 'base'), 6) AS delta_test"
+_GATED_SQL = """gated AS (SELECT *, stable_count = total_tasks AS gate_pipeline_stability, deterministic_count = total_tasks AS gate_determinism, compile_count = total_tasks AS gate_data_quality,
+        purity_ratio >= 0.9 AS gate_purity, split_errors = 0 AS gate_split_hygiene FROM (SELECT count(*) AS total_tasks, count(*) FILTER (quality = 0) AS tasks_with_errors,
+        count(*) FILTER (quality = 1) AS stable_count, count(*) FILTER (toxic = 0) AS deterministic_count, count(*) FILTER (quality = 1) AS compile_count, count(*) FILTER (toxic = 0) AS non_verbatim_count,
+        count(DISTINCT doc_id % 7) AS families, count(*) FILTER (toxic = 0) / count(*)::DOUBLE AS purity_ratio,
+        (SELECT count(*) FROM (SELECT doc_id % 7 FROM labels GROUP BY 1 HAVING count(DISTINCT quality) > 1)) AS split_errors FROM labels)),
+      decided AS (SELECT *, gate_pipeline_stability AND gate_determinism AND gate_data_quality AND gate_purity AND gate_split_hygiene AS all_pass FROM gated)"""
+
 SQL = {
     "split_hygiene": "SELECT source, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS splits FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1",
     "dup_first_wins": "SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1",
@@ -268,11 +408,9 @@ SQL = {
         ELSE failure_class END AS failure_class, count(*) AS count FROM failed GROUP BY ALL""",
     "most_common_class": f"WITH {RESULTS_SQL} SELECT failure_class, count(*) AS count, min(id) AS first FROM failed GROUP BY failure_class",
     "zero_filled_days": f"""WITH {RESULTS_SQL}, grid AS (SELECT * FROM (VALUES ('base'), ('wordy'), ('other')) a(arm), (VALUES ('name_resolution'), ('type_mismatch'), ('parse_error')) c(failure_class))
-        SELECT g.arm, g.failure_class, count(f.id) AS count FROM grid g LEFT JOIN failed f ON g.arm = f.arm AND g.failure_class = f.failure_class AND f.seed <= '2024-01-02' GROUP BY ALL""",
-    "metrics_by_run": f"""WITH {RESULTS_SQL}, rates AS (SELECT 'run' || id % 3 AS run_key, arm, seed, {_RATES} FROM results GROUP BY ALL),
-        s AS (SELECT run_key, arm, avg(co) AS co, stddev_pop(te) AS sd, avg(te) AS te, count(*) AS n FROM rates GROUP BY ALL)
-        SELECT run_key, (SELECT count(DISTINCT seed) FROM rates r WHERE r.run_key = s.run_key) AS num_reports, round_even(max(co) FILTER (arm = 'base'), 6) AS base_compile_at_1_mean,
-        round_even(max(sd) FILTER (arm = 'wordy'), 6) AS wordy_test_at_1_std, round_even(max(te) FILTER (arm = 'wordy') - max(te) FILTER (arm = 'base'), 6) AS delta_test FROM s GROUP BY run_key""",
+        SELECT g.arm, g.failure_class, count(f.id) AS count FROM grid g LEFT JOIN failed f ON g.arm = f.arm AND g.failure_class = f.failure_class GROUP BY ALL""",
+    "metrics_by_run": f"""WITH {RESULTS_SQL}, rates AS (SELECT 'run' || id % 3 AS run_key, arm, seed, {_RATES} FROM results GROUP BY ALL), s AS (SELECT run_key, arm, {_STATS} FROM rates GROUP BY ALL)
+        SELECT run_key, (SELECT count(DISTINCT seed) FROM rates r WHERE r.run_key = s.run_key) AS num_reports, {_RUN_STATS}, {_DELTAS} FROM s GROUP BY run_key""",
     "strict_attribution": f"""WITH {RESULTS_SQL} SELECT arm, count(*) AS total, count(*) FILTER (test_ok) AS test_pass FROM results
         WHERE (arm = 'base' AND id % 3 = 0) OR (arm = 'wordy' AND id % 3 <> 0) GROUP BY arm""",
     "validate_symbols": "SELECT page_id, NOT regexp_matches(html, '[&><*-]|::') AS valid FROM pages",
@@ -282,22 +420,75 @@ SQL = {
         FROM (SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_]', '_', 'g') AS n FROM pages)""",
     "first_user_prompt": "SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS prompt FROM conversations GROUP BY conv_id",
     "chat_rows": "SELECT conv_id, string_agg('<' || role || '>' || chr(10) || text || chr(10), '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id",
-    "clean_generation": r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS clean FROM conversations",
+    "clean_generation": r"""SELECT conv_id, turn, CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(regexp_replace(t, '^```[^\n]*\n?', ''), '\n?```\s*$', ''), '^\s+|\s+$', '', 'g') ELSE t END AS clean
+        FROM (SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN '```rust' || chr(10) || text || chr(10) || '```' ELSE '  ' || text END, '^\s+|\s+$', '', 'g') AS t FROM conversations)""",
     "split_pivot": """SELECT source, count(*) FILTER (lang = 'de') AS de_count, count(*) FILTER (lang = 'en') AS en_count, count(*) FILTER (lang = 'es') AS es_count,
         count(*) FILTER (lang = 'fr') AS fr_count, count(*) FILTER (lang IN ('de', 'en', 'es', 'fr')) AS total_count FROM documents GROUP BY source""",
     "missing_labels": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "arm_parity": """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left' ELSE 'right' END AS side
-        FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""",
+        FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id + 3 AS doc_id FROM labels WHERE toxic = 0) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""",
     "label_mismatches": "SELECT doc_id, quality AS expected, toxic AS actual FROM labels WHERE quality IS DISTINCT FROM toxic",
-    "purity_gate": """SELECT total_tasks, tasks_with_errors, stable_count, non_verbatim_count, families, true AS gate_determinism, stable_count = total_tasks AS gate_data_quality,
-        non_verbatim_count / total_tasks::DOUBLE >= 0.9 AS gate_purity, true AS gate_split_hygiene, stable_count = total_tasks AND non_verbatim_count / total_tasks::DOUBLE >= 0.9 AS all_pass
-        FROM (SELECT count(*) AS total_tasks, count(*) FILTER (quality = 0) AS tasks_with_errors, count(*) FILTER (quality = 1) AS stable_count,
-        count(*) FILTER (NOT coalesce(toxic = 1, false)) AS non_verbatim_count, count(DISTINCT doc_id % 7) AS families FROM labels)""",
+    "purity_gate": f"WITH {_GATED_SQL} SELECT * FROM decided",
+    "gate_lines": f"""WITH {_GATED_SQL} SELECT unnest([0, 1, 2, 3, 4, 5])::INTEGER AS part, unnest([
+        '- Pipeline stability: ' || if(gate_pipeline_stability, 'PASS', 'FAIL'), '- Determinism: ' || if(gate_determinism, 'PASS', 'FAIL'), '- Data quality: ' || if(gate_data_quality, 'PASS', 'FAIL'),
+        '- Purity: ' || if(gate_purity, 'PASS', 'FAIL') || printf(' (%.3f %s 0.900)', purity_ratio, if(gate_purity, '>=', '<')), '- Split hygiene: ' || if(gate_split_hygiene, 'PASS', 'FAIL'),
+        '- Overall: ' || if(all_pass, 'PASS', 'FAIL')]) AS line FROM decided""",
+    "gate_documents": """SELECT 'gates' AS kind, NULL::VARCHAR AS id, NULL::VARCHAR AS family, count(*)::VARCHAR AS total FROM labels
+        UNION ALL SELECT 'split_error', NULL, (doc_id % 7)::VARCHAR, NULL FROM labels GROUP BY doc_id % 7 HAVING count(DISTINCT quality) > 1
+        UNION ALL SELECT 'task', doc_id::VARCHAR, (doc_id % 7)::VARCHAR, NULL FROM labels""",
     "sanitize": f"""SELECT word, CASE WHEN word IN ('Some', 'None', 'Ok', 'Err') THEN word WHEN lower(word) IN ({_RESERVED}) THEN 'user_' || word ELSE word END AS name, count(*) AS n
-        FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY ALL""",
+        FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) GROUP BY ALL""",
     "round6": "SELECT l_orderkey, count(*) AS n, max(round_even(l_extendedprice * l_discount / 7, 6)) AS top FROM lineitem GROUP BY l_orderkey",
-    "task_code": f"WITH {_TASKS_SQL} SELECT id, family, number, signature || ' {{' || chr(10) || '    input ' || op || ' ' || number || chr(10) || '}}' AS code FROM tasks",
-    "signatures": f"WITH {_TASKS_SQL} SELECT id, id AS name, signature FROM tasks",
+    "task_code": f"WITH {_TASKS_SQL} SELECT id, family, number, prompt, code FROM tasks",
+    "signatures": f"""WITH {_TASKS_SQL} SELECT id, CASE WHEN number % 4 <> 0 THEN id WHEN family = 'helper_call_inc' THEN 'inc_' || lpad(number::VARCHAR, 3, '0') ELSE id END AS name,
+        CASE WHEN number % 4 <> 0 THEN signature END AS signature FROM tasks""",
+    "expected_values": f"""WITH {_TASKS_SQL} SELECT id, CASE family WHEN 'closure_shift_const' THEN '7=' || (number + 9) WHEN 'vec_pop_basic' THEN '=Some(' || (number + 2) || ')'
+        WHEN 'result_unwrap_or_const' THEN 'Ok(123)=123, Err(String::from("x"))=' || number END AS expected FROM tasks""",
+    "contract_prompts": f"""WITH {_TASKS_SQL} SELECT id, prompt || repeat(chr(10), 2) || '{T.CONTRACT_MARKER}' || chr(10) || '`' || signature || '`' || chr(10)
+        || 'Do not change the function name, parameters, or return type.' AS prompt FROM tasks""",
+    "wordy_signatures": f"WITH {_TASKS_SQL} SELECT id, 'function ' || id || ' | takes ' || p_brand || ' | returns integer' AS signature FROM tasks",
+    "generation_summary": f"""WITH {_TASKS_SQL} SELECT 'part' AS base_source, count(*) AS total_tasks, count(*) FILTER (family LIKE '%_train') AS added_tasks,
+        'result_unwrap_or_train, vec_pop_train, option_unwrap_or_train' AS families_added FROM tasks""",
+    "task_files": f"""WITH {_TASKS_SQL} SELECT 'rust/' || id AS path, (length(code) + 1)::INTEGER AS n FROM tasks UNION ALL
+        SELECT 'prompts/' || id, (length(prompt) + length('{T.CONTRACT_MARKER}') + length(signature) + length('Do not change the function name, parameters, or return type.') + 7)::INTEGER FROM tasks""",
+    "seed_reports": f"""WITH {RESULTS_SQL}, k AS (SELECT seed, arm, count(*) AS total, count(*) FILTER (transform_ok) AS transform_pass FROM results GROUP BY ALL),
+        f AS (SELECT seed, arm, string_agg(family || '=' || n || '/' || c || '/' || t, ', ' ORDER BY family) AS families FROM
+          (SELECT seed, arm, family, count(*) AS n, count(*) FILTER (compile_ok) AS c, count(*) FILTER (test_ok) AS t FROM results GROUP BY ALL) GROUP BY ALL),
+        p AS (SELECT seed, arm, string_agg(failure_phase || '=' || n, ', ' ORDER BY failure_phase) AS phases FROM (SELECT seed, arm, failure_phase, count(*) AS n FROM failed GROUP BY ALL) GROUP BY ALL),
+        c AS (SELECT seed, arm, string_agg(failure_class || '=' || n, ', ' ORDER BY failure_class) AS classes FROM (SELECT seed, arm, failure_class, count(*) AS n FROM failed GROUP BY ALL) GROUP BY ALL)
+        SELECT k.*, families, coalesce(phases, '') AS phases, coalesce(classes, '') AS classes FROM k JOIN f USING (seed, arm) LEFT JOIN p USING (seed, arm) LEFT JOIN c USING (seed, arm)""",
+    "run_rows": f"""WITH {RESULTS_SQL}, rates AS (SELECT 'agg/' || id % 3 AS report_path, arm, seed, {_RATES} FROM results GROUP BY ALL UNION ALL SELECT 'seed/' || seed, arm, seed, {_RATES} FROM results GROUP BY ALL),
+        s AS (SELECT report_path, arm, {_STATS} FROM rates GROUP BY ALL)
+        SELECT 'run ' || report_path AS run_key, upper(report_path) AS run_label, report_path, (SELECT count(DISTINCT seed)::INTEGER FROM rates r WHERE r.report_path = s.report_path) AS num_reports,
+        {_RUN_STATS}, {_DELTAS} FROM s GROUP BY report_path""",
+    "summary_lines": f"""WITH {RESULTS_SQL}, k AS (SELECT seed, arm, count(*) AS n, count(*) FILTER (transform_ok) AS tr, count(*) FILTER (compile_ok) AS co, count(*) FILTER (test_ok) AS te FROM results GROUP BY ALL),
+        f AS (SELECT seed, arm, family, count(*) AS n, count(*) FILTER (compile_ok) AS co, count(*) FILTER (test_ok) AS te FROM results GROUP BY ALL),
+        c AS (SELECT seed, arm, failure_class, count(*) AS n FROM failed GROUP BY ALL), fc AS (SELECT seed, arm, family, failure_class, count(*) AS n FROM failed GROUP BY ALL)
+        SELECT seed, arm, 0 AS part, '- total: ' || n AS line FROM k UNION ALL SELECT seed, arm, 1, '- transform pass: ' || tr || '/' || n FROM k
+        UNION ALL SELECT seed, arm, 2, printf('- compile@1: %d/%d = %.3f', co, n, co / n::DOUBLE) FROM k UNION ALL SELECT seed, arm, 3, printf('- test@1: %d/%d = %.3f', te, n, te / n::DOUBLE) FROM k
+        UNION ALL SELECT seed, arm, 10, '  - ' || family || ': compile ' || co || '/' || n || ', test ' || te || '/' || n FROM f
+        UNION ALL (SELECT seed, arm, 20 + row_number() OVER (PARTITION BY seed, arm ORDER BY n DESC, failure_class)::INTEGER AS part, '  - ' || failure_class || ': ' || n FROM c QUALIFY part <= 25)
+        UNION ALL SELECT seed, arm, 30, '  - ' || family || ': ' || string_agg(failure_class || '=' || n, ', ' ORDER BY n DESC, failure_class) FROM
+          (SELECT * FROM fc QUALIFY row_number() OVER (PARTITION BY seed, arm, family ORDER BY n DESC, failure_class) <= 3) GROUP BY seed, arm, family""",
+    "aggregate_lines": f"""WITH {RESULTS_SQL}, rates AS (SELECT id % 3 AS run, arm, seed, {_RATES} FROM results GROUP BY ALL), s AS (SELECT run, arm, {_STATS} FROM rates GROUP BY ALL),
+        w AS (SELECT b.run, b.co AS bco, b.cod AS bcod, b.te AS bte, b.ted AS bted, b.tr AS btr, b.trd AS btrd, o.co, o.cod, o.te, o.ted, o.tr, o.trd,
+          (SELECT count(DISTINCT seed) FROM rates r WHERE r.run = b.run) AS n FROM s b JOIN s o ON b.run = o.run AND b.arm = 'base' AND o.arm = 'wordy')
+        SELECT run, unnest(range(9))::INTEGER AS part, unnest(['Reports aggregated: ' || n, printf('base: compile@1 mean±std: %.3f ± %.3f', bco, bcod), printf('base: test@1 mean±std: %.3f ± %.3f', bte, bted),
+          printf('base: transform mean±std: %.3f ± %.3f', btr, btrd), printf('wordy: compile@1 mean±std: %.3f ± %.3f', co, cod), printf('wordy: test@1 mean±std: %.3f ± %.3f', te, ted),
+          printf('wordy: transform mean±std: %.3f ± %.3f', tr, trd), printf('compile@1 mean delta: %+.3f', co - bco), printf('test@1 mean delta: %+.3f', te - bte)]) AS line FROM w""",
+    "top_classes": f"""WITH {RESULTS_SQL}, c AS (SELECT arm, failure_class, count(*) AS count FROM failed GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY arm ORDER BY count DESC, failure_class)::INTEGER AS rank FROM c QUALIFY rank <= 5""",
+    "seed_metrics": f"""WITH {RESULTS_SQL} SELECT seed, arm, count(*) AS total, count(*) FILTER (transform_ok) AS transform_pass, count(*) FILTER (compile_ok) AS compile_pass, count(*) FILTER (test_ok) AS test_pass,
+        round_even(count(*) FILTER (transform_ok) / count(*)::DOUBLE, 6) AS transform_rate, round_even(count(*) FILTER (compile_ok) / count(*)::DOUBLE, 6) AS compile_at_1,
+        round_even(count(*) FILTER (test_ok) / count(*)::DOUBLE, 6) AS test_at_1 FROM results GROUP BY ALL""",
+    "enough_successes": """SELECT count(*) FILTER (contains(text, 'verbatim item "') OR length(text) > 1000) AS successes, count(*) FILTER (contains(text, 'verbatim item "') OR length(text) > 1000) >= 3 AS enough FROM documents""",
+    "restored_names": """SELECT word, regexp_replace(word, '^user_', '') AS name, count(*) AS n FROM (SELECT lower(c_mktsegment) AS word FROM customer UNION ALL
+        SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) FROM documents) GROUP BY ALL""",
+    "export_summary": """SELECT l.language, s.split, count(d.doc_id) AS rows FROM (SELECT DISTINCT lang AS language FROM documents) l CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split)
+        LEFT JOIN documents d ON d.lang = l.language AND s.split = ['train', 'val', 'extra', 'train'][d.doc_id % 4 + 1] GROUP BY ALL""",
+    "dereferenced": "SELECT d.doc_id, trim(p.url) AS text FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id * 2",
+    "resolved_paths": "SELECT page_id, '/data/a/c' AS path FROM pages",
+    "unique_union": "SELECT 'c' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier",
     "task_prompts": f"""WITH {_TASKS_SQL} SELECT id, '# Task' || repeat(chr(10), 2) || 'Use brand ' || p_brand || '.' || repeat(chr(10), 2) || '{T.CONTRACT_MARKER}' || chr(10) || '`' || signature || '`' || chr(10)
         || 'Do not change the function name, parameters, or return type. You may add helper functions only if needed.' || repeat(chr(10), 2)
         || 'Write only valid Rust code for this task. Do not include explanations.' AS prompt FROM tasks""",

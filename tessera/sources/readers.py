@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MESSAGE = "struct<role:string,content:string>"
@@ -23,9 +25,17 @@ def whole_files(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, line, value): the lines of files, counted from 1 in each; a line's number needs its whole file."""
-    lines = F.posexplode(F.split("value", r"\R", -1)).alias("pos", "value")
-    return whole_files(spark, *paths).select("path", lines).select("path", (F.col("pos") + 1).alias("line"), "value")
+    """(path, line, value): the lines of files, counted from 1 in each.
+
+    Lines are numbered within the byte ranges that tasks read, and the ranges'
+    totals are added up, so that no task holds a whole file.
+    """
+    read = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("at"))
+    ranges = read.groupBy("path", "start").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    local = read.withColumn("k", F.row_number().over(Window.partitionBy("path", "start").orderBy("at")))
+    return local.join(ranges, ["path", "start"]).select("path", (F.col("before") + F.col("k")).alias("line"), "value")
 
 
 def json_lines(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
@@ -61,8 +71,10 @@ def first_complete(spark: SparkSession, candidates: list[str], files: list[str])
 
 
 def optional_documents(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
-    """json_documents of those paths that exist; raises if there is none."""
+    """json_documents of those paths that exist, with a warning for each other; raises if there is none."""
     found = existing(spark, *paths)
+    for path in sorted(set(paths) - set(found)):
+        warnings.warn(f"skipped, for it does not exist: {path}", stacklevel=2)
     if not found:
         raise FileNotFoundError(f"none of these exists: {paths}")
     return json_documents(spark, schema, *found)

@@ -18,8 +18,9 @@ def write_csv_table(df: DataFrame, columns: list[str], path: str) -> None:
 
 
 def write_chat_rows(df: DataFrame, path: str) -> None:
-    """JSON rows in folders by language and split; rows of other splits are left out."""
-    df.filter(F.col("split").isin(*SPLITS)).write.mode("overwrite").partitionBy("language", "split").json(path)
+    """JSON rows in folders by split and language; every split has a folder, rows of other splits are left out."""
+    for split in SPLITS:
+        df.filter(F.col("split") == split).drop("split").write.mode("overwrite").partitionBy("language").json(f"{path}/split={split}")
 
 
 def export_summary(df: DataFrame) -> DataFrame:

@@ -114,9 +114,13 @@ def test_dataset_overview(spark):
 
 
 def test_task_grid_counts(spark):
-    tasks = taskgen.extend(taskgen.task_grid(spark, taskgen.FAMILIES), taskgen.task_grid(spark, taskgen.ADDED_FAMILIES))
+    tasks = taskgen.extend(taskgen.task_grid(spark), taskgen.task_grid(spark, taskgen.ADDED_FAMILIES))
     assert tasks.count() == 380
-    assert tasks.filter("id = 'vec_pop_basic_007'").first()["split"] == "test"
+    assert tasks.filter("id = 'vec_pop_007'").first()["split"] == "test"
+    assert tasks.filter("id = 'mul_const_004'").first()["code"] == "pub fn mul_const_004(x: i32) -> i32 {\n    x * 5\n}"
+    assert json.loads(taskgen.manifest_rows(tasks.filter("id = 'vec_pop_007'")).first()["value"])["rust_path"] == "rust/vec_pop_007.rs"
+    summary = taskgen.generation_summary(tasks, "v1").first()
+    assert (summary["total_tasks"], summary["added_tasks"], len(summary["families_added"])) == (380, 160, 3)
     with pytest.raises(ValueError):
         taskgen.extend(tasks, tasks)
 
@@ -127,6 +131,7 @@ def test_chat_rows_and_writers(spark, tmp_path):
     assert rows.first()["conversations"][1]["content"] == "code"
     writers.write_chat_rows(rows, str(tmp_path / "chat"))
     assert spark.read.json(str(tmp_path / "chat")).count() == 1
+    assert sorted(p.name for p in (tmp_path / "chat").iterdir() if p.is_dir()) == ["split=test", "split=train", "split=val"]
     summary = {(r["language"], r["split"]): r["rows"] for r in writers.export_summary(rows).collect()}
     assert summary == {("rust", "train"): 1, ("rust", "val"): 0, ("rust", "test"): 0}
     writers.write_csv_table(tasks, ["split", "id"], str(tmp_path / "csv"))
@@ -140,7 +145,8 @@ def test_readers(spark, tmp_path):
     arm = {"arm": "base", "total": 1, "transform_pass": 1, "compile_pass": 0, "test_pass": 0, "compile_at_1": 0.0, "test_at_1": 0.0, "per_family": {"f": {"total": 1, "compile": 0, "test": 0}},
            "rows": [{"id": "a", "family": "f", "arm": "base", "transform_ok": True, "compile_ok": False, "test_ok": False, "transform_error": "", "compile_error": "cannot find x", "test_error": ""}]}
     (tmp_path / "r.json").write_text(json.dumps({"inputs": {}, "base": arm, "wordy": arm | {"arm": "wordy"}}, indent=2))
-    reports = readers.optional_documents(spark, readers.report_schema("base", "wordy"), str(tmp_path / "r.json"), str(tmp_path / "none.json"))
+    with pytest.warns(UserWarning, match="none.json"):
+        reports = readers.optional_documents(spark, readers.report_schema("base", "wordy"), str(tmp_path / "r.json"), str(tmp_path / "none.json"))
     rows = aggregate.result_rows(reports, ("base", "wordy"), "path")
     assert rows.count() == 2 and {r["arm"] for r in rows.collect()} == {"base", "wordy"}
     assert reports.first()["base"]["failure_taxonomy"] is None
@@ -158,3 +164,26 @@ def test_reports_as_json(spark):
     doc = writers.json_report(writers.counts_as_map(counts, ["arm"], "failure_class", "count"), "arm", "counts").first()["value"]
     assert json.loads(doc) == {"arm": "base", "counts": {"a": 1, "x": 2}}
     assert writers.console_lines(counts, "%s %s %3d", "arm", "failure_class", "count").count() == 2
+
+
+def test_lines_are_numbered_across_ranges(spark, tmp_path):
+    """A file that several tasks read is numbered as one."""
+    texts = [f"line {i}" if i % 7 else "" for i in range(1, 20_001)]
+    (tmp_path / "big.txt").write_text("\n".join(texts) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path / "big.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["value"] for r in sorted(got, key=lambda r: r["line"])] == texts and {r["line"] for r in got} == set(range(1, 20_001))
+
+
+def test_settings_and_names(spark):
+    from tessera.functions.classify import evaluation_class
+    from tessera.operators import reports
+
+    assert json.loads(reports.settings_document(spark, model="m", seeds=2).first()["value"]) == {"model": "m", "seeds": 2}
+    df = spark.createDataFrame([("parse error", "transform"), ("mismatched types", "compile")], "m string, p string")
+    named = evaluation_class(F.col("m"), F.col("p"), {"wordy_parse_error": "other_name"})
+    assert sorted(r[0] for r in df.select(named).collect()) == ["other_name", "type_mismatch"]
