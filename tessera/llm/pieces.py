@@ -29,6 +29,7 @@ from tessera.llm.worktables import free_name
 
 MODEL_PATH = os.environ.get("PIECE_MODEL_PATH", "/opt/tokenizers/piece_bpe_32k.model")
 CACHE_WORDS = 400_000  # words that a worker remembers; older ones go all at once
+SLICE_ROWS = 500  # rows of an Arrow batch that are encoded and decoded at a time
 BATCH_CELLS = 1 << 19  # (word, position, length) cells examined at a time
 
 _MARK = 0x2581  # stands for a space in pieces
@@ -313,15 +314,20 @@ def encode_decode(df: DataFrame, text: str, model_path: str = MODEL_PATH) -> Dat
 
     All columns of df stay; if one has a new column's name, the new one gets an
     underscore more.  Null texts have null ids and a null round_trip, repeated rows
-    equal results.  Texts of any length are encoded and decoded whole, in one pass.
+    equal results.  Texts of any length are encoded and decoded whole, in one pass,
+    SLICE_ROWS of them at a time, so that a worker's memory stays bounded.
     Of pairs with equal scores the leftmost merges first.
     """
     sent = df.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
     @F.arrow_udf("struct<ids: array<int>, same: boolean>")
     def both(texts: pa.Array) -> pa.Array:
-        ids = sent.value.encode(texts)
-        return pa.StructArray.from_arrays([ids, pc.equal(sent.value.decode(ids), texts.cast(pa.string()))], ["ids", "same"])
+        found = []
+        for at in range(0, len(texts), SLICE_ROWS):
+            part = texts.slice(at, SLICE_ROWS)
+            ids = sent.value.encode(part)
+            found.append(pa.StructArray.from_arrays([ids, pc.equal(sent.value.decode(ids), part.cast(pa.string()))], ["ids", "same"]))
+        return pa.concat_arrays(found) if found else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())]))
 
     done = df.select(F.struct("*").alias("row"), both.asNondeterministic()(F.col(text)).alias("found"))
     new = {"piece_ids": F.col("found.ids"), "n_pieces": F.size("found.ids").cast("long"), "round_trip": F.col("found.same")}
