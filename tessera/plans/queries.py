@@ -13,6 +13,7 @@ from tessera.functions import text as T
 from tessera.functions.classify import failure_phase
 from tessera.operators import aggregate, chat, gates, marts, reports, score, taskgen
 from tessera.sources import readers, writers
+from tessera.sources.scratch import scratch_folder
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -338,6 +339,73 @@ def tokens(spark, d):
     return found.groupBy("doc_id", T.token_kind(F.col("token")).alias("kind")).agg(F.count("*").alias("n"), F.max("pos").alias("last"))
 
 
+def missing_paths(spark, d):
+    """Documents whose page file is missing."""
+    tasks = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("pages/"), (F.col("doc_id") * 3).cast("string")).alias("p"))
+    return gates.missing_files(tasks, "p", _t(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"))).select("doc_id", "p")
+
+
+def policy_errors(spark, d):
+    none = F.expr("cast(array() as array<string>)")
+    deps = F.when(F.col("toxic") == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(none)
+    tasks = _t(spark, d, "labels").select("doc_id", deps.alias("deps"), (F.col("quality") == 0).alias("unsafe"), none.alias("errors"))
+    strict = gates.policy_errors(tasks).withColumn("strict", F.array_join("errors", "; ")).withColumn("errors", none)
+    lax = gates.policy_errors(strict, allow_deps=True)
+    return lax.select("doc_id", F.col("strict").alias("errors"), F.array_join("errors", "; ").alias("with_deps"))
+
+
+def task_rows(spark, d):
+    """Training rows of tasks, their conversations rendered."""
+    split = F.element_at(F.array(*[F.lit(x) for x in ("train", "val", "test")]), (F.col("number") % 3 + 1).cast("int"))
+    rows = chat.chat_rows(_tasks(spark, d).withColumn("split", split), "rust", "prompt", "code", T.code_signature(F.col("code"), F.col("id")), "part")
+    return rows.withColumn("conversations", chat.render(F.col("conversations")))
+
+
+def _versions(spark, d):
+    """Documents as tasks of a dataset version, their language."""
+    split = F.element_at(F.array(*[F.lit(x) for x in ("train", "val", "extra", "test")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _t(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("dataset_version"), F.col("source").alias("family"), split.alias("split"))
+
+
+def dataset_overview(spark, d):
+    """Dataset versions with what side tables say about some of them."""
+    tasks = _versions(spark, d)
+    gated = tasks.filter("dataset_version < 'f'").join(_t(spark, d, "labels"), "doc_id").groupBy("dataset_version").agg((F.count_if(F.col("toxic") == 1) == 0).alias("all_pass"))
+    exports = tasks.filter("split <> 'extra'").groupBy("dataset_version", F.lit("rust").alias("language"), "split").agg(F.count("*").alias("rows"))
+    generation = tasks.filter("split = 'extra'").groupBy("dataset_version").agg(F.count("*").alias("added_tasks"), F.array_sort(F.collect_set("family")).alias("families_added")).filter("added_tasks % 2 = 0")
+    return marts.dataset_overview(tasks, gated, exports, generation)
+
+
+def family_metrics_by_run(spark, d):
+    return marts.family_metrics_by_run(_results(spark, d).withColumn("run_key", F.concat(F.lit("run"), (F.col("id") % 3).cast("string"))))
+
+
+def exported_rows(spark, d):
+    """Turns written as JSON rows by split and language, and read back by split."""
+    split = F.element_at(F.array(*[F.lit(x) for x in ("train", "val", "test", "extra")]), (F.col("conv_id") % 4 + 1).cast("int"))
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text", split.alias("split"), F.when(F.col("turn") % 2 == 0, "rust").otherwise("wordy").alias("language"))
+    path = scratch_folder(spark, "exported-rows")
+    writers.write_chat_rows(turns, path)
+    return readers.splits(spark, "conv_id long, turn long, role string, text string, language string", **{s: f"{path}/split={s}" for s in writers.SPLITS})
+
+
+def written_lines(spark, d):
+    """Page addresses written as text files, read back as numbered lines and as whole files."""
+    path = scratch_folder(spark, "written-lines")
+    writers.write_texts(_t(spark, d, "pages").filter("url is not null"), "url", path)
+    files = readers.numbered_lines(spark, path).groupBy("path").agg(F.count("*").alias("n"), F.max("line").alias("last"), F.count_distinct("line").alias("numbers"), F.sum(F.length("value")).alias("chars"))
+    whole = readers.whole_files(spark, path).select("path", F.length("value").alias("whole"))
+    checked = files.join(whole, "path").agg(F.sum("n").alias("lines"), F.sum("chars").alias("chars"), F.sum("whole").alias("whole_chars"), F.bool_and((F.col("n") == F.col("last")) & (F.col("n") == F.col("numbers"))).alias("gapless"))
+    return checked
+
+
+def metrics_csv(spark, d):
+    """Seed metrics written as a CSV table and read back."""
+    path, metrics = scratch_folder(spark, "metrics-csv"), marts.seed_metrics(_results(spark, d))
+    writers.write_csv_table(metrics, metrics.columns, path)
+    return spark.read.schema(metrics.schema).csv(path, header=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -347,6 +415,7 @@ QUERIES = {
         sanitize, round6, task_code, signatures, task_prompts, manifest_errors, tokens, gate_lines, gate_documents, expected_values, contract_prompts,
         wordy_signatures, generation_summary, task_files, seed_reports, run_rows, summary_lines, aggregate_lines, top_classes, seed_metrics,
         enough_successes, restored_names, export_summary, dereferenced, resolved_paths, unique_union,
+        missing_paths, policy_errors, task_rows, dataset_overview, family_metrics_by_run, exported_rows, written_lines, metrics_csv,
     )
 }
 
@@ -383,6 +452,9 @@ _GATED_SQL = """gated AS (SELECT *, stable_count = total_tasks AS gate_pipeline_
         count(DISTINCT doc_id % 7) AS families, count(*) FILTER (toxic = 0) / count(*)::DOUBLE AS purity_ratio,
         (SELECT count(*) FROM (SELECT doc_id % 7 FROM labels GROUP BY 1 HAVING count(DISTINCT quality) > 1)) AS split_errors FROM labels)),
       decided AS (SELECT *, gate_pipeline_stability AND gate_determinism AND gate_data_quality AND gate_purity AND gate_split_hygiene AS all_pass FROM gated)"""
+_SEED_METRICS_SQL = f"""WITH {RESULTS_SQL} SELECT seed, arm, count(*) AS total, count(*) FILTER (transform_ok) AS transform_pass, count(*) FILTER (compile_ok) AS compile_pass, count(*) FILTER (test_ok) AS test_pass,
+    round_even(count(*) FILTER (transform_ok) / count(*)::DOUBLE, 6) AS transform_rate, round_even(count(*) FILTER (compile_ok) / count(*)::DOUBLE, 6) AS compile_at_1,
+    round_even(count(*) FILTER (test_ok) / count(*)::DOUBLE, 6) AS test_at_1 FROM results GROUP BY ALL"""
 
 SQL = {
     "split_hygiene": "SELECT source, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS splits FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1",
@@ -478,9 +550,7 @@ SQL = {
           printf('wordy: transform mean±std: %.3f ± %.3f', tr, trd), printf('compile@1 mean delta: %+.3f', co - bco), printf('test@1 mean delta: %+.3f', te - bte)]) AS line FROM w""",
     "top_classes": f"""WITH {RESULTS_SQL}, c AS (SELECT arm, failure_class, count(*) AS count FROM failed GROUP BY ALL)
         SELECT *, row_number() OVER (PARTITION BY arm ORDER BY count DESC, failure_class)::INTEGER AS rank FROM c QUALIFY rank <= 5""",
-    "seed_metrics": f"""WITH {RESULTS_SQL} SELECT seed, arm, count(*) AS total, count(*) FILTER (transform_ok) AS transform_pass, count(*) FILTER (compile_ok) AS compile_pass, count(*) FILTER (test_ok) AS test_pass,
-        round_even(count(*) FILTER (transform_ok) / count(*)::DOUBLE, 6) AS transform_rate, round_even(count(*) FILTER (compile_ok) / count(*)::DOUBLE, 6) AS compile_at_1,
-        round_even(count(*) FILTER (test_ok) / count(*)::DOUBLE, 6) AS test_at_1 FROM results GROUP BY ALL""",
+    "seed_metrics": _SEED_METRICS_SQL,
     "enough_successes": """SELECT count(*) FILTER (contains(text, 'verbatim item "') OR length(text) > 1000) AS successes, count(*) FILTER (contains(text, 'verbatim item "') OR length(text) > 1000) >= 3 AS enough FROM documents""",
     "restored_names": """SELECT word, regexp_replace(word, '^user_', '') AS name, count(*) AS n FROM (SELECT lower(c_mktsegment) AS word FROM customer UNION ALL
         SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) FROM documents) GROUP BY ALL""",
@@ -488,6 +558,25 @@ SQL = {
         LEFT JOIN documents d ON d.lang = l.language AND s.split = ['train', 'val', 'extra', 'train'][d.doc_id % 4 + 1] GROUP BY ALL""",
     "dereferenced": "SELECT d.doc_id, trim(p.url) AS text FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id * 2",
     "resolved_paths": "SELECT page_id, '/data/a/c' AS path FROM pages",
+    "missing_paths": "SELECT doc_id, 'pages/' || doc_id * 3 AS p FROM documents d WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pages WHERE page_id = d.doc_id * 3)",
+    "policy_errors": """SELECT doc_id, concat_ws('; ', CASE WHEN toxic = 1 THEN 'task declares dependencies' END, CASE WHEN quality = 0 THEN 'task is marked unsafe' END) AS errors,
+        CASE WHEN quality = 0 THEN 'task is marked unsafe' ELSE '' END AS with_deps FROM labels""",
+    "task_rows": f"""WITH {_TASKS_SQL} SELECT id, family, ['train', 'val', 'test'][number % 3 + 1] AS split, 'rust' AS language, 'part' AS source, '<user>' || chr(10) || prompt || repeat(chr(10), 2)
+        || '{T.CONTRACT_MARKER}' || chr(10) || '`' || signature || '`' || chr(10) || 'Do not change the function name, parameters, or return type. You may add helper functions only if needed.' || repeat(chr(10), 2)
+        || 'Write only valid Rust code for this task. Do not include explanations.' || chr(10) || '<assistant>' || chr(10) || code || chr(10) AS conversations FROM tasks""",
+    "dataset_overview": """WITH t AS (SELECT doc_id, coalesce(lang, 'none') AS dataset_version, source AS family, ['train', 'val', 'extra', 'test'][doc_id % 4 + 1] AS split FROM documents),
+        c AS (SELECT dataset_version, count(*) AS total_tasks, count(DISTINCT nullif(family, '')) AS family_count, count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'val') AS val_count,
+          count(*) FILTER (split = 'test') AS test_count FROM t GROUP BY ALL),
+        g AS (SELECT dataset_version, count(*) FILTER (toxic = 1) = 0 AS all_pass FROM t JOIN labels USING (doc_id) WHERE dataset_version < 'f' GROUP BY ALL),
+        a AS (SELECT dataset_version, count(*) AS added_tasks, string_agg(DISTINCT family, ';' ORDER BY family) AS families_added FROM t WHERE split = 'extra' GROUP BY ALL HAVING count(*) % 2 = 0)
+        SELECT c.*, coalesce(all_pass::VARCHAR, '') AS all_pass, coalesce(added_tasks::VARCHAR, '') AS added_tasks, coalesce(families_added, '') AS families_added,
+          coalesce(nullif(train_count, 0)::VARCHAR, '') AS export_rust_train, coalesce(nullif(val_count, 0)::VARCHAR, '') AS export_rust_val, coalesce(nullif(test_count, 0)::VARCHAR, '') AS export_rust_test
+        FROM c LEFT JOIN g USING (dataset_version) LEFT JOIN a USING (dataset_version)""",
+    "family_metrics_by_run": f"""WITH {RESULTS_SQL}, rates AS (SELECT 'run' || id % 3 AS run_key, arm, family, seed, {_RATES} FROM results GROUP BY ALL)
+        SELECT run_key, arm, family, round_even(avg(co), 6) AS compile_mean, round_even(stddev_pop(co), 6) AS compile_std, round_even(avg(te), 6) AS test_mean, round_even(stddev_pop(te), 6) AS test_std FROM rates GROUP BY ALL""",
+    "exported_rows": """SELECT conv_id, turn, role, text, CASE WHEN turn % 2 = 0 THEN 'rust' ELSE 'wordy' END AS language, ['train', 'val', 'test'][conv_id % 4 + 1] AS split FROM conversations WHERE conv_id % 4 < 3""",
+    "written_lines": "SELECT count(*) AS lines, sum(length(url))::BIGINT AS chars, sum(length(url) + 1)::BIGINT AS whole_chars, true AS gapless FROM pages WHERE url IS NOT NULL",
+    "metrics_csv": _SEED_METRICS_SQL,
     "unique_union": "SELECT 'c' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier",
     "task_prompts": f"""WITH {_TASKS_SQL} SELECT id, '# Task' || repeat(chr(10), 2) || 'Use brand ' || p_brand || '.' || repeat(chr(10), 2) || '{T.CONTRACT_MARKER}' || chr(10) || '`' || signature || '`' || chr(10)
         || 'Do not change the function name, parameters, or return type. You may add helper functions only if needed.' || repeat(chr(10), 2)
