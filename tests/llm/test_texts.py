@@ -82,8 +82,9 @@ def katz_by_hand(rows, held):
     unknown = sum(c - lw(c) for c in words.values()) / n if n else 1.0
     p_word = lambda w: lw(words[w]) / n if w in words else unknown
     weight = {v: (1 - sum(lp(pairs[v, w]) / words[v] for w in ws)) / (1 - sum(p_word(w) for w in ws)) for v, ws in after.items()}
+    every = math.fsum([*map(p_word, words), unknown])
     for v, ws in after.items():  # probabilities over all words and the unknown one add up
-        rest = sum(p_word(w) for w in words if w not in ws) + unknown
+        rest = every - math.fsum(map(p_word, ws))
         assert math.isclose(sum(lp(pairs[v, w]) / words[v] for w in ws) + weight[v] * rest, 1, rel_tol=1e-9)
     out = []
     for (i, _), ts, h in zip(rows, texts, held, strict=True):
