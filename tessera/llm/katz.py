@@ -35,6 +35,8 @@ CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 20  # what a holder of words or pairs has on average
 MAX_GT = 5  # counts up to this have Good-Turing discounts
 HOT_SHARE = 4096  # contexts with more than 1/4096 of all tokens are held in several places
+TASK_BYTES = 64 << 20  # text whose chunks come back to one task, on average
+MAX_PARTS = 100_000  # as many buckets as a table may have
 
 _END = mix64(np.array([0xE0D], np.uint64))[0]  # the token after each document's last word
 
@@ -151,6 +153,11 @@ def _ask_words(chunks: DataFrame, buckets: int) -> DataFrame:
 ANSWER = "kind int, chunk long, bucket long, a binary, b binary, stats array<long>"
 
 
+def _to_holders(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows by bucket, in as many tasks as it takes for hardly any to have several large holders."""
+    return rows.repartition(min(2 * buckets, MAX_PARTS), "bucket").groupBy("bucket")
+
+
 def _hold_words(asked: DataFrame, buckets: int) -> DataFrame:
     """Answers (kind 0: word numbers, counts) and the model (kind 1: words, counts, histogram of counts)."""
 
@@ -168,7 +175,7 @@ def _hold_words(asked: DataFrame, buckets: int) -> DataFrame:
         rows.append((1, None, bucket, pack_sorted(words[known]), pack(totals[known]), [int(known.sum()), int(totals.sum()), *_histogram(totals[known])]))
         return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "a", "b", "stats"]).astype({"chunk": "Int64"})
 
-    return asked.groupBy("bucket").applyInPandas(hold, ANSWER)
+    return _to_holders(asked, buckets).applyInPandas(hold, ANSWER)
 
 
 @dataclass
@@ -233,7 +240,7 @@ def _ask_pairs(chunks: DataFrame, word_answers: DataFrame, buckets: int, total:
 PAIRS = "kind int, chunk long, bucket long, a binary, b binary, v binary, v_count binary, w_count binary, stats array<long>"
 
 
-def _hold_pairs(asked: DataFrame) -> DataFrame:
+def _hold_pairs(asked: DataFrame, buckets: int) -> DataFrame:
     """Answers (kind 2: counts), open questions (kind 3: places and contexts without a count) and the model (kind 4)."""
 
     def hold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -261,7 +268,7 @@ def _hold_pairs(asked: DataFrame) -> DataFrame:
         rows.append((4, None, bucket, pack(totals[known]), pack(w[k]), pack_sorted(v[k]), pack(v_count[k]), pack(w_count[k]), _histogram(totals[known])))
         return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "a", "b", "v", "v_count", "w_count", "stats"]).astype({"chunk": "Int64"})
 
-    return asked.groupBy("bucket").applyInPandas(hold, PAIRS)
+    return _to_holders(asked, buckets).applyInPandas(hold, PAIRS)
 
 
 def _context_sums(model: pd.Series, unigrams: Unigrams, discounts: Discounts) -> tuple[np.ndarray, ...]:
@@ -288,7 +295,7 @@ def _hot_sums(model: DataFrame, unigrams: Unigrams, discounts: Discounts) -> dic
     return {r[0]: (r[1], r[2]) for r in rows}
 
 
-def _backoff(held: DataFrame, unigrams: Unigrams, discounts: Discounts, hot: dict) -> DataFrame:
+def _backoff(held: DataFrame, buckets: int, unigrams: Unigrams, discounts: Discounts, hot: dict) -> DataFrame:
     """Answers (kind 5: places, backoff weights) to the open questions."""
     hot_v = np.array(sorted(hot), np.uint64)
     hot_sums = np.array([hot[int(v)] for v in hot_v]).reshape(-1, 2)
@@ -309,7 +316,7 @@ def _backoff(held: DataFrame, unigrams: Unigrams, discounts: Discounts, hot: dic
             rows.append((5, row.chunk, row.bucket, row.a, weight[np.searchsorted(v, asked)].astype("<f8").tobytes(), None))
         return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "a", "b", "stats"])
 
-    return held.filter("kind in (3, 4)").groupBy("bucket").applyInPandas(weigh, ANSWER)
+    return _to_holders(held.filter("kind in (3, 4)"), buckets).applyInPandas(weigh, ANSWER)
 
 
 def _score(chunks: DataFrame, answers: DataFrame, buckets: int, unigrams: Unigrams, discounts: Discounts) -> DataFrame:
@@ -363,7 +370,8 @@ def score_documents(df: DataFrame, key: str, text: str, held_out: Column) -> Dat
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)), MAX_PARTS)
     # Stored in buckets by chunk, the corpus is not shuffled when answers come back.
     chunks = write_buckets(_chunks(docs), "katz_chunks", parts, "chunk")
     size = chunks.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
@@ -372,10 +380,10 @@ def score_documents(df: DataFrame, key: str, text: str, held_out: Column) -> Dat
     words = write_table(_hold_words(_ask_words(chunks, word_buckets), word_buckets), "katz-words", "kind")
     unigrams = _unigrams(words.filter("kind = 1"))
     word_answers = words.filter("kind = 0").select(*[c.split()[0] for c in ANSWER.split(", ")])
-    held = write_table(_hold_pairs(_ask_pairs(chunks, word_answers, pair_buckets, unigrams.tokens)), "katz-pairs", "kind")
+    held = write_table(_hold_pairs(_ask_pairs(chunks, word_answers, pair_buckets, unigrams.tokens), pair_buckets), "katz-pairs", "kind")
     discounts = Discounts.of(_summed(held.filter("kind = 4"), MAX_GT + 2))
     hot = _hot_sums(held.filter("kind = 4"), unigrams, discounts)
-    weights = write_table(_backoff(held, unigrams, discounts, hot), "katz-weights")
+    weights = write_table(_backoff(held, pair_buckets, unigrams, discounts, hot), "katz-weights")
     columns = word_answers.columns
     answers = word_answers.unionByName(held.filter("kind = 2").select(*columns)).unionByName(weights.select(*columns))
     return _score(chunks, answers, pair_buckets, unigrams, discounts).withColumnRenamed("id", key)
