@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, katz, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, sharding
+from tessera.llm import chat_format, katz, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, resampling, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_language_id": language_id.op9_language_id,
     "op10_pieces": pieces.op10_pieces,
+    "op12_resampling": resampling.op12_resampling,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_nn_descent": nn_descent.OP6_SQL,
     "op7_mtree": mtree.OP7_SQL,
+    "op12_resampling": resampling.OP12_SQL,
 }
