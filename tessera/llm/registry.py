@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, katz, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, resampling, sharding
+from tessera.llm import chat_format, chat_repair, katz, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, resampling, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_pieces": pieces.op10_pieces,
     "op12_resampling": resampling.op12_resampling,
+    "op13_chat_repair": chat_repair.op13_chat_repair,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op6_nn_descent": nn_descent.OP6_SQL,
     "op7_mtree": mtree.OP7_SQL,
     "op12_resampling": resampling.OP12_SQL,
+    "op13_chat_repair": chat_repair.OP13_SQL,
 }
