@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, chat_repair, katz, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, resampling, sharding
+from tessera.llm import chat_format, chat_repair, katz, language_id, line_dedup, minhash, mixing, mtree, nn_descent, pieces, resampling, secret_scan, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_language_id": language_id.op9_language_id,
     "op10_pieces": pieces.op10_pieces,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_resampling": resampling.op12_resampling,
     "op13_chat_repair": chat_repair.op13_chat_repair,
 }

@@ -26,8 +26,8 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,7 +41,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 class _Powers:
@@ -106,7 +106,7 @@ def words_of(texts: pa.Array, lower: bool = False, max_bytes: int = CHUNK_BYTES)
     for first, data, offsets in text_chunks(texts, max_bytes):
         n = len(offsets) - 1
         if lower:
-            data = _LOWER[data]
+            data = LOWER[data]
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = ~_SPACE[data]
         before = np.zeros(len(data) + 1, bool)
@@ -114,6 +114,6 @@ def words_of(texts: pa.Array, lower: bool = False, max_bytes: int = CHUNK_BYTES)
         change = inside[1:] & (~inside[:-1] | before)
         starts = np.flatnonzero(change)
         ends = np.flatnonzero(inside[:-1] & (~inside[1:] | before))
-        hashes = span_hashes(_BYTE_VALUE[data], starts, ends)
+        hashes = span_hashes(BYTE_VALUE[data], starts, ends)
         per_row = np.diff(np.searchsorted(starts, offsets))
         yield Words(first, n, hashes, np.repeat(np.arange(n), per_row), per_row)
