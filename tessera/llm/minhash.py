@@ -169,8 +169,9 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _registers(sketches: pa.Array | pd.Series) -> np.ndarray:
-    data = sketches.to_pylist() if isinstance(sketches, pa.Array) else sketches
-    return np.frombuffer(b"".join(data), np.uint16).reshape(len(data), -1)
+    """[sketches, registers]; without sketches there are no registers either."""
+    data = sketches.to_pylist() if isinstance(sketches, pa.Array) else list(sketches)
+    return np.frombuffer(b"".join(data), np.uint16).reshape(len(data), len(data[0]) // 2 if data else 0)
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -237,7 +238,7 @@ def _cells(members: DataFrame, least: int, band_rows: int) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     total = sizes.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_PAIRS))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int")
     dealt = members.drop("size").join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     carried = ["bucket", "band", "uid", "comp", "block", "sketch"]
     cells = dealt.select(*carried, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -246,8 +247,10 @@ def _cells(members: DataFrame, least: int, band_rows: int) -> DataFrame:
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (pdf[pdf["block"] == pdf[c].iloc[0]] for c in ("i", "j"))
+        if left.empty or right.empty:  # no member was dealt to one of the blocks
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
         ids, comps, y, band = right["uid"].to_numpy(), right["comp"].to_numpy(), _registers(right["sketch"]), pdf["band"].iloc[0]
-        out, met, whole = [], np.zeros(len(ids), bool), left["block"].iloc[0] == right["block"].iloc[0] if len(left) and len(right) else False
+        out, met, whole = [], np.zeros(len(ids), bool), left["block"].iloc[0] == right["block"].iloc[0]
         for own, comp, x in zip(left["uid"], left["comp"], _registers(left["sketch"]), strict=True):
             same = y == x
             near = np.flatnonzero((same.sum(1) >= least) & (comps != comp) & ((ids > own) | (not whole)))
@@ -272,6 +275,8 @@ def _cell_links(cells: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (pdf[pdf["side"] == s].reset_index(drop=True) for s in (0, 1))
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []})
         x, y = (_sets(pa.array(p["text"], pa.string())) for p in (left, right))
         known = np.unique(np.concatenate([v for v, _ in x]))
         values, weights = (np.concatenate([s[k] for s in y]) for k in (0, 1))

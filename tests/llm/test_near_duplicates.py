@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import minhash
 from tessera.llm.components import components
 from tessera.llm.minhash import drop_near_duplicates, near_duplicates, probability_jaccard, shingles, signatures
 from tessera.llm.mtree import top_products
@@ -110,6 +111,34 @@ def test_near_duplicates(copies):
     assert next(r for r in got if r["doc_id"] is None)["kept"]
 
 
+def bucket_mates(n, rng, words=400, size=60, shared=0.87):
+    """Texts that share a passage and little else: near in the passage's bands, below the threshold as a whole."""
+    passage = [f"p{i}" for i in range(int(size * shared))]
+    return [" ".join(passage + [f"w{rng.randrange(words)}" for _ in range(size - len(passage))]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("block", "size"), [(1024, 1), (1, 1 << 40), (2, 64), (3, 1 << 40)])
+def test_blocks_without_members(spark, copies, monkeypatch, block, size):
+    """Buckets cut into as many blocks as members, by count or by bytes, so that some blocks stay empty."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    rows = copies[1] + [(20_000 + i, t) for i, t in enumerate(bucket_mates(40, random.Random(8)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, "doc_id", "text").collect() if r["doc_id"] is not None}
+    expected = groups_by_hand(rows)
+    assert {i: found[i] for i in expected} == expected
+
+
+def test_few_long_texts(spark):
+    """Four texts of 12.5 MB, all below the threshold to each other, and one near copy."""
+    n = 1_560_000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i < int(0.87 * n), F.substring(F.hex(F.xxhash64(i)), 1, 7)).otherwise(F.substring(F.hex(F.xxhash64(i, F.col("salt"))), 1, 7))))
+    df = spark.range(5).select("id", F.least("id", F.lit(3)).alias("salt")).select("id", text.alias("text")).withColumn("text", F.when(F.col("id") == 4, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    assert df.agg(F.min(F.length("text"))).first()[0] > 12_000_000
+    found = {r["id"]: r["component_id"] for r in near_duplicates(df, "id", "text").collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_near_duplicates_on_documents(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, "doc_id", "text").collect()}
