@@ -8,10 +8,10 @@ shapes, and by what the whole text is like (digits, lines, words such as
 "password").  Each of these is one entry of a table of weights, so that scores of
 all tokens of a batch are a few numpy look-ups.
 
-The best tags are those of the Viterbi search.  A token for which "outside" is ahead
-by more than any two neighbours could make up for is outside on every best path;
-such tokens, nearly all, part a text into short open segments, and the search runs
-over all segments of one length at once.  This changes no result.
+The best tags are those of the Viterbi search.  A token that lies in no run of tags
+other than outside which could be worth as much as outside throughout is outside on
+every best path; such tokens, nearly all, part a text into short open segments, and
+the search runs over all segments at once.  This changes no result.
 
 The field is trained here on a bounded sample of documents, labelled by the patterns.
 As it shall find what the patterns miss, each secret of the sample is also shown with
@@ -210,42 +210,58 @@ def _scores(entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Best tags of sequences of one length, [sequences, length, 3] to [sequences, length]; outside stands before and after."""
-    n, length, _ = scores.shape
-    back = np.zeros((length, n, 3), np.int8)
-    best = moves[O] + scores[:, 0]
-    for k in range(1, length):
-        ways = best[:, :, None] + moves[None]
-        back[k] = ways.argmax(1)
-        best = ways.max(1) + scores[:, k]
-    tags = np.zeros((n, length), np.int8)
-    tags[:, -1] = (best + moves[:, O]).argmax(1)
-    for k in range(length - 1, 0, -1):
-        tags[:, k - 1] = back[k][np.arange(n), tags[:, k]]
+def viterbi(scores: np.ndarray, moves: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Best tags of the sequences that begin at firsts in scores, [tokens, 3]; outside stands before and after each.
+
+    All sequences advance together, and the shorter ones end on the way.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    firsts, lengths = firsts[order], lengths[order]
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left") if len(lengths) else []  # sequences with more than k tokens
+    back, tags = np.zeros(scores.shape, np.int8), np.zeros(len(scores), np.int8)
+    best = moves[O] + scores[firsts]
+    for k in range(1, len(live)):
+        n = live[k]
+        ways = best[:n, :, None] + moves[None]
+        back[firsts[:n] + k] = ways.argmax(1)
+        best[:n] = ways.max(1) + scores[firsts[:n] + k]
+    tags[firsts + lengths - 1] = (best + moves[:, O]).argmax(1)
+    for k in range(len(live) - 1, 0, -1):
+        at = firsts[: live[k]] + k
+        tags[at - 1] = back[at, tags[at]]
     return tags
 
 
+def _may_gain(scores: np.ndarray, moves: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which tokens lie in a run of tags other than outside that may be worth as much as outside throughout.
+
+    A run is worth at most the sum of its tokens' best scores against outside, with
+    the best move between any two of them, and the best moves into and out of it.
+    The best sums up to a token and from it on are running minima of prefix sums.
+    """
+    inner = moves[1:, 1:].max() - moves[O, O]
+    edges = moves[O, 1:].max() + moves[1:, O].max() - 2 * moves[O, O] - inner
+    worth = np.maximum(scores[:, B], scores[:, I]) - scores[:, O] + inner
+    step = worth.astype(np.float64)
+    first = np.append(True, rows[1:] != rows[:-1])
+    runs = []
+    for way, new in ((slice(None), first), (slice(None, None, -1), np.append(rows[:-1] != rows[1:], True)[::-1])):
+        values = step[way]
+        at = np.flatnonzero(new)
+        best = np.empty_like(values)
+        for low, high in zip(at, np.append(at[1:], len(values)), strict=True):
+            sums = np.cumsum(values[low:high])
+            best[low:high] = sums - np.minimum.accumulate(np.append(0.0, sums[:-1]))
+        runs.append(best[way])
+    return runs[0] + runs[1] - step + edges >= -1e-3
+
+
 def tag(t: Tokens, field: Field) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, their tags) of all tokens that may not be outside; all others are."""
-    ways = field.moves[:, :, None] + field.moves[None]  # before, own, after
-    margin = (ways - ways[:, O : O + 1]).max((0, 2))  # what neighbours can add for a tag against outside
-    picked, scores = [], []
-    for low in range(0, len(t.starts), TOKENS):
-        found = _scores(features(t, low, min(low + TOKENS, len(t.starts))), field.weights)
-        open_ = np.flatnonzero((found[:, B] + margin[B] >= found[:, O]) | (found[:, I] + margin[I] >= found[:, O]))
-        picked.append(open_ + low)
-        scores.append(found[open_])
-    at = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-    tags = np.zeros(len(at), np.int8)
-    if len(at):
-        score = np.concatenate(scores)
-        parts = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(t.rows[at]) != 0)))
-        lengths = np.diff(np.append(parts, len(at)))
-        for length in np.unique(lengths):
-            places = parts[lengths == length][:, None] + np.arange(length)
-            tags[places] = viterbi(score[places], field.moves)
-    return at, tags
+    scores = np.concatenate([_scores(features(t, low, min(low + TOKENS, len(t.starts))), field.weights) for low in range(0, len(t.starts), TOKENS)] or [np.zeros((0, 3), np.float32)])
+    at = np.flatnonzero(_may_gain(scores, field.moves, t.rows)) if len(scores) else np.zeros(0, np.int64)
+    parts = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(t.rows[at]) != 0))) if len(at) else at
+    return at, viterbi(scores[at], field.moves, parts, np.diff(np.append(parts, len(at))))
 
 
 def field_spans(t: Tokens, field: Field) -> list[tuple[int, int, int]]:

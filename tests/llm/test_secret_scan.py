@@ -67,8 +67,8 @@ def test_open_segments_give_the_best_tags_of_the_whole_text(learnt, monkeypatch)
             if not len(t.starts):
                 continue
             entries = features(t, 0, len(t.starts))
-            scores = model.weights[entries].sum(1)
-            whole = viterbi(scores[None].astype(np.float64), model.moves.astype(np.float64))[0]
+            scores = secret_scan._scores(entries, model.weights)
+            whole = viterbi(scores, model.moves, np.array([0]), np.array([len(scores)]))
             monkeypatch.setattr(secret_scan, "TOKENS", 7)
             at, tags = tag(t, model)
             found = np.zeros(len(t.starts), np.int8)
@@ -78,9 +78,11 @@ def test_open_segments_give_the_best_tags_of_the_whole_text(learnt, monkeypatch)
 
 def test_viterbi_by_trying_all():
     pick = np.random.default_rng(1)
-    for length in (1, 2, 3, 4):
-        scores, moves = pick.normal(size=(5, length, 3)), pick.normal(size=(3, 3))
-        for row, tags in zip(scores, viterbi(scores, moves), strict=True):
+    for lengths in ([1], [4, 1, 3], [2, 2, 4, 4, 1]):
+        scores, moves, firsts = pick.normal(size=(sum(lengths), 3)), pick.normal(size=(3, 3)), np.cumsum([0, *lengths[:-1]])
+        found = viterbi(scores, moves, firsts, np.array(lengths))
+        for low, length in zip(firsts, lengths, strict=True):
+            row, tags = scores[low : low + length], found[low : low + length]
             value = lambda x, row=row: sum(row[k, y] for k, y in enumerate(x)) + sum(moves[a, b] for a, b in itertools.pairwise([0, *x, 0]))
             assert tuple(tags) == max(itertools.product(range(3), repeat=len(row)), key=value)
 
