@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds, in DataFrame functions only.
 
-Every document has a fixed 60-bit hash.  A source's partial pass takes all
+Every document has a fixed 60-bit hash of its key, source and text.  A source's partial pass takes all
 documents whose hash lies below the source's threshold, so growing a budget only
 adds documents.  The threshold is found from sums of words by hash bucket: the
 first level sums all documents by source and 12 hash bits, the bucket in which
@@ -78,8 +78,37 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame, key: str, source: str, text: str) -> dict[str, Column]:
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    return {"source": F.col(source), "size": word_count(F.col(text)), "hash": F.substring(digest, 1, LEVELS * LEVEL_DIGITS)}
+    def marked(c: Column) -> Column:
+        return F.concat(F.coalesce(F.length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit("")))
+
+    whole = F.concat(*[marked(F.col(c).cast("string")) for c in (key, source, text)])
+    return {"source": F.col(source), "size": word_count(F.col(text)), "digest": F.md5(whole.cast("binary"))}
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with `copy`, which numbers those of equal digest from 0, by counts of partitions; no digest's rows meet in one task."""
+    placed = write_table(rows.withColumns({"part": F.spark_partition_id(), "arrival": F.monotonically_increasing_id()}), "mixing-copies")
+    counts = placed.groupBy("digest", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("digest", "part").orderBy("arrival")) - 1
+    return placed.withColumn("own", own).join(counts.withColumn("before", before), ["digest", "part"]).withColumn("copy", F.col("own") + F.col("before")).drop("part", "arrival", "own", "n", "before")
+
+
+def _hashed(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows with their hash, from the digest and the number among equal digests; `repeated` holds the digests of several rows."""
+    if repeated.isEmpty():
+        numbered = rows.withColumn("copy", F.lit(0).cast("long"))
+    else:
+        once = rows.join(repeated, "digest", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+        numbered = once.unionByName(_numbered(rows.join(repeated, "digest", "left_semi")))
+    return numbered.withColumn("hash", F.substring(F.md5(F.concat_ws(":", "digest", "copy").cast("binary")), 1, LEVELS * LEVEL_DIGITS)).drop("digest", "copy")
+
+
+def _sizes(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(the narrow table of columns and hashes, the digests of several rows)."""
+    narrow = write_table(df.select(*[c.alias(n) for n, c in columns.items()]), "mixing-sizes")
+    repeated = write_table(narrow.groupBy("digest").count().filter("count > 1").select("digest"), "mixing-repeated")
+    return write_table(_hashed(narrow, repeated), "mixing-hashes"), repeated
 
 
 def mixing_plan(narrow: DataFrame, **targets) -> DataFrame:
@@ -106,13 +135,14 @@ def mix_sources(df: DataFrame, key: str, source: str, text: str, **targets) -> D
 
     copies says how often the mix takes a document: whole passes over its source
     plus one if its hash is below the source's threshold.  A document never comes
-    more than max_repeat times.  Each source's taken words fall short of its
-    target by less than the first document (or group of rows with the same key)
-    that no longer fits.  Texts of any length count whole.  Null texts and texts without words have size 0; null
-    sources form one source, null keys share one hash.  Rows with the same key
-    and source go together.  The hash depends on the key alone, so reruns agree.
+    more than max_repeat times.  Each source's taken words fall short of its target
+    by less than the first document that no longer fits.  Texts of any length count
+    whole.  Null texts and texts without words have size 0, and null sources form
+    one source.  The hash is that of key, source and text, and of a number where
+    several rows have the same ones, so rows with null or repeated keys are taken
+    each for itself, equal rows count alike, and reruns agree.
     """
-    narrow = write_table(df.select(F.col(key).alias("key"), *[c.alias(n) for n, c in _keyed(df, key, source, text).items()]), "mixing-sizes")
+    narrow, _ = _sizes(df, {"key": F.col(key), **_keyed(df, key, source, text)})
     plan = mixing_plan(narrow, **targets)
     taken = narrow.join(plan, F.struct(narrow["source"].alias("source")) == F.col("_source"))
     return taken.withColumn("copies", _copies(F.col("size"), F.col("hash"))).select(
@@ -124,12 +154,13 @@ def take_mix(df: DataFrame, key: str, source: str, text: str, **targets) -> Data
     """The mix itself: every row of df as often as mix_sources says, with df's columns.
 
     Texts are not shuffled while the plan, one row for each source, is small
-    enough for Spark to broadcast.
+    enough for Spark to broadcast; only texts of several equal rows are written
+    once more, to be numbered.
     """
     keyed = _keyed(df, key, source, text)
-    narrow = write_table(df.select(*[c.alias(n) for n, c in keyed.items()]), "mixing-sizes")
+    narrow, repeated = _sizes(df, keyed)
     plan = mixing_plan(narrow, **targets)
-    rows = df.select(F.struct("*").alias("row"), F.struct(F.col(source).alias("source")).alias("_source"), keyed["size"].alias("size"), keyed["hash"].alias("hash"))
+    rows = _hashed(df.select(F.struct("*").alias("row"), F.struct(F.col(source).alias("source")).alias("_source"), *[keyed[c].alias(c) for c in ("size", "digest")]), repeated)
     times = F.array_repeat(F.lit(0), _copies(F.col("size"), F.col("hash")).cast("int"))
     return rows.join(plan, "_source").select("row", F.explode(times)).select("row.*")
 
@@ -143,7 +174,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH RECURSIVE sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS h
+         md5(coalesce(length(doc_id::VARCHAR)::VARCHAR, '-') || ':' || coalesce(doc_id::VARCHAR, '') || coalesce(length(source)::VARCHAR, '-') || ':' || coalesce(source, '')
+             || coalesce(length(text)::VARCHAR, '-') || ':' || coalesce(text, '')) AS digest,
+         substr(md5(digest || ':' || (row_number() OVER (PARTITION BY digest) - 1)), 1, 15) AS h
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,

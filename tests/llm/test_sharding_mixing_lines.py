@@ -62,9 +62,12 @@ def mix_by_hand(rows):
     for _, s, n in sized:
         sums[s] += n
     targets, out = targets_by_hand(dict(sums)), []
-    groups = defaultdict(list)
-    for i, s, n in sized:
-        groups[s].append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], i, n))
+    groups, seen = defaultdict(list), defaultdict(int)
+    for (i, s, n), (_, t, _) in zip(sized, rows, strict=True):
+        whole = "".join("-:" if x is None else f"{len(str(x))}:{x}" for x in (i, s, t))
+        digest = hashlib.md5(whole.encode()).hexdigest()
+        groups[s].append((hashlib.md5(f"{digest}:{seen[digest]}".encode()).hexdigest()[:15], i, n))
+        seen[digest] += 1
     for s, docs in groups.items():
         passes = round(targets[s] / sums[s]) if sums[s] and targets[s] >= 2 * sums[s] else int(targets[s] / sums[s]) if sums[s] else 0
         left, stopped = targets[s] - passes * sums[s], None
@@ -91,6 +94,22 @@ def test_mix(odd_docs, spark, sf_dir):
         assert taken.count() == sum(r["copies"] for r in got)
 
 
+def test_mix_of_null_and_repeated_keys(spark):
+    """A source of rows without keys, one of equal rows and one of one key: each comes within one document of its target."""
+    rows = [(None, f"w{i} " * 20, "a") for i in range(300)] + [(7, "same words " * 5, "b")] * 200 + [(9, f"x{i} " * 15, "c") for i in range(150)] + [(None, None, "a"), (None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("digest", "copy", "part", "n")}).repartition(5)
+    got = mix_sources(df, "doc_id", "source", "text", weights=(3.0, 1.0, 2.0), share=1.1).collect()
+    assert len(got) == len(rows)
+    for source, most in (("a", 20), ("b", 10), ("c", 15)):
+        own = [r for r in got if r["source"] == source]
+        assert 0 <= own[0]["target"] - sum(r["taken"] for r in own) < most
+        assert len({r["copies"] for r in own if r["size"]}) == 2
+    taken = take_mix(df, "doc_id", "source", "text", weights=(3.0, 1.0, 2.0), share=1.1)
+    assert taken.columns == df.columns and taken.count() == sum(r["copies"] for r in got)
+    again = mix_sources(df.repartition(3, "text"), "doc_id", "source", "text", weights=(3.0, 1.0, 2.0), share=1.1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_mix_of_nothing(no_docs):
     assert mix_sources(no_docs, "doc_id", "source", "text").count() == 0
     assert take_mix(no_docs, "doc_id", "source", "text").count() == 0
