@@ -44,6 +44,7 @@ NODES = 64  # nodes that a block opens in one group, on average
 PAGES = 16  # pages that a block reads in one group, on average
 WAVES = (4, 32)  # leaves that a block has read after each wave but the last
 SLACK = 1e-6  # relative to M
+MOST = 2.0**62  # of a squared norm; products then fit a long
 
 _CHILD = 1 << 5  # child numbers fit below this
 
@@ -301,18 +302,22 @@ def top_products(df: DataFrame, key: str, vector: str, is_query: Column, k: int
     null key, take no part; shorter vectors count as filled up with zeros.  A row
     is no candidate for itself, but another row with the same key and vector is.
     If there are fewer than k candidates, all come.  An empty table gives no rows.
-    Other columns, whatever their names, are not read.
+    Scores are longs: if a vector's product with itself would reach 2**62 (64
+    components of about one million at scale 256), a ValueError says so.  Other
+    columns, whatever their names, are not read.
     """
     rows = df.select(F.col(key).alias("id"), whole_components(F.col(vector), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter("vec is not null and id is not null").withColumn("uid", F.monotonically_increasing_id())
     # All lie in the root; as columns of the table, for a join on a literal would be a cross join.
     points = write_table(rows.withColumns({"node": F.lit(1).cast("long"), "depth": F.lit(0), "away": F.lit(0.0)}), "mtree-points")
-    norm = F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     whole = points.agg(F.max(norm).alias("top"), F.max(F.size("vec")).alias("dim")).first()
     spark = df.sparkSession
     if whole["top"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long").withColumnRenamed("vec_id", key)
     top, dim = float(whole["top"]), int(whole["dim"])
+    if top >= MOST:
+        raise ValueError(f"components are too large for products that fit a long: a squared norm is {top:.3g}, at most {MOST:.3g} is allowed")
     leaves, nodes, depth = _grow(points, dim, top)
     queries = write_table(_blocks(leaves).withColumn("beat", F.lit(float("-inf"))), "mtree-queries")
 

@@ -299,6 +299,21 @@ def test_everything_is_compared_when_no_try_finds_enough(spark, monkeypatch):
     assert near_of(spark, x, labels) == by_brute_force(x, labels)
 
 
+def test_products_of_large_components(spark):
+    """Exact up to the stated range, a named error beyond it."""
+    rows = [(i, [float((i * 7919) % 1000 - 500) * 12_000.0, 1e6 + i, -3.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    assert max(sum(x * x for x in v) for v in whole.values()) > 2**60
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_products(df, "vec_id", "embedding", F.col("vec_id") % 5 == 0).collect()}
+    for q in range(0, 40, 5):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert [got[q, n] for n in range(1, 6)] == [(i, -s) for s, i in best]
+    for large in (1e7, 1e300):
+        with pytest.raises(ValueError, match="too large"):
+            top_products(spark.createDataFrame([(1, [large]), (2, [2 * large])], "vec_id long, embedding array<double>"), "vec_id", "embedding", F.lit(True))
+
+
 def test_products(spark):
     rows = odd_vectors()
     df = spark.createDataFrame(rows, VECTORS)
