@@ -46,6 +46,11 @@ def restore_identifier(name: Column) -> Column:
     return F.regexp_replace(name, f"^{COLLISION_PREFIX}", "")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends, line ends and tabs included."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def collapse(text: Column, unicode: bool = True) -> Column:
     """Runs of white space as one space, none at the ends."""
     space = r"(?U)\s+" if unicode else r"\s+"
@@ -81,18 +86,20 @@ def function_name(source: Column) -> Column:
     return _first_match(source, r"(?m)^\s*pub\s+" + plain, r"(?m)^\s*" + plain)
 
 
+# Fixed value: the head of a public function, the return type on its line or the next.
+FUNCTION_HEAD = r"(?m)^\s*(pub\s+fn\s+[A-Za-z_][A-Za-z0-9_]*\s*\([^\n]*\)\s*(?:->\s*[^{\n]+)?)\s*\{"
+
+
 def code_signature(source: Column, name: Column) -> Column:
     """What stands before the body of the public function of that name, else of the first one, on one line."""
-    # A head is the part of a `pub fn` line up to its brace; the name ends at the parenthesis.
-    heads = F.transform(F.regexp_extract_all(source, F.lit(r"(?m)^\s*(pub\s+fn\s[^{\n]*)(?=\s*\{)"), 1), lambda h: collapse(h))
-    heads = F.filter(heads, lambda h: h.rlike(r"\bfn \w+ ?\("))
-    own = F.filter(heads, lambda h: F.rtrim(F.substring_index(F.substring(h, len("pub fn ") + 1, 1 << 20), "(", 1)) == name)
+    heads = F.transform(F.regexp_extract_all(source, F.lit(FUNCTION_HEAD), 1), lambda h: collapse(h))
+    own = F.filter(heads, lambda h: F.regexp_extract(h, r"^pub fn (\w+)", 1) == name)
     return F.try_element_at(F.concat(own, heads), F.lit(1))
 
 
 def wordy_signature(source: Column, name: Column) -> Column:
     """The lines from `function <name>` (else the first function) up to `begin`, joined by bars."""
-    lines = F.transform(F.split(source, r"\R"), lambda x: F.trim(x))
+    lines = F.transform(F.split(source, r"\R"), strip)
     exact = F.array_position(lines, F.concat(F.lit("function "), name))
     any_at = F.array_position(F.transform(lines, lambda x: x.startswith("function ")), F.lit(True))
     start = F.when(exact > 0, exact).otherwise(any_at).cast("int")
@@ -105,7 +112,7 @@ def wordy_signature(source: Column, name: Column) -> Column:
 def strip_contract(prompt: Column) -> Column:
     """Without its contract paragraphs: each goes from the marker line through the blank lines after it."""
     block = r"(?m)^[^\S\n]*\Q" + CONTRACT_MARKER + r"\E[^\S\n]*(?:\n[^\S\n]*\S[^\n]*)*(?:\n[^\S\n]*(?=\n|\z))*\n?"
-    return F.regexp_replace(F.regexp_replace(prompt, block, ""), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(prompt, block, ""))
 
 
 def user_prompt(task: Column, language: str, signature: Column) -> Column:
@@ -119,7 +126,7 @@ def user_prompt(task: Column, language: str, signature: Column) -> Column:
 
 def with_contract(prompt: Column, signature: Column, repeat: bool = False) -> Column:
     """The prompt and its contract; unless repeat, a prompt that has one stays as it is."""
-    clean = F.trim(prompt)
+    clean = strip(prompt)
     added = F.concat(clean, F.lit(f"\n\n{CONTRACT_MARKER}\n`"), signature, F.lit("`\nDo not change the function name, parameters, or return type."))
     has = F.lit(False) if repeat else F.contains(clean, F.lit(CONTRACT_MARKER))
     return F.when(has | signature.isNull(), clean).otherwise(added)
@@ -127,9 +134,9 @@ def with_contract(prompt: Column, signature: Column, repeat: bool = False) -> Co
 
 def clean_generation(text: Column) -> Column:
     """Model output without the code fence around it; other text is only trimmed."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    trimmed = strip(text)
     inner = F.regexp_replace(F.regexp_replace(trimmed, r"^```[^\n]*\n?", ""), r"\n?```\s*$", "")
-    return F.when(F.startswith(trimmed, F.lit("```")), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(trimmed)
+    return F.when(F.startswith(trimmed, F.lit("```")), strip(inner)).otherwise(trimmed)
 
 
 def expected_value(family: Column, prompt: Column) -> Column:
@@ -181,24 +188,98 @@ def resolve_path(base: Column, path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(up, "/"))
 
 
-# Tokens of the wordy notation: strings, numbers, words, commas and line ends.
-TOKEN = r'"(?:[^"\\]|\\.)*"|\d+\.\d+|\d+|[A-Za-z_][A-Za-z0-9_]*|,|\n'
 # The words that are keywords in token tables.
-KEYWORDS = RESERVED_WORDS + (
-    "Fields", "macro", "bracket", "some", "none", "ok", "error", "unwrap", "or", "and", "plus", "minus", "times", "divided", "by", "modulo",
-    "less", "greater", "than", "not", "tuple", "array", "slice", "containing", "create", "index", "at", "range", "from", "inclusive",
-    "taking", "returning", "closure", "move", "body", "pipe", "verbatim",
+KEYWORDS = (
+    "function", "with", "generic", "type", "implementing", "takes", "returns", "begin", "end", "define", "mutable", "as", "set", "equal", "to",
+    "if", "condition", "then", "otherwise", "compare", "case", "while", "repeat", "for", "each", "in", "iterator", "loop", "forever", "exit", "continue", "return",
+    "structure", "fields", "Fields", "field", "enumeration", "variants", "variant", "of", "reference", "raw", "pointer", "optional", "result", "list", "box",
+    "call", "method", "on", "associated", "constant", "static", "macro", "bracket", "comma", "context", "some", "none", "ok", "error", "note", "that", "unwrap",
+    "or", "and", "plus", "minus", "times", "divided", "by", "modulo", "less", "greater", "than", "not", "tuple", "array", "slice", "containing", "create",
+    "index", "at", "range", "from", "inclusive", "taking", "returning", "closure", "move", "parameters", "body", "pipe", "verbatim",
 )
+#: Pieces that make up a whole text: line ends with the spaces after them, notes up to the line's end, strings,
+#: quoted characters, numbers, words, commas, and everything else in between.
+PIECE = (
+    r"(?s)\n *+|note that[^\n]*+"
+    r"|\"(?:[^\"\\]++|\\.)*+(?:\"|\\?\z)|'[^']*+(?:'|\z)"
+    r"|[0-9]++(?:\.[0-9]++)?+|[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*+|,|[^\n\"',0-9_\p{IsAlphabetic}]++"
+)
 
 
-def tokens(text: Column) -> Column:
-    """array<string> of a text's tokens in order; other characters separate them."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
+def read_escapes(body: Column) -> Column:
+    """A string's value: n, t and r after a backslash are control characters, any other character is itself."""
+    parts = F.regexp_extract_all(body, F.lit(r"(?s)[^\\]++|\\.|\\"), 0)
+    controls = F.create_map(*[F.lit(x) for x in ("\\n", "\n", "\\t", "\t", "\\r", "\r")])
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(controls, p), F.when(F.startswith(p, F.lit("\\")), F.substring(p, 2, 1)).otherwise(p))), "")
 
 
-def token_kind(token: Column) -> Column:
-    return (
-        F.when(token == "\n", "newline").when(token == ",", "comma").when(F.startswith(token, F.lit('"')), "string")
-        .when(token.rlike(r"^\d+\.\d+$"), "float").when(token.rlike(r"^\d+$"), "integer").when(token.isin("true", "false"), "boolean")
-        .when(token.isin(*KEYWORDS), "keyword").otherwise("identifier")
-    )
+def tokens(text: Column) -> Column:
+    """array<struct<kind,text>> of a text's tokens in order, the end included.
+
+    A line end is followed by an indent token, whose text is the number of spaces,
+    unless the line is blank.  Notes (`note that` to the line's end) and characters
+    of no kind are left out.  Strings are without quotes and escapes, quoted
+    characters without quotes; both end with the text if they aren't closed.  Names
+    are without the prefix that sets them apart from reserved words.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), 0)
+
+    def token(kind: str | Column, value: Column) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("text"))
+
+    def read(piece: Column, i: Column) -> Column:
+        first, following = F.substring(piece, 1, 1), F.get(pieces, i + 1)
+        indent = F.array(token("indent", (F.length(piece) - 1).cast("string")))
+        line = F.concat(F.array(token("newline", F.lit("\n"))), F.when(following.isNotNull() & ~F.startswith(following, F.lit("\n")), indent).otherwise(F.slice(indent, 1, 0)))
+        closed = (F.length(piece) > 1) & F.endswith(piece, first)
+        inner = F.substr(piece, F.lit(2), F.length(piece) - F.when(closed, 2).otherwise(1))
+        string = F.regexp_extract(piece, r'(?s)\A"((?:[^"\\]++|\\.)*+)', 1)
+        name = F.when(F.startswith(piece, F.lit(COLLISION_PREFIX)), F.substr(piece, F.lit(len(COLLISION_PREFIX) + 1))).otherwise(piece)
+        word = F.when(piece.isin("true", "false"), token("boolean", piece)).when(piece.isin(*KEYWORDS), token("keyword", piece)).otherwise(token("identifier", name))
+        found = (
+            F.when(first == '"', token("string", read_escapes(string))).when(first == "'", token("string", inner)).when(first == ",", token("comma", piece))
+            .when(first.rlike("[0-9]"), token(F.when(F.contains(piece, F.lit(".")), "float").otherwise("integer"), piece)).otherwise(word)
+        )
+        kept = first.rlike(r"[\"',0-9_\p{IsAlphabetic}]") & ~F.startswith(piece, F.lit("note that"))
+        return F.when(first == "\n", line).when(kept, F.array(found)).otherwise(F.slice(F.array(found), 1, 0))
+
+    end = F.array(token("end of file", F.lit("")))
+    return F.concat(F.flatten(F.transform(pieces, read)), end)
+
+
+# How the characters of an item that is taken over as it is are written.
+_ESCAPED = (("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ("'", "\\'"), ('"', '\\"'))
+
+
+def escape_item(text: Column) -> Column:
+    """Printable ASCII as it is, quotes and backslashes escaped, and all other characters by name or code point."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)[\x20-\x7e\t\r\n]++|."), 0)
+
+    def written(piece: Column) -> Column:
+        plain = piece
+        for char, code in _ESCAPED:
+            plain = F.replace(plain, F.lit(char), F.lit(code))
+        return F.when(piece.rlike(r"\A[\x20-\x7e\t\r\n]"), plain).otherwise(F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(piece))), F.lit("}")))
+
+    return F.array_join(F.transform(pieces, written), "")
+
+
+def unescape_item(text: Column) -> Column:
+    """The inverse of escape_item; the notation's own reader (read_escapes) leaves code points as they are written."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\u\{[0-9a-f]+\}|\\.|[^\\]++"), 0)
+    chars = F.create_map(*[F.lit(x) for char, code in _ESCAPED for x in (code, char)])
+
+    def code_point(piece: Column) -> Column:
+        return F.conv(F.regexp_extract(piece, r"\{([0-9a-f]+)\}", 1), 16, 10).cast("int")
+
+    def from_code(n: Column) -> Column:
+        """A character by its UTF-8 bytes."""
+        tail = lambda shift: F.shiftright(n, shift).bitwiseAND(63) + 128
+        hexes = lambda *parts: F.concat(*[F.lpad(F.hex(x), 2, "0") for x in parts])
+        utf8 = (
+            F.when(n < 0x80, hexes(n)).when(n < 0x800, hexes(F.shiftright(n, 6) + 192, tail(0)))
+            .when(n < 0x10000, hexes(F.shiftright(n, 12) + 224, tail(6), tail(0))).otherwise(hexes(F.shiftright(n, 18) + 240, tail(12), tail(6), tail(0)))
+        )
+        return F.decode(F.unhex(utf8), "UTF-8")
+
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("\\u{")), from_code(code_point(p))).otherwise(F.coalesce(F.try_element_at(chars, p), p))), "")

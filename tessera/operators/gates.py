@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import safe_ratio
+from tessera.functions.text import safe_ratio, strip
 from tessera.sources.writers import SPLITS
 
 FIELDS = ("id", "split", "family", "prompt_path", "rust_path", "tests_path")
@@ -48,8 +48,7 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     Blank lines are left out but counted.  A record without errors whose id an
     earlier one had is an error; only rows with no errors are tasks.
     """
-    doc = F.try_parse_json(F.trim("value"))
-    parsed = lines.filter(F.trim("value") != "").withColumn("doc", doc)
+    parsed = lines.withColumn("value", strip(F.col("value"))).filter("value <> ''").withColumn("doc", F.try_parse_json("value"))
     is_object = F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT"))
     errors = F.when(F.col("doc").isNull(), F.array(F.lit("invalid JSON"))).when(~is_object, F.array(F.lit("each JSONL record must be an object"))).otherwise(record_errors(F.col("doc")))
     checked = parsed.withColumn("errors", errors)
@@ -63,6 +62,25 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     return rows.withColumn("errors", numbered)
 
 
+NO_RECORDS = "manifest contains no task records"
+
+
+def observed_manifest(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    """parse_manifest's rows, and an observation of their number, those with errors and those that are tasks.
+
+    The observation is filled by whatever action first reads the rows, in the same pass.
+    """
+    seen = Observation("records")
+    failed = F.size("errors") > 0
+    rows = parse_manifest(lines)
+    return rows.observe(seen, F.count("*").alias("rows"), F.count_if(failed).alias("with_errors"), F.count_if(~failed).alias("tasks")), seen
+
+
+def manifest_problems(seen: Observation) -> list[str]:
+    """Errors of the manifest as a whole, after an action on the observed rows."""
+    return [] if seen.get["tasks"] else [NO_RECORDS]
+
+
 def policy_errors(tasks: DataFrame, allow_deps: bool = False, allow_unsafe: bool = False) -> DataFrame:
     """tasks with the errors of dependencies and unsafe code, where these are not allowed."""
     found = F.array(

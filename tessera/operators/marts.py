@@ -43,6 +43,18 @@ def family_metrics_by_run(results: DataFrame) -> DataFrame:
     return found.select("run_key", "arm", "family", *[round6(F.col(f"{m}_{s}")).alias(f"{n}_{s}") for m, n in (("compile_at_1", "compile"), ("test_at_1", "test")) for s in ("mean", "std")])
 
 
+def arm_bars(runs: DataFrame, arms: tuple[str, str]) -> DataFrame:
+    """(run_key, metric, arm, value) of metrics_by_run: the bars of a chart of both arms by metric."""
+    bars = [F.struct(F.lit(label).alias("metric"), F.lit(a).alias("arm"), F.col(f"{a}_{m}_mean").alias("value")) for label, m in (("compile@1", "compile_at_1"), ("test@1", "test_at_1")) for a in arms]
+    return runs.select("run_key", F.inline(F.array(*bars)))
+
+
+def progression(runs: DataFrame, arm: str, order: list[str]) -> DataFrame:
+    """(at, run_key, value) of metrics_by_run: an arm's test@1 over runs in a given order, from 0; other runs are left out."""
+    at = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("run_key"))
+    return runs.filter(F.col("run_key").isin(*order)).select((at - 1).cast("int").alias("at"), "run_key", F.col(f"{arm}_test_at_1_mean").alias("value"))
+
+
 def split_counts(tasks: DataFrame, *keys: str, split: str = "split", names: tuple[str, ...] = SPLITS) -> DataFrame:
     """Rows of each split by keys, zeros included; total_count is the sum of the named splits only."""
     wide = tasks.groupBy(*keys).agg(*[F.count_if(F.col(split) == s).alias(f"{s}_count") for s in names])

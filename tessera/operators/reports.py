@@ -46,6 +46,23 @@ def seed_documents(results: DataFrame, first: str, second: str, *keys: str) -> D
     return reports.groupBy(*keys).pivot("arm", [first, second]).agg(F.first(body))
 
 
+def documents_with_rows(results: DataFrame, first: str, second: str, *keys: str) -> DataFrame:
+    """(keys, first, second) as in seed_documents, each arm with its result rows too, by id.
+
+    All rows of a key and arm are in one document, so keys must be such that these are few.
+    """
+    row = F.struct("id", "family", "arm", *[c for f in ("transform", "compile", "test") for c in (f"{f}_ok", f"{f}_error")])
+    rows = results.groupBy(*keys, "arm").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    reports = arm_reports(results, *keys).join(rows, [*keys, "arm"])
+    body = F.struct(*[c for c in reports.columns if c not in keys])
+    return reports.groupBy(*keys).pivot("arm", [first, second]).agg(F.first(body))
+
+
+def document_files(documents: DataFrame, path: Column) -> DataFrame:
+    """(path, value): each document as the JSON text of a file of its own."""
+    return documents.select(path.alias("path"), F.to_json(F.struct("*")).alias("value"))
+
+
 def aggregate_documents(results: DataFrame, seed: str, first: str, second: str, *keys: str) -> DataFrame:
     """One row for each of keys: num_reports, summary and error taxonomy by arm, and second minus first."""
     rates = pass_counts(results, *keys, "arm", seed)

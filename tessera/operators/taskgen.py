@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import code_signature, with_contract
+from tessera.functions.text import code_signature, strip, with_contract
 
 # Each family's split, number of tasks, start of ids, prompt and code.  {id} is the task's name,
 # {k} its number with three digits, {i} the number, {i+n} and {i*n} what they say.
@@ -79,7 +79,7 @@ def manifest_rows(tasks: DataFrame) -> DataFrame:
 def task_files(tasks: DataFrame) -> DataFrame:
     """(path, value): the prompt, with its contract, and the solution of each task, to be written as files or kept as rows."""
     prompt = with_contract(F.col("prompt"), code_signature(F.col("code"), F.col("id")))
-    files = F.array(F.struct(F.col("prompt_path").alias("path"), F.concat(prompt, F.lit("\n")).alias("value")), F.struct(F.col("rust_path").alias("path"), F.concat(F.trim("code"), F.lit("\n")).alias("value")))
+    files = F.array(F.struct(F.col("prompt_path").alias("path"), F.concat(prompt, F.lit("\n")).alias("value")), F.struct(F.col("rust_path").alias("path"), F.concat(strip(F.col("code")), F.lit("\n")).alias("value")))
     return tasks.select(F.inline(files))
 
 

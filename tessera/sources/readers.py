@@ -5,8 +5,11 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip
+
 MESSAGE = "struct<role:string,content:string>"
 CHAT_SCHEMA = f"id string, family string, split string, language string, source string, conversations array<{MESSAGE}>"
 PREDICTION_SCHEMA = "id string, family string, split string, arm string, prompt string, prediction string, generation_attempts bigint, used_repair boolean"
@@ -38,6 +41,14 @@ def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return local.join(ranges, ["path", "start"]).select("path", (F.col("before") + F.col("k")).alias("line"), "value")
 
 
+def manifest_lines(spark: SparkSession, *paths: str) -> tuple[DataFrame, Observation]:
+    """numbered_lines and what one scan of them observes: `lines`, `blank` and `chars`, known after the first action."""
+    seen = Observation("manifest")
+    lines = numbered_lines(spark, *paths)
+    blank = strip(F.col("value")) == ""
+    return lines.observe(seen, F.count("*").alias("lines"), F.count_if(blank).alias("blank"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")), seen
+
+
 def json_lines(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """JSON rows, one on each line; blank lines are skipped and bad ones raise."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(list(paths))
@@ -90,10 +101,10 @@ def splits(spark: SparkSession, schema: str, **paths: str) -> DataFrame:
 
 
 def dereference(manifest: DataFrame, files: DataFrame, path: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with their file's text, rows whose file is missing).
+    """(rows with their file's text without white space at its ends, rows whose file is missing).
 
     Spark picks the join; the smaller side is broadcast if its size allows.
     """
-    named = files.select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.trim("value").alias(text))
+    named = files.select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), strip(F.col("value")).alias(text))
     on = F.col(path) == F.col("_path")
     return manifest.join(named, on).drop("_path"), manifest.join(named, on, "left_anti")

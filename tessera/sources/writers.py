@@ -18,17 +18,23 @@ def write_csv_table(df: DataFrame, columns: list[str], path: str) -> None:
 
 
 def write_chat_rows(df: DataFrame, path: str) -> None:
-    """JSON rows in folders by split and language; every split has a folder, rows of other splits are left out."""
-    for split in SPLITS:
-        df.filter(F.col("split") == split).drop("split").write.mode("overwrite").partitionBy("language").json(f"{path}/split={split}")
+    """JSON rows in folders by split and language, in one pass; every split has a folder, rows of other splits are left out."""
+    df.filter(F.col("split").isin(*SPLITS)).write.mode("overwrite").partitionBy("split", "language").json(path)
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for split in SPLITS:  # a split without rows has an empty folder
+        folder = hadoop(f"{path}/split={split}")
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def write_in_order(df: DataFrame, path: str, *order: str) -> None:
+    """JSON rows sorted as a whole: the files' names follow the order of their rows."""
+    df.orderBy(*order).write.mode("overwrite").json(path)
 
 
 def export_summary(df: DataFrame) -> DataFrame:
-    """(language, split, rows) for every language and known split, zeros included."""
-    kept = df.filter(F.col("split").isin(*SPLITS))
-    languages = df.select("language").distinct()
-    grid = languages.withColumn("split", F.explode(F.array(*[F.lit(s) for s in SPLITS])))
-    return grid.join(kept.groupBy("language", "split").agg(F.count("*").alias("rows")), ["language", "split"], "left").na.fill(0, ["rows"])
+    """(language, split, rows) for every language, null too, and known split, zeros included."""
+    counts = df.groupBy("language").agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    return counts.select("language", F.inline(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("rows")) for s in SPLITS])))
 
 
 def json_report(df: DataFrame, *fields: Column | str) -> DataFrame:

@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import sql
 from tessera.functions import text as T
+from tessera.operators.tokens import token_table
 from tessera.functions.classify import evaluation_class, failure_phase, report_class
 
 
@@ -103,11 +107,113 @@ def test_resolve_path(spark, path, out):
     assert value(spark, T.resolve_path(F.lit("/base"), F.col("a")), a=path) == out
 
 
+def tokens_by_hand(text):
+    """One character at a time."""
+    out, at = [], 0
+    here = lambda k=0: text[at + k] if at + k < len(text) else ""
+    while at < len(text):
+        c = here()
+        if c == "\n":
+            out.append(("newline", "\n"))
+            at, n = at + 1, 0
+            while here() == " ":
+                at, n = at + 1, n + 1
+            if here() not in ("", "\n"):
+                out.append(("indent", str(n)))
+        elif text.startswith("note that", at):
+            while here() not in ("", "\n"):
+                at += 1
+        elif c in "\"'":
+            at, value = at + 1, ""
+            while here() not in ("", c):
+                if c == '"' and here() == "\\" and here(1):
+                    at += 1
+                    value += {"n": "\n", "t": "\t", "r": "\r"}.get(here(), here())
+                elif c != '"' or here() != "\\":
+                    value += here()
+                at += 1
+            at += 1
+            out.append(("string", value))
+        elif c in "0123456789":
+            start, dot = at, False
+            while (here() and here() in "0123456789") or (here() == "." and not dot and here(1) and here(1) in "0123456789"):
+                dot = dot or here() == "."
+                at += 1
+            out.append(("float" if dot else "integer", text[start:at]))
+        elif c.isalpha() or c == "_":
+            start = at
+            while here() and (here().isalnum() or here() == "_"):
+                at += 1
+            word = text[start:at]
+            out.append(("boolean" if word in ("true", "false") else "keyword" if word in T.KEYWORDS else "identifier", word.removeprefix("user_")))
+        else:
+            if c == ",":
+                out.append(("comma", ","))
+            at += 1
+    return [*out, ("end of file", "")]
+
+
 def test_tokens(spark):
-    found = spark.createDataFrame([('call f with 1.5, "a \\" b"\ntrue 7',)], "a string").select(F.explode(T.tokens(F.col("a"))).alias("t")).select("t", T.token_kind(F.col("t"))).collect()
-    assert [tuple(r) for r in found] == [
-        ("call", "keyword"), ("f", "identifier"), ("with", "keyword"), ("1.5", "float"), (",", "comma"), ('"a \\" b"', "string"), ("\n", "newline"), ("true", "boolean"), ("7", "integer"),
+    rng = random.Random(3)
+    parts = ["note that", "note", " that", "\n", "\n  ", "   ", '"', "'", "\\", "\\n", '\\"', "1", "2.5", ".", "..7", ",", "user_", "type", "true", "é", "_x", "ß2", ";", "\t", "\r", "begin"]
+    texts = ["", "\n", "note that x, 1\n\n  y", '"a\\', "'", "1.5.2", "footnote that it", "user_", *("".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(1500))]
+    df = spark.createDataFrame([(t,) for t in texts], "a string").select("a", T.tokens(F.col("a")).alias("t"))
+    for r in df.collect():
+        assert [tuple(t) for t in r["t"]] == tokens_by_hand(r["a"]), r["a"]
+    assert value(spark, T.tokens(F.lit(None).cast("string")), a="x") is None
+    long = 'say "' + "a\\n" * 2_000 + '" ' + "word " * 50_000
+    assert len(value(spark, T.tokens(F.col("a")), a=long)) == 50_003
+
+
+def test_token_table(spark):
+    df = spark.createDataFrame([(1, "a\n  b, c\n\n d"), (2, None), (3, "")], "id long, t string").withColumns({c: F.lit("x") for c in ("kind", "line", "pos")})
+    got = sorted(tuple(r) for r in token_table(df, "id", "t").collect())
+    assert [r[1:] for r in got if r[0] == 1] == [
+        (0, "identifier", "a", 1, 0), (1, "newline", "\n", 1, 0), (2, "indent", "2", 2, 2), (3, "identifier", "b", 2, 2), (4, "comma", ",", 2, 2), (5, "identifier", "c", 2, 2),
+        (6, "newline", "\n", 2, 2), (7, "newline", "\n", 3, 0), (8, "indent", "1", 4, 1), (9, "identifier", "d", 4, 1), (10, "end of file", "", 4, 1),
     ]
+    assert [r for r in got if r[0] != 1] == [(3, 0, "end of file", "", 1, 0)]
+
+
+def test_items_come_back(spark):
+    texts = ["", "plain", "'q' \"d\" \\ \\n \t\r\n", "é \u20ac \U0001f600 \x00\x1f\x7f\u2028", "\\u{e9}", "x" * 100_000 + "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string").select("a", T.escape_item(F.col("a")).alias("e"))
+    for r in df.select("*", T.unescape_item(F.col("e")).alias("b"), T.read_escapes(F.col("e")).alias("r")).collect():
+        names = {"\t": "\\t", "\r": "\\r", "\n": "\\n", "'": "\\'", '"': '\\"', "\\": "\\\\"}
+        assert r["e"] == "".join(names.get(c) or (c if " " <= c <= "~" else f"\\u{{{ord(c):x}}}") for c in r["a"])
+        assert r["b"] == r["a"]
+        assert r["r"] == "".join(c if "\t\r\n".find(c) >= 0 or " " <= c <= "~" else f"u{{{ord(c):x}}}" for c in r["a"])
+
+
+@pytest.mark.parametrize(
+    ("source", "out"),
+    [
+        ("pub fn f(x: i32)\n    -> i32 {", "pub fn f(x: i32) -> i32"), ("pub fn f(x: i32)\n{", "pub fn f(x: i32)"), ("\tpub  fn\tf() -> Vec<u8> {", "pub fn f() -> Vec<u8>"),
+        ("pub fn g() {\n}\npub fn f(a: (u8, u8)) -> u8 {", "pub fn f(a: (u8, u8)) -> u8"), ("pub fn g() {\n}\nfn f() {", "pub fn g()"), ("fn f() {", None), ("pub fn f(", None),
+    ],
+)
+def test_signature_heads(spark, source, out):
+    assert value(spark, T.code_signature(F.col("a"), F.lit("f")), a=source) == out
+
+
+def test_strip(spark):
+    for text in ("\t\r\n a b \x0b\x0c\n", "\u00a0x\u2003", "\x1cx\x1f", "", " \n ", "x"):
+        assert value(spark, T.strip(F.col("a")), a=text) == text.strip()
+    assert value(spark, T.wordy_signature(F.col("a"), F.lit("f")), a="\tfunction f\t\n\t takes x\n\n\tbegin") == "function f | takes x"
+    assert value(spark, T.with_contract(F.col("a"), F.lit(None).cast("string")), a="\n# Task\n\t") == "# Task"
+
+
+def test_functions_from_sql(spark):
+    """Every function says the same from SQL as as a column."""
+    names = sql.register(spark)
+    df = spark.createDataFrame([(t, p, f, x) for t in ("type", "Some", " a\t\nb 'q' \\", "```rust\nx\n```", None, "Error: Parse error: x", "fn f (x)") for p, f, x in (("compile", True, 1.0), ("transform", None, None))], "s string, p string, f boolean, x double")
+    df.createOrReplaceTempView("_samples")
+    columns = {"string": ["s", "p"], "boolean": ["f", "f", "f"], "double": ["x", "x"]}
+    for name in names:
+        arguments, function = sql.FUNCTIONS[name]
+        own = columns[next(iter(arguments.values()))][: len(arguments)]
+        called = spark.sql(f"SELECT {name}({', '.join(own)}) AS y FROM _samples").collect()
+        assert [r[0] for r in called] == [r[0] for r in df.select(function(*map(F.col, own))).collect()], name
 
 
 def test_first_failed_phase(spark):
