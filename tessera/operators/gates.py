@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +43,12 @@ def _has_null(doc: Column) -> Column:
     return F.exists(F.try_variant_get(doc, "$.deps", "array<string>"), lambda x: x.isNull())
 
 
-def parse_manifest(lines: DataFrame) -> DataFrame:
+def parse_manifest(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
     """Manifest lines (line, value) with their record's fields and errors, each as `line N: ...`.
 
     Blank lines are left out but counted.  A record without errors whose id an
-    earlier one had is an error; only rows with no errors are tasks.
+    earlier one had is an error; only rows with no errors are tasks.  `seen` observes
+    the number of records, and of those with errors of their own, in the same pass.
     """
     parsed = lines.withColumn("value", strip(F.col("value"))).filter("value <> ''").withColumn("doc", F.try_parse_json("value"))
     is_object = F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT"))
@@ -54,6 +56,8 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     checked = parsed.withColumn("errors", errors)
     fields = [F.when(F.size("errors") == 0, F.try_variant_get("doc", f"$.{f}", "string")).alias(f) for f in FIELDS]
     rows = checked.select("line", "errors", *fields, F.coalesce(F.try_variant_get("doc", "$.deps", "array<string>"), F.expr("cast(array() as array<string>)")).alias("deps"), F.coalesce(F.try_variant_get("doc", "$.unsafe", "boolean"), F.lit(False)).alias("unsafe"))
+    if seen is not None:
+        rows = rows.observe(seen, F.count("*").alias("records"), F.count_if(F.size("errors") > 0).alias("with_errors"))
     # Rows without an id are no group: each goes by its line.
     same = Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("line"))).orderBy("line")
     again = (F.row_number().over(same) > 1) & F.col("id").isNotNull()
@@ -65,20 +69,18 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
 NO_RECORDS = "manifest contains no task records"
 
 
-def observed_manifest(lines: DataFrame) -> tuple[DataFrame, Observation]:
-    """parse_manifest's rows, and an observation of their number, those with errors and those that are tasks.
-
-    The observation is filled by whatever action first reads the rows, in the same pass.
-    """
-    seen = Observation("records")
-    failed = F.size("errors") > 0
-    rows = parse_manifest(lines)
-    return rows.observe(seen, F.count("*").alias("rows"), F.count_if(failed).alias("with_errors"), F.count_if(~failed).alias("tasks")), seen
+def observed(seen: Observation) -> dict[str, int]:
+    """What parse_manifest has observed; zeros where Spark, at run time, left the observing node out because no line came to it."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {"records": 0, "with_errors": 0}
 
 
 def manifest_problems(seen: Observation) -> list[str]:
-    """Errors of the manifest as a whole, after an action on the observed rows."""
-    return [] if seen.get["tasks"] else [NO_RECORDS]
+    """Errors of the manifest as a whole, after an action on the rows that were observed while they were parsed."""
+    figures = observed(seen)
+    return [] if figures["records"] > figures["with_errors"] else [NO_RECORDS]
 
 
 def policy_errors(tasks: DataFrame, allow_deps: bool = False, allow_unsafe: bool = False) -> DataFrame:

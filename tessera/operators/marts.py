@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import round6
 from tessera.operators.aggregate import arm_delta, summary_over_seeds
+from tessera.operators.order import fixed_order
 from tessera.operators.score import failures, pass_counts
 from tessera.sources.writers import SPLITS
 
@@ -88,5 +89,4 @@ def zero_filled(counts: DataFrame, count: str, **domains: list[str]) -> DataFram
 
 def in_order(df: DataFrame, column: str, order: list[str], *more: str) -> DataFrame:
     """Sorted by a fixed order of a column's values; others come last."""
-    at = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(column))
-    return df.orderBy(F.when(at == 0, len(order) + 1).otherwise(at), *more)
+    return df.orderBy(fixed_order(column, order), *more)

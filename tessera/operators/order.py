@@ -25,6 +25,6 @@ def with_place(df: DataFrame, *order: str | Column, place: str = "place") -> Dat
 
 
 def fixed_order(column: str, values: list[str]) -> Column:
-    """A sort key by a fixed order of values; others come last."""
-    at = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
+    """A sort key by a fixed order of values; others, null too, come last."""
+    at = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)), F.lit(0))
     return F.when(at == 0, F.lit(len(values) + 1)).otherwise(at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as sql_functions
@@ -54,7 +55,7 @@ def written_tasks(spark, d):
     folder = scratch_folder(spark, "written-tasks")
     named = tasks(spark, d).withColumns({"prompt_path": F.concat(F.lit("prompts/"), "id", F.lit(".md")), "rust_path": F.concat(F.lit("rust/"), "id", F.lit(".rs"))})
     files.write_row_files(taskgen.task_files(named), folder)
-    listed = files.file_listing(spark, folder, "*.{md,rs}")
+    listed = files.file_listing(spark, folder, ".md", ".rs")
     wanted = named.select("id", F.when(F.col("number") % 5 == 0, F.concat("rust_path", F.lit("x"))).otherwise(F.col("rust_path")).alias("p"))
     missing = gates.missing_files(wanted, "p", listed.select(F.col("name").alias("path"))).select(F.col("p").alias("name"), F.lit(None).cast("long").alias("length"), F.lit("missing").alias("state"))
     return listed.select("name", "length", F.lit("there").alias("state")).unionByName(missing)
@@ -68,10 +69,12 @@ def manifest_scan(spark, d):
         where = F.when(F.col("doc_id") % 4 == 0, "dev").otherwise(split)
         record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), where.alias("split"), F.col("source").alias("family"), F.lit("p").alias("prompt_path"), F.lit("r").alias("rust_path")))
         table(spark, d, "documents").select(F.when(F.col("doc_id") % 5 == 0, "\t").otherwise(record).alias("value")).write.text(path)
-        rows, seen = gates.observed_manifest(readers.numbered_lines(spark, path))
-        kept = rows.filter(F.size("errors") == 0).agg(F.count("*").alias("n")).first()["n"]  # the action that fills the observation
-        found.append((part, seen.get["rows"], seen.get["with_errors"], seen.get["tasks"], kept, "; ".join(gates.manifest_problems(seen))))
-    return spark.createDataFrame(found, "part string, rows long, with_errors long, tasks long, kept long, problems string")
+        seen = Observation("manifest")
+        rows = gates.parse_manifest(readers.numbered_lines(spark, path), seen)
+        tasks_found = rows.filter(F.size("errors") == 0).agg(F.count("*").alias("n")).first()["n"]  # the action that fills the observation
+        figures = gates.observed(seen)
+        found.append((part, figures["records"], figures["with_errors"], tasks_found, "; ".join(gates.manifest_problems(seen))))
+    return spark.createDataFrame(found, "part string, records long, with_errors long, tasks long, problems string")
 
 
 def report_files(spark, d):
@@ -168,8 +171,8 @@ SQL = {
     "written_tasks": f"""WITH {TASKS_SQL} SELECT 'rust/' || id || '.rs' AS name, (length(code) + 1)::BIGINT AS length, 'there' AS state FROM tasks
         UNION ALL SELECT 'prompts/' || id || '.md', (length(prompt) + length('{T.CONTRACT_MARKER}') + length(signature) + length('Do not change the function name, parameters, or return type.') + 7)::BIGINT, 'there' FROM tasks
         UNION ALL SELECT 'rust/' || id || '.rsx', NULL, 'missing' FROM tasks WHERE number % 5 = 0""",
-    "manifest_scan": """WITH x AS (SELECT unnest(['all', 'none']) AS part, doc_id FROM documents WHERE doc_id % 5 <> 0), y AS (SELECT part, count(*) AS rows, count(*) FILTER (part = 'none' OR doc_id % 4 = 0) AS with_errors FROM x GROUP BY part)
-        SELECT *, rows - with_errors AS tasks, rows - with_errors AS kept, CASE WHEN rows = with_errors THEN 'manifest contains no task records' ELSE '' END AS problems FROM y""",
+    "manifest_scan": """WITH x AS (SELECT unnest(['all', 'none']) AS part, doc_id FROM documents WHERE doc_id % 5 <> 0), y AS (SELECT part, count(*) AS records, count(*) FILTER (part = 'none' OR doc_id % 4 = 0) AS with_errors FROM x GROUP BY part)
+        SELECT *, records - with_errors AS tasks, CASE WHEN records = with_errors THEN 'manifest contains no task records' ELSE '' END AS problems FROM y""",
     "report_files": f"""WITH {RESULTS_SQL}, u AS (SELECT f.*, e.user_id FROM failed f JOIN events e ON e.event_id = f.id), n AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'wordy' END AS arm, count(*) AS total FROM events GROUP BY ALL)
         SELECT user_id, arm, CASE WHEN failure_phase = 'transform' THEN 'wordy_parse_or_convert' WHEN failure_class = 'behavior_assertion' THEN 'other' ELSE failure_class END AS failure_class, count(*) AS count, any_value(n.total) AS total,
           any_value(n.total) AS family_total FROM u JOIN n USING (user_id, arm) GROUP BY ALL""",

@@ -9,8 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 _STAGING, _DONE = "_staging", "_SUCCESS"
 
@@ -76,12 +75,14 @@ class RowFilesWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, base = self._open()
         done = [m for m in messages if m is not None]
-        fs.delete_dir(f"{base}/{_STAGING}") if fs.get_file_info(f"{base}/{_STAGING}").type.name == "Directory" else None
+        self._clear(fs, base)
         with fs.open_output_stream(f"{base}/{_DONE}") as out:
             out.write(json.dumps({"files": sum(m.files for m in done), "bytes": sum(m.bytes for m in done)}).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, base = self._open()
+        self._clear(*self._open())
+
+    def _clear(self, fs, base: str) -> None:
         if fs.get_file_info(f"{base}/{_STAGING}").type.name == "Directory":
             fs.delete_dir(f"{base}/{_STAGING}")
 
@@ -92,12 +93,52 @@ def write_row_files(files: DataFrame, folder: str) -> None:
     files.select("path", "value").write.format("row_files").mode("append").option("path", folder).save()
 
 
-def file_listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length) of all files below a folder whose name fits the glob pattern; no content is read.
+class Entries(InputPartition):
+    def __init__(self, paths: list[tuple[str, bool]]) -> None:
+        self.paths = paths  # and whether each is a folder
+
+
+class FolderListing(DataSource):
+    """Format `folder_listing`: all files below the option `path`; each task walks some of the folder's own entries."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder_listing"
+
+    def schema(self) -> str:
+        return "path string, name string, length long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FolderListingReader(self.options["path"], int(self.options.get("tasks", "64")))
+
+
+class FolderListingReader(DataSourceReader):
+    def __init__(self, root: str, tasks: int) -> None:
+        self.root, self.tasks = root, tasks
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.root)
+        found = [(f.path, f.type == fs.FileType.Directory) for f in store.get_file_info(fs.FileSelector(base))]
+        return [Entries(found[k :: self.tasks]) for k in range(min(self.tasks, len(found)))] or [Entries([])]
+
+    def read(self, partition: Entries) -> Iterator[tuple[str, str, int]]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.root)
+        for path, is_folder in partition.paths:
+            for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if is_folder else store.get_file_info([path]):
+                if f.type == fs.FileType.File:
+                    yield f.path, f.path.removeprefix(base).lstrip("/"), f.size
+
+
+def file_listing(spark: SparkSession, folder: str, *suffixes: str) -> DataFrame:
+    """(path, name, length) of all files below a folder, empty and hidden ones too, or of those that end in one of the suffixes.
 
-    name is relative to the folder.
+    name is relative to the folder; no file is opened.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    base = "/" + folder.split("://", 1)[-1].strip("/") + "/"
-    return found.select("path", F.substring_index(plain, base, -1).alias("name"), "length")
+    spark.dataSource.register(FolderListing)
+    uri = folder if "://" in folder else f"file://{folder}"
+    found = spark.read.format("folder_listing").option("path", uri).load()
+    return found.filter(" OR ".join(f"endswith(name, '{s}')" for s in suffixes)) if suffixes else found

@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
@@ -41,14 +40,6 @@ def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return local.join(ranges, ["path", "start"]).select("path", (F.col("before") + F.col("k")).alias("line"), "value")
 
 
-def manifest_lines(spark: SparkSession, *paths: str) -> tuple[DataFrame, Observation]:
-    """numbered_lines and what one scan of them observes: `lines`, `blank` and `chars`, known after the first action."""
-    seen = Observation("manifest")
-    lines = numbered_lines(spark, *paths)
-    blank = strip(F.col("value")) == ""
-    return lines.observe(seen, F.count("*").alias("lines"), F.count_if(blank).alias("blank"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")), seen
-
-
 def json_lines(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     """JSON rows, one on each line; blank lines are skipped and bad ones raise."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(list(paths))

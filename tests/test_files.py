@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.operators import arms, gates, order, reports
@@ -21,7 +22,7 @@ def test_files_for_rows(spark, tmp_path):
     # A second write replaces files by name and leaves the others.
     files.write_row_files(spark.createDataFrame([("a/0/0.txt", "new"), ("empty", None)], "path string, value string"), folder)
     assert (tmp_path / "out/a/0/0.txt").read_text() == "new" and (tmp_path / "out/empty").read_text() == "" and (tmp_path / "out/a/1/1.txt").exists()
-    listed = {r["name"]: r["length"] for r in files.file_listing(spark, folder, "*.txt").collect()}
+    listed = {r["name"]: r["length"] for r in files.file_listing(spark, folder, ".txt").collect()}
     assert len(listed) == 300 and listed["a/0/0.txt"] == 3
     files.write_row_files(rows.filter("false"), f"file://{tmp_path}/none")
     assert json.loads((tmp_path / "none/_SUCCESS").read_text())["files"] == 0
@@ -37,12 +38,12 @@ def test_a_failed_write_leaves_no_halves(spark, tmp_path):
         assert sorted(os.listdir(tmp_path / "out")) == ["x"]  # neither staged files nor the marker of the write before
 
 
-def test_listing_reads_no_content(spark, tmp_path):
+def test_listing_of_all_files(spark, tmp_path):
     (tmp_path / "d/e").mkdir(parents=True)
     (tmp_path / "d/e/a.md").write_text("abc")
     (tmp_path / "d/b.rs").write_text("")
     listing = files.file_listing(spark, str(tmp_path / "d"))
-    assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert files.file_listing(spark, str(tmp_path / "d"), ".md", ".txt").count() == 1
     assert {(r["name"], r["length"]) for r in listing.collect()} == {("e/a.md", 3), ("b.rs", 0)}
     tasks = spark.createDataFrame([(1, "e/a.md"), (2, "no.md"), (3, None)], "id long, p string")
     assert [r["id"] for r in gates.missing_files(tasks, "p", listing.select(F.col("name").alias("path"))).collect()] == [2]
@@ -60,19 +61,18 @@ def test_dereference_strips_line_ends(spark, tmp_path):
 RECORD = {"id": "a", "split": "train", "family": "f", "prompt_path": "p", "rust_path": "r"}
 
 
-@pytest.mark.parametrize(("lines", "figures", "problems"), [
-    ([json.dumps(RECORD), "\t", "{bad", json.dumps(RECORD)], {"rows": 3, "with_errors": 2, "tasks": 1}, []),
-    (["", " \t "], {"rows": 0, "with_errors": 0, "tasks": 0}, [gates.NO_RECORDS]),
-    (["[1]", json.dumps(RECORD | {"deps": None})], {"rows": 2, "with_errors": 2, "tasks": 0}, [gates.NO_RECORDS]),
+@pytest.mark.parametrize(("lines", "figures", "tasks"), [
+    ([json.dumps(RECORD), "\t", "{bad", json.dumps(RECORD)], {"records": 3, "with_errors": 1}, 1),
+    (["", " \t "], {"records": 0, "with_errors": 0}, 0), ([], {"records": 0, "with_errors": 0}, 0),
+    (["[1]", json.dumps(RECORD | {"deps": None})], {"records": 2, "with_errors": 2}, 0),
 ])
-def test_a_manifest_in_one_pass(spark, tmp_path, lines, figures, problems):
+def test_a_manifest_in_one_pass(spark, tmp_path, lines, figures, tasks):
     (tmp_path / "m.jsonl").write_text("\n".join(lines) + "\n")
-    read, counted = readers.manifest_lines(spark, str(tmp_path / "m.jsonl"))
-    rows, seen = gates.observed_manifest(read)
-    found = rows.collect()
-    assert seen.get == figures and gates.manifest_problems(seen) == problems
-    assert counted.get == {"lines": len(lines), "blank": sum(not x.strip() for x in lines), "chars": sum(map(len, lines))}
-    assert sum(not r["errors"] for r in found) == figures["tasks"]
+    seen = Observation("manifest")
+    rows = gates.parse_manifest(readers.numbered_lines(spark, str(tmp_path / "m.jsonl")), seen).collect()
+    assert gates.observed(seen) == figures and len(rows) == figures["records"]
+    assert sum(not r["errors"] for r in rows) == tasks
+    assert gates.manifest_problems(seen) == ([] if tasks else ["manifest contains no task records"])
 
 
 def test_places_and_fixed_order(spark):
