@@ -17,6 +17,7 @@ the text itself, so decoding gives every text back exactly.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from tessera.llm.worktables import free_name
 MODEL_PATH = os.environ.get("PIECE_MODEL_PATH", "/opt/tokenizers/piece_bpe_32k.model")
 CACHE_WORDS = 400_000  # words that a worker remembers; older ones go all at once
 SLICE_ROWS = 500  # rows of an Arrow batch that are encoded and decoded at a time
+SLICE_BYTES = 4 << 20  # of text encoded at once
 BATCH_CELLS = 1 << 19  # (word, position, length) cells examined at a time
 
 _MARK = 0x2581  # stands for a space in pieces
@@ -309,13 +311,25 @@ def decode_column(spark: SparkSession, model: PieceModel, ids: Column) -> Column
     return decode.asNondeterministic()(ids)
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of at most SLICE_ROWS rows and SLICE_BYTES bytes, one text at least."""
+    upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(upto[at - 1]) if at else 0
+        end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right"))))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def encode_decode(df: DataFrame, text: str, model_path: str = MODEL_PATH) -> DataFrame:
     """df with piece_ids, n_pieces and round_trip (the ids decode to exactly the text).
 
     All columns of df stay; if one has a new column's name, the new one gets an
     underscore more.  Null texts have null ids and a null round_trip, repeated rows
     equal results.  Texts of any length are encoded and decoded whole, in one pass,
-    SLICE_ROWS of them at a time, so that a worker's memory stays bounded.
+    at most SLICE_ROWS of them and SLICE_BYTES of text at a time; only a text that is
+    longer by itself makes a larger slice.
     Of pairs with equal scores the leftmost merges first.
     """
     sent = df.sparkSession.sparkContext.broadcast(PieceModel(model_path))
@@ -323,8 +337,7 @@ def encode_decode(df: DataFrame, text: str, model_path: str = MODEL_PATH) -> Dat
     @F.arrow_udf("struct<ids: array<int>, same: boolean>")
     def both(texts: pa.Array) -> pa.Array:
         found = []
-        for at in range(0, len(texts), SLICE_ROWS):
-            part = texts.slice(at, SLICE_ROWS)
+        for part in _slices(texts):
             ids = sent.value.encode(part)
             found.append(pa.StructArray.from_arrays([ids, pc.equal(sent.value.decode(ids), part.cast(pa.string()))], ["ids", "same"]))
         return pa.concat_arrays(found) if found else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())]))

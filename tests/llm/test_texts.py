@@ -229,6 +229,20 @@ def test_round_trip(odd_docs, no_docs):
     assert len({tuple(r["piece_ids"]) for r in encode_decode(twice, "text").collect()}) == 1
 
 
+def test_slices_by_rows_and_bytes(monkeypatch):
+    """No slice holds more bytes than allowed unless it is one text; all texts come, in order."""
+    from tessera.llm import pieces
+
+    texts = ["é" * 30, None, "", "x" * 500, *["word"] * 40, "y" * 99, "z"] * 3
+    for rows, size in ((7, 1 << 20), (1000, 100), (3, 1)):
+        monkeypatch.setattr(pieces, "SLICE_ROWS", rows)
+        monkeypatch.setattr(pieces, "SLICE_BYTES", size)
+        parts = [p.to_pylist() for p in pieces._slices(pa.array(texts))]
+        assert [t for p in parts for t in p] == texts
+        assert all(len(p) == 1 or (len(p) <= rows and sum(len((t or "").encode()) for t in p) <= size) for p in parts)
+    assert list(pieces._slices(pa.array([], pa.string()))) == []
+
+
 def test_models_that_change_texts_are_refused(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
