@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tessera.llm.worktables import write_table
 
 
+#: Rows of one range, about: a row is 40 bytes, so a range stays below a hundred megabytes however large the table is.
+RANGE_ROWS = 2_000_000
+
+
 def assign_shards(df: DataFrame, key: str, text: str, n_shards: int = 8) -> DataFrame:
     """Shard every row of df by the prefix sum of its text's UTF-8 bytes plus 1.
 
@@ -24,7 +28,9 @@ def assign_shards(df: DataFrame, key: str, text: str, n_shards: int = 8) -> Data
 
     Null texts have size 1 and the checksum of the empty text; null keys come
     first; repeated rows are ordered by their place in the input, and as they are
-    alike, any order gives the same result.  An empty table gives an empty result.
+    alike, any order gives the same result.  Texts of any length count whole and
+    stay where they are: only their size and checksum are shuffled.  An empty table
+    gives an empty result.
     Other columns, whatever their names, are not carried: join on the key.
     """
     n = F.lit(int(n_shards))
@@ -35,7 +41,7 @@ def assign_shards(df: DataFrame, key: str, text: str, n_shards: int = 8) -> Data
         F.crc32(body.cast("binary")).alias("text_crc32"),
     ).withColumn("arrival", F.monotonically_increasing_id())
     order = ["key", "text_crc32", "size", "arrival"]
-    ranges = max(1, int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-narrow.count() // RANGE_ROWS))
     ranged = write_table(narrow.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "sharding")
 
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))

@@ -257,6 +257,21 @@ def test_descent_finds_links_from_random_lists(spark, monkeypatch):
     assert links > 5_000 and found[0] < 0.5 * min(links, 700 * 20) and found[8] > 0.9 * min(links, 700 * 20)
 
 
+def test_a_large_label_goes_through_the_descent(spark):
+    """1,500 vectors of one label, four blocks of them, with clusters of 2 to 300, equal brute force; nothing is patched."""
+    from tessera.llm import nn_descent
+
+    rng = np.random.default_rng(31)
+    sizes = [300, 120, 40, 20, *[5] * 40, *[2] * 60]
+    centres = rng.standard_normal((len(sizes), 24))
+    close = np.concatenate([c + rng.standard_normal((n, 24)) * 0.06 for c, n in zip(centres, sizes, strict=True)])
+    x = np.concatenate([close, rng.standard_normal((1_500 - len(close), 24))])[rng.permutation(1_500)]
+    assert len(x) > 3 * nn_descent.BLOCK
+    expected = by_brute_force(x, np.zeros(1_500, int))
+    assert sum(n for _, n, _ in expected) > 50_000
+    assert near_of(spark, x, np.zeros(1_500, int)) == expected
+
+
 def test_double_precision_and_multiples(spark):
     """Double input is not rounded; multiples of a vector are other vectors that link."""
     base = np.array([1.0, 2.0, 3.0])
