@@ -1,9 +1,9 @@
 """Conversations as training text, with Spark expressions only.
 
-A conversation's turns are numbered in order, and their places in the text follow
-from running sums; collected as structs and sorted, adjacent turns of one role
-become one block, whose parts stay apart by a marker, so that the original turns
-can be read back:
+A conversation's turns are collected as structs and sorted; array functions look at
+each one's neighbours and merge adjacent turns of one role into one block, whose
+parts stay apart by a marker, so that the original turns can be read back.  The
+parts' places in the text follow from running sums:
 
     <turn:ROLE>TEXT<part>TEXT</turn>\\n
 
@@ -47,23 +47,25 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     loss_spans is array<struct<start,length>> in code points from 0, one span for
     each assistant turn, the empty ones included.  A conversation is one row of
     the result, so it must fit in one; the work grows with its length.  Other
-    columns of df, whatever their names, are ignored.
+    columns of df, whatever their names, are ignored.  That one row bounds a
+    conversation, that of null keys too, to 2 GB.
     """
     turns = df.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    placed = turns.withColumns({
-        "n": F.row_number().over(order),
-        "opens": F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)),
-        "closes": F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True)),
-    })
-    parts = placed.select(
-        "conv_id", "n", "opens", (F.col("role") == ASSISTANT).alias("loss"),
-        F.when(F.col("opens"), F.concat(F.lit("<turn:"), _escape_role(F.col("role")), F.lit(">"))).otherwise(F.lit(PART)).alias("before"),
-        escape(F.col("text")).alias("body"),
-        F.when(F.col("closes"), F.lit(END)).otherwise(F.lit("")).alias("after"),
-    )
+    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def part(turn: Column, i: Column) -> Column:
+        """What a turn adds to the text: a run of one role opens where the turn before has another one, and closes likewise."""
+        opens, closes = (F.coalesce(F.get("turns", i + step)["role"] != turn["role"], F.lit(True)) for step in (-1, 1))
+        return F.struct(
+            opens.alias("opens"), (turn["role"] == ASSISTANT).alias("loss"),
+            F.when(opens, F.concat(F.lit("<turn:"), _escape_role(turn["role"]), F.lit(">"))).otherwise(F.lit(PART)).alias("before"),
+            escape(turn["text"]).alias("body"), F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("after"),
+        )
+
+    # The places of the parts are running sums; the rows stay in the partitions that the grouping has made.
+    parts = sorted_turns.select("conv_id", F.posexplode(F.transform("turns", part)).alias("n", "part")).select("conv_id", "n", "part.*")
     sizes = [F.length(c) for c in ("before", "body", "after")]
     upto = F.sum(sizes[0] + sizes[1] + sizes[2]).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     spanned = parts.withColumn("span", F.struct((upto - sizes[1] - sizes[2]).cast("int").alias("start"), sizes[1].alias("length")))
