@@ -202,7 +202,7 @@ KEYWORDS = (
 PIECE = (
     r"(?s)\n *+|note that[^\n]*+"
     r"|\"(?:[^\"\\]++|\\.)*+(?:\"|\\?\z)|'[^']*+(?:'|\z)"
-    r"|[0-9]++(?:\.[0-9]++)?+|[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*+|,|[^\n\"',0-9_\p{IsAlphabetic}]++"
+    r"|[0-9]++(?:\.[0-9]++)?+|[A-Za-z_\p{IsAlphabetic}][A-Za-z0-9_\p{IsAlphabetic}\p{N}]*+|,|[^\n\"',0-9_\p{IsAlphabetic}]++"
 )
 
 
@@ -224,27 +224,33 @@ def tokens(text: Column) -> Column:
     """
     pieces = F.regexp_extract_all(text, F.lit(PIECE), 0)
 
+    none = F.expr("cast(array() as array<struct<kind:string,text:string>>)")
+
     def token(kind: str | Column, value: Column) -> Column:
         return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("text"))
 
-    def read(piece: Column, i: Column) -> Column:
-        first, following = F.substring(piece, 1, 1), F.get(pieces, i + 1)
+    def read(piece: Column, following: Column) -> Column:
+        code = F.ascii(piece)  # of the first character; whether it is a letter is asked only where that isn't plain
         indent = F.array(token("indent", (F.length(piece) - 1).cast("string")))
-        line = F.concat(F.array(token("newline", F.lit("\n"))), F.when(following.isNotNull() & ~F.startswith(following, F.lit("\n")), indent).otherwise(F.slice(indent, 1, 0)))
-        closed = (F.length(piece) > 1) & F.endswith(piece, first)
+        line = F.concat(F.array(token("newline", F.lit("\n"))), F.when(following.isNotNull() & (F.ascii(following) != 10), indent).otherwise(none))
+        closed = (F.length(piece) > 1) & F.endswith(piece, F.lit("'"))
         inner = F.substr(piece, F.lit(2), F.length(piece) - F.when(closed, 2).otherwise(1))
         string = F.regexp_extract(piece, r'(?s)\A"((?:[^"\\]++|\\.)*+)', 1)
         name = F.when(F.startswith(piece, F.lit(COLLISION_PREFIX)), F.substr(piece, F.lit(len(COLLISION_PREFIX) + 1))).otherwise(piece)
-        word = F.when(piece.isin("true", "false"), token("boolean", piece)).when(piece.isin(*KEYWORDS), token("keyword", piece)).otherwise(token("identifier", name))
-        found = (
-            F.when(first == '"', token("string", read_escapes(string))).when(first == "'", token("string", inner)).when(first == ",", token("comma", piece))
-            .when(first.rlike("[0-9]"), token(F.when(F.contains(piece, F.lit(".")), "float").otherwise("integer"), piece)).otherwise(word)
+        kind = F.when(piece.isin(*KEYWORDS), "keyword").when(piece.isin("true", "false"), "boolean").otherwise("identifier")
+        word = F.when(F.startswith(piece, F.lit("note that")), none).otherwise(F.array(token(kind, name)))
+        plain = code.between(97, 122) | code.between(65, 90) | (code == 95)
+        return (
+            F.when(plain, word).when(code == 32, none).when(code == 10, line).when(code == 44, F.array(token("comma", piece)))
+            .when(code.between(48, 57), F.array(token(F.when(F.contains(piece, F.lit(".")), "float").otherwise("integer"), piece)))
+            .when(code == 34, F.array(token("string", read_escapes(string)))).when(code == 39, F.array(token("string", inner)))
+            .when((code > 127) & piece.rlike(r"\A\p{IsAlphabetic}"), word).otherwise(none)
         )
-        kept = first.rlike(r"[\"',0-9_\p{IsAlphabetic}]") & ~F.startswith(piece, F.lit("note that"))
-        return F.when(first == "\n", line).when(kept, F.array(found)).otherwise(F.slice(F.array(found), 1, 0))
 
     end = F.array(token("end of file", F.lit("")))
-    return F.concat(F.flatten(F.transform(pieces, read)), end)
+    # Bound to a variable, as the pieces would be found anew wherever they are named.
+    found = F.get(F.transform(F.array(pieces), lambda p: F.flatten(F.zip_with(p, F.slice(p, 2, 1 << 30), read))), 0)
+    return F.concat(found, end)
 
 
 # How the characters of an item that is taken over as it is are written.

@@ -12,35 +12,35 @@ from tessera.sources.writers import SPLITS
 FIELDS = ("id", "split", "family", "prompt_path", "rust_path", "tests_path")
 
 
-def _kind(doc: Column, field: str) -> Column:
+def _kind(fields: Column, field: str) -> Column:
     """The type of a field: null if absent, VOID if it is an explicit null."""
-    return F.schema_of_variant(F.try_variant_get(doc, f"$.{field}", "variant"))
+    return F.when(F.map_contains_key(fields, field), F.coalesce(F.schema_of_variant(F.try_element_at(fields, F.lit(field))), F.lit("VOID")))
 
 
-def record_errors(doc: Column) -> Column:
-    """All the rules that a manifest record, a VARIANT object, breaks; absent and null fields differ."""
+def record_errors(fields: Column) -> Column:
+    """All the rules that a manifest record, a map of its fields as VARIANTs, breaks; absent and null fields differ."""
 
     def text(field: str) -> Column:
-        return F.when(_kind(doc, field) == "STRING", F.try_variant_get(doc, f"$.{field}", "string"))
+        return F.when(_kind(fields, field) == "STRING", F.try_variant_get(F.try_element_at(fields, F.lit(field)), "$", "string"))
 
     def rule(ok: Column, message: str) -> Column:
         return F.when(~F.coalesce(ok, F.lit(False)), F.lit(message))
 
-    deps, unsafe, tests = _kind(doc, "deps"), _kind(doc, "unsafe"), _kind(doc, "tests_path")
+    deps, unsafe, tests = _kind(fields, "deps"), _kind(fields, "unsafe"), _kind(fields, "tests_path")
     filled = [rule(text(f) != "", f"'{f}' must be a non-empty string") for f in ("id", "family", "prompt_path", "rust_path")]
     found = F.array(
         filled[0],
         rule(text("split").isin(*SPLITS), "'split' must be one of ['test', 'train', 'val']"),
         *filled[1:],
         rule(tests.isNull() | tests.isin("VOID", "STRING"), "'tests_path' must be a string when present"),
-        rule(deps.isNull() | deps.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.coalesce(~_has_null(doc), F.lit(True)), "'deps' must be a string list"),
+        rule(deps.isNull() | deps.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.coalesce(~_has_null(F.try_element_at(fields, F.lit("deps"))), F.lit(True)), "'deps' must be a string list"),
         rule(unsafe.isNull() | (unsafe == "BOOLEAN"), "'unsafe' must be boolean"),
     )
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def _has_null(doc: Column) -> Column:
-    return F.exists(F.try_variant_get(doc, "$.deps", "array<string>"), lambda x: x.isNull())
+def _has_null(value: Column) -> Column:
+    return F.exists(F.try_variant_get(value, "$", "array<string>"), lambda x: x.isNull())
 
 
 def parse_manifest(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
@@ -51,8 +51,8 @@ def parse_manifest(lines: DataFrame, seen: Observation | None = None) -> DataFra
     the number of records, and of those with errors of their own, in the same pass.
     """
     parsed = lines.withColumn("value", strip(F.col("value"))).filter("value <> ''").withColumn("doc", F.try_parse_json("value"))
-    is_object = F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT"))
-    errors = F.when(F.col("doc").isNull(), F.array(F.lit("invalid JSON"))).when(~is_object, F.array(F.lit("each JSONL record must be an object"))).otherwise(record_errors(F.col("doc")))
+    parsed = parsed.withColumn("fields", F.try_variant_get("doc", "$", "map<string,variant>"))  # null if it is no object
+    errors = F.when(F.col("doc").isNull(), F.array(F.lit("invalid JSON"))).when(F.col("fields").isNull(), F.array(F.lit("each JSONL record must be an object"))).otherwise(record_errors(F.col("fields")))
     checked = parsed.withColumn("errors", errors)
     fields = [F.when(F.size("errors") == 0, F.try_variant_get("doc", f"$.{f}", "string")).alias(f) for f in FIELDS]
     rows = checked.select("line", "errors", *fields, F.coalesce(F.try_variant_get("doc", "$.deps", "array<string>"), F.expr("cast(array() as array<string>)")).alias("deps"), F.coalesce(F.try_variant_get("doc", "$.unsafe", "boolean"), F.lit(False)).alias("unsafe"))
