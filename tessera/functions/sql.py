@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -12,7 +13,9 @@ from tessera.operators.arms import error_kind
 
 _STRING, _NUMBER, _FLAG = "string", "double", "boolean"
 
-#: Name, arguments with their types, and the column function; those with lambdas have no SQL text and are left out.
+_CHAT = "array<struct<role:string,content:string>>"
+
+#: Name, arguments with their types, and the column function.
 FUNCTIONS: dict[str, tuple[dict[str, str], Callable[..., Column]]] = {
     "has_only_words": ({"text": _STRING}, text.has_only_words),
     "is_reserved": ({"name": _STRING}, text.is_reserved),
@@ -34,14 +37,52 @@ FUNCTIONS: dict[str, tuple[dict[str, str], Callable[..., Column]]] = {
     "evaluation_class": ({"message": _STRING, "phase": _STRING}, classify.evaluation_class),
     "report_class": ({"message": _STRING, "phase": _STRING}, classify.report_class),
     "error_kind": ({"error": _STRING}, error_kind),
+    "code_signature": ({"source": _STRING, "name": _STRING}, text.code_signature),
+    "wordy_signature": ({"source": _STRING, "name": _STRING}, text.wordy_signature),
+    "wordy_prompt": ({"task": _STRING, "signature": _STRING}, lambda task, signature: text.user_prompt(task, "wordy", signature)),
+    "expected_value": ({"family": _STRING, "prompt": _STRING}, text.expected_value),
+    "first_message": ({"conversation": _CHAT, "wanted": _STRING}, text.first_message),
+    "resolve_path": ({"base": _STRING, "path": _STRING}, text.resolve_path),
+    "tokens": ({"text": _STRING}, text.tokens),
+    "read_escapes": ({"body": _STRING}, text.read_escapes),
+    "escape_item": ({"text": _STRING}, text.escape_item),
+    "unescape_item": ({"text": _STRING}, text.unescape_item),
+}
+
+#: Name, arguments, and the array of structs whose elements are the rows; the first column of the rows is their place.
+TABLES: dict[str, tuple[dict[str, str], Callable[..., Column]]] = {
+    "token_rows": ({"text": _STRING}, text.tokens),
+    "expected_rows": ({"family": _STRING, "prompt": _STRING}, text.expected_value),
 }
 
+_OPERATOR = re.compile(r"'(?:[^'\\]|\\.)*'|(?P<name>[-+*/%=<>!&|^~]+|\b(?:and|or|in|not))(?=\()", re.DOTALL)
+
+
+def sql_text(column: Column) -> str:
+    """A column as SQL: it prints as one but for operators, which it writes as functions, and whose names need quotes."""
+    printed = str(column).removeprefix("Column<'").removesuffix("'>")
+    return _OPERATOR.sub(lambda m: f"`{m['name']}`" if m["name"] else m[0], printed)
+
 
 def register(spark: SparkSession) -> list[str]:
-    """Creates the functions in the session; the optimizer puts their expressions in place of the calls."""
-    for name, (arguments, function) in FUNCTIONS.items():
-        plan = spark.createDataFrame([], ", ".join(f"{a} {kind}" for a, kind in arguments.items())).select(function(*map(F.col, arguments)))
-        body = plan._jdf.queryExecution().analyzed().expressions().head()  # the expression under its alias
+    """Creates the functions in the session; the optimizer puts their expressions in place of the calls.
+
+    Functions of arrays of structs are there as tables too, for `FROM t, LATERAL token_rows(text)`,
+    which is planned as one pass over t without a join.  Spark plans a LEFT JOIN LATERAL of them as an
+    inner one, so where rows without elements shall stay, use LATERAL VIEW OUTER on the array function.
+    """
+
+    def parts(arguments: dict[str, str], function: Callable[..., Column]):
         declared = ", ".join(f"{a} {kind}" for a, kind in arguments.items())
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({declared}) RETURNS {plan.schema[0].dataType.simpleString()} RETURN {body.child().sql()}")
-    return list(FUNCTIONS)
+        body = function(*map(F.col, arguments))
+        return declared, sql_text(body), spark.createDataFrame([], declared).select(body).schema[0].dataType
+
+    for name, (arguments, function) in FUNCTIONS.items():
+        declared, body, kind = parts(arguments, function)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({declared}) RETURNS {kind.simpleString()} RETURN {body}")
+    for name, (arguments, function) in TABLES.items():
+        declared, body, kind = parts(arguments, function)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.elementType)
+        fields = ", ".join(f"item.`{f.name}`" for f in kind.elementType)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({declared}) RETURNS TABLE(pos INT, {columns}) RETURN SELECT pos, {fields} FROM posexplode({body}) AS rows(pos, item)")
+    return [*FUNCTIONS, *TABLES]

@@ -143,7 +143,7 @@ def expected_value(family: Column, prompt: Column) -> Column:
     """struct<call,value>s that a function of the family must return for its prompt; null for other families."""
 
     def number(pattern: str, group: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(prompt, pattern, group), F.lit("")).cast("int")
+        return F.regexp_extract(prompt, pattern, group).try_cast("int")
 
     def case(call: str, value: Column) -> Column:
         return F.struct(F.lit(call).alias("call"), value.cast("string").alias("value"))

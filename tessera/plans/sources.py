@@ -135,21 +135,51 @@ def from_sql(spark, d):
         error_kind(concat('Error: Parse error: ', text)) AS kind, evaluation_class(text, 'compile') AS class FROM _documents""")
 
 
+def token_places(spark, d):
+    """Tokens of all documents by a table function in SQL: how many of each kind, and where the first and last of them stand."""
+    sql_functions.register(spark)
+    table(spark, d, "documents").select("doc_id", F.col("text").alias("body")).createOrReplaceTempView("_bodies")
+    return spark.sql("SELECT doc_id, kind, count(*) AS n, min(pos) AS first, max(pos) AS last FROM _bodies, LATERAL token_rows(body) GROUP BY doc_id, kind")
+
+
+def task_functions(spark, d):
+    """Tasks through the functions of signatures, prompts, paths, escapes and expected values, all called from SQL; tasks that expect nothing stay."""
+    sql_functions.register(spark)
+    tasks(spark, d).createOrReplaceTempView("_tasks")
+    return spark.sql(r"""SELECT id, code_signature(code, 'x') AS signature, wordy_signature(concat('function ', id, '\n\ttakes ', p_brand, '\nbegin\nend'), 'x') AS wordy,
+        wordy_prompt(p_brand, family) AS prompt, resolve_path('/data/x', concat('.././', id, '/../y', family)) AS path, read_escapes(escape_item(code)) AS code, unescape_item(escape_item(concat(p_brand, 'é'))) AS brand,
+        first_message(array(named_struct('role', 'system', 'content', 'no'), named_struct('role', 'user', 'content', p_brand)), 'user') AS message, pos, item.call, item.value
+        FROM (SELECT *, expected_value(family, prompt) AS cases FROM _tasks) LATERAL VIEW OUTER posexplode(cases) AS pos, item""")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (tokens, token_table, verbatim_items, routed_arms, written_tasks, manifest_scan, report_files, ordered_rows, most_common_class, arm_bars, progression, source_documents, from_sql)
+    for f in (tokens, token_table, verbatim_items, routed_arms, written_tasks, manifest_scan, report_files, ordered_rows, most_common_class, arm_bars, progression, source_documents, from_sql, token_places, task_functions)
 }
 
+_PIECES = r"""p AS (SELECT doc_id, unnest(k) AS x, generate_subscripts(k, 1) AS i, k FROM (SELECT doc_id,
+            regexp_extract_all(text, '(?s)\n *|note that[^\n]*|"(?:[^"\\]|\\.)*(?:"|\\?\z)|''[^'']*(?:''|\z)|[0-9]+(?:\.[0-9]+)?|[\p{L}\p{Nl}_][\p{L}\p{N}_]*|,|[^\n"'',0-9_\p{L}\p{Nl}]+') AS k FROM documents WHERE text IS NOT NULL))"""
+_KIND = rf"""CASE WHEN x[1] = chr(10) THEN 'newline' WHEN x[1] = ',' THEN 'comma' WHEN x[1] IN ('"', '''') THEN 'string' WHEN regexp_matches(x, '^[0-9]') THEN CASE WHEN contains(x, '.') THEN 'float' ELSE 'integer' END
+              WHEN starts_with(x, 'note that') OR NOT regexp_matches(x, '^[\p{{L}}\p{{Nl}}_]') THEN NULL WHEN x IN ('true', 'false') THEN 'boolean' WHEN x IN ({KEYWORDS}) THEN 'keyword' ELSE 'identifier' END"""
+_INDENTED = "x[1] = chr(10) AND k[i + 1] IS NOT NULL AND k[i + 1][1] <> chr(10)"
+
 SQL = {
-    "tokens": rf"""WITH p AS (SELECT doc_id, unnest(k) AS x, generate_subscripts(k, 1) AS i, k FROM (SELECT doc_id,
-            regexp_extract_all(text, '(?s)\n *|note that[^\n]*|"(?:[^"\\]|\\.)*(?:"|\\?\z)|''[^'']*(?:''|\z)|[0-9]+(?:\.[0-9]+)?|[\p{{L}}\p{{Nl}}_][\p{{L}}\p{{N}}_]*|,|[^\n"'',0-9_\p{{L}}\p{{Nl}}]+') AS k FROM documents WHERE text IS NOT NULL)),
-        t AS (SELECT doc_id, CASE WHEN x[1] = chr(10) THEN 'newline' WHEN x[1] = ',' THEN 'comma' WHEN x[1] IN ('"', '''') THEN 'string' WHEN regexp_matches(x, '^[0-9]') THEN CASE WHEN contains(x, '.') THEN 'float' ELSE 'integer' END
-              WHEN starts_with(x, 'note that') OR NOT regexp_matches(x, '^[\p{{L}}\p{{Nl}}_]') THEN NULL WHEN x IN ('true', 'false') THEN 'boolean' WHEN x IN ({KEYWORDS}) THEN 'keyword' ELSE 'identifier' END AS kind,
+    "tokens": rf"""WITH {_PIECES}, t AS (SELECT doc_id, {_KIND} AS kind,
             CASE WHEN x[1] = chr(10) THEN 1 WHEN x[1] = '''' THEN length(x) - CASE WHEN length(x) > 1 AND x[-1] = '''' THEN 2 ELSE 1 END
               WHEN x[1] = '"' THEN length(regexp_replace(regexp_replace(x, '(?s)\\.', '_', 'g'), '"', '', 'g')) WHEN starts_with(x, 'user_') THEN length(x) - 5 ELSE length(x) END AS chars FROM p
-          UNION ALL SELECT doc_id, 'indent', length((length(x) - 1)::VARCHAR) FROM p WHERE x[1] = chr(10) AND k[i + 1] IS NOT NULL AND k[i + 1][1] <> chr(10)
+          UNION ALL SELECT doc_id, 'indent', length((length(x) - 1)::VARCHAR) FROM p WHERE {_INDENTED}
           UNION ALL SELECT doc_id, 'end of file', 0 FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, kind, count(*) AS n, sum(chars)::BIGINT AS chars FROM t WHERE kind IS NOT NULL GROUP BY ALL""",
+    "token_places": f"""WITH {_PIECES}, t AS (SELECT doc_id, i, 0 AS j, {_KIND} AS kind FROM p UNION ALL SELECT doc_id, i, 1, 'indent' FROM p WHERE {_INDENTED}
+          UNION ALL SELECT doc_id, NULL, 0, 'end of file' FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id ORDER BY i NULLS LAST, j) - 1 AS pos FROM t WHERE kind IS NOT NULL)
+        SELECT doc_id, kind, count(*) AS n, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last FROM n GROUP BY ALL""",
+    "task_functions": f"""WITH {TASKS_SQL}, e AS (SELECT id, 0 AS pos, CASE family WHEN 'closure_shift_const' THEN '7' WHEN 'vec_pop_basic' THEN '' ELSE 'Ok(123)' END AS call,
+            CASE family WHEN 'closure_shift_const' THEN (number + 9)::VARCHAR WHEN 'vec_pop_basic' THEN 'Some(' || (number + 2) || ')' ELSE '123' END AS value
+          FROM tasks WHERE family IN ('closure_shift_const', 'vec_pop_basic', 'result_unwrap_or_const') UNION ALL SELECT id, 1, 'Err(String::from("x"))', number::VARCHAR FROM tasks WHERE family = 'result_unwrap_or_const')
+        SELECT id, signature, 'function ' || id || ' | takes ' || p_brand AS wordy, p_brand || repeat(chr(10), 2) || '{T.CONTRACT_MARKER}' || chr(10) || '`' || family || '`' || chr(10)
+          || 'Do not change the function name, parameters, or return type. You may add helper functions only if needed.' || repeat(chr(10), 2) || 'Write only valid wordy code for this task. Do not include explanations.' AS prompt,
+          '/data/y' || family AS path, code, p_brand || 'é' AS brand, p_brand AS message, pos, call, value FROM tasks LEFT JOIN e USING (id)""",
     # From what the programs are made of, without any pattern.
     "token_table": r"""WITH p AS (SELECT p_partkey, p_partkey::VARCHAR AS n, p_brand AS b, p_partkey % 2 = 0 AS even FROM part), t AS (
           SELECT p_partkey, unnest([('newline', chr(10), 1, 0), ('indent', '0', 2, 0), ('keyword', 'function', 2, 0), ('identifier', 'type_' || n, 2, 0), ('keyword', 'takes', 2, 0), ('identifier', 'été' || n, 2, 0),

@@ -204,16 +204,38 @@ def test_strip(spark):
 
 
 def test_functions_from_sql(spark):
-    """Every function says the same from SQL as as a column."""
-    names = sql.register(spark)
-    df = spark.createDataFrame([(t, p, f, x) for t in ("type", "Some", " a\t\nb 'q' \\", "```rust\nx\n```", None, "Error: Parse error: x", "fn f (x)") for p, f, x in (("compile", True, 1.0), ("transform", None, None))], "s string, p string, f boolean, x double")
+    """Every function says the same from SQL as as a column, and every table has its array's elements."""
+    assert sql.register(spark) == [*sql.FUNCTIONS, *sql.TABLES]
+    texts = (
+        "type", "Some", " a\t\nb 'q' \\", "```rust\nx\n```", None, "Error: Parse error: x", "fn f (x)", "pub fn f(x: u8)\n -> u8 {", "function é\nbegin", "", "../a/./b",
+        "say \"\\n\" note that\n  \\u{e9}\n", "adds 5 to input and returns 7. vec![1, 2, 3]", "it's 1.5,\r\x00\U0001f600",
+    )
+    phases = (("compile", True, 1.0), ("closure_shift_const", None, None), ("f", False, 0.0))
+    rows = [(t, *p, [("user", t), (p[0], "x")]) for t in texts for p in phases]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"n int, s string, p string, f boolean, x double, c {sql._CHAT}")
     df.createOrReplaceTempView("_samples")
-    columns = {"string": ["s", "p"], "boolean": ["f", "f", "f"], "double": ["x", "x"]}
-    for name in names:
-        arguments, function = sql.FUNCTIONS[name]
-        own = columns[next(iter(arguments.values()))][: len(arguments)]
-        called = spark.sql(f"SELECT {name}({', '.join(own)}) AS y FROM _samples").collect()
-        assert [r[0] for r in called] == [r[0] for r in df.select(function(*map(F.col, own))).collect()], name
+    columns = {"string": ["s", "p"], "boolean": ["f", "f", "f"], "double": ["x", "x"], sql._CHAT: ["c", "p"]}
+
+    def own(arguments):
+        return columns[next(iter(arguments.values()))][: len(arguments)]
+
+    names = list(sql.FUNCTIONS)
+    for some in (names[i::5] for i in range(5)):  # several in one query, as each query costs more than its rows
+        called = spark.sql(f"SELECT n, {', '.join(f'{f}({", ".join(own(sql.FUNCTIONS[f][0]))})' for f in some)} FROM _samples").collect()
+        columnwise = df.select("n", *[sql.FUNCTIONS[f][1](*map(F.col, own(sql.FUNCTIONS[f][0]))) for f in some]).collect()
+        assert sorted(called) == sorted(columnwise), some
+    for name, (arguments, function) in sql.TABLES.items():
+        given = ["p", "s"] if name == "expected_rows" else own(arguments)
+        got = spark.sql(f"SELECT n, r.* FROM _samples, LATERAL {name}({', '.join(given)}) r")
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        expected = df.select("n", F.posexplode(function(*map(F.col, given))).alias("pos", "item")).select("n", "pos", "item.*")
+        assert got.columns == expected.columns and sorted(got.collect()) == sorted(expected.collect()) and got.count()
+
+
+def test_sql_text(spark):
+    """What looks like an operator within a string stays as it is."""
+    for c in (F.lit("=(") == F.lit("=("), F.concat(F.lit("'and(' \\"), F.lit("or(")).isin("x", "'and(' \\or("), ~(F.lit(3) % 2 - 1 < 0) & (F.lit(2) >= 2)):
+        assert spark.range(1).selectExpr(sql.sql_text(c)).first()[0] is True
 
 
 def test_first_failed_phase(spark):
