@@ -8,7 +8,8 @@ each vertex the best it has seen, until a round hardly improves the lists.  Wher
 all kept neighbours are links, the list is saturated and may have lost some: the
 component of such a vertex is open, and its members are cut into units with a
 centre and a radius.  Every vector of the label that the triangle inequality does
-not rule out meets a unit's members; links are counted without writing pairs out.
+not rule out meets a unit's members, but for those so near to its centre that they
+link to all members, which are only counted; links are counted without writing pairs out.
 At last a sample is compared with all vectors; if too few of its links were found,
 the search goes on with other planes and longer lists, and after the last try all
 components are open, so that everything is compared.
@@ -16,6 +17,7 @@ components are open, so that everything is compared.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.worktables import write_table
 
+_log = logging.getLogger(__name__)
+
 THRESHOLD = 0.98
 NEIGHBOURS = 10
 ROUNDS = 8  # at most
@@ -40,8 +44,10 @@ CELLS = 64  # cells that one group of a round holds, on average
 AUDIT = 200  # vectors, in expectation, that are compared with all
 TARGET_RECALL = 0.97
 TRIES = 3
+SLICE = 512  # vectors that meet the centres of a group at a time
 SPLITS = 4  # times that a block that is too large is parted by further planes
 SLACK = 1e-6  # of angles, for rounding
+MAYBE, UNIT_GETS, VECTOR_GETS, JOINED = range(4)  # kinds of rows, see _reached
 CLOSE = 1e-12  # cosines nearer to the threshold than this are computed again, one product after another
 
 
@@ -231,28 +237,52 @@ def _refined(lists: DataFrame, vectors: DataFrame, n: int, k: int, threshold: fl
 
 
 def _reached(vectors: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """(unit, grp, id): the vectors of a label within a unit's radius and the threshold's angle.
-
-    units has (grp, unit, centre, radius).  About CENTRES vectors meet as many
-    centres in a group; a vector is sent once for every CENTRES units of its label.
+    """What the triangle inequality says of vectors and units of their label: (kind, x, y), of four kinds.
+
+    vectors has (grp, id, copies, vec, component_id, open), units (grp, unit,
+    component_id, part, parts, weight, centre, radius).  About CENTRES vectors meet
+    as many centres in a group; a vector is sent once for every CENTRES units of
+    its label.  A vector so near to a centre that it links to every member is
+    counted at once, without a row for each unit: UNIT_GETS (unit, total) is what each
+    of the unit's members gets, VECTOR_GETS (id, total) what the vector gets, JOINED the
+    components that it joins.  A member of the unit is no link of itself, so its own
+    copies are taken off it again.  MAYBE (unit, id) are vectors that may link to
+    some of the members.
     """
     a = vectors.groupBy("grp").agg(F.ceil(F.count("*") / CENTRES).alias("chunks"))
     b = units.groupBy("grp").agg(F.ceil(F.count("*") / CENTRES).alias("sets"))
     shape = write_table(a.join(b, "grp"), "descent-shape")
     zero = F.lit(0).cast("long")
-    rows = vectors.select("grp", "id", "vec").join(shape, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("set", F.explode(F.sequence(zero, F.col("sets") - 1)))
-    held = units.select("grp", "unit", "centre", "radius").join(shape, "grp").withColumn("set", F.pmod(F.xxhash64("unit"), F.col("sets"))).withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks") - 1)))
-    least = math.acos(threshold) + SLACK
+    rows = vectors.withColumn("h", F.xxhash64("id")).join(shape, "grp").withColumn("chunk", F.pmod("h", "chunks")).withColumn("set", F.explode(F.sequence(zero, F.col("sets") - 1)))
+    held = units.join(shape, "grp").withColumn("set", F.pmod(F.xxhash64("unit"), F.col("sets"))).withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+    angle = math.acos(threshold)
+
+    def meet(x: pd.DataFrame, c: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        ids, copies, is_open, own = (x[n].to_numpy() for n in ("id", "copies", "open", "component_id"))
+        similar = unit_rows(x["vec"]) @ c["centre"]
+        room = angle - SLACK - c["radius"]
+        inner = (room > 0) & (similar >= np.cos(np.maximum(room, 0)))
+        i, j = np.nonzero((similar >= np.cos(np.minimum(c["radius"] + angle + SLACK, math.pi)) - SLACK) & ~inner)
+        yield MAYBE, c["unit"][j], ids[i]
+        same = inner & (own[:, None] == c["component_id"])
+        member = same & is_open[:, None] & (x["h"].to_numpy()[:, None] % c["parts"] == c["part"])
+        yield UNIT_GETS, c["unit"], copies @ inner
+        yield VECTOR_GETS, ids, np.where(is_open, -copies * member.any(1), inner @ c["weight"])
+        i, j = np.nonzero(inner & ~same)
+        joined = np.unique(np.stack([own[i], c["component_id"][j]]), axis=1)
+        yield JOINED, joined[0], joined[1]
 
     def reach(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or c.empty:
-            return pd.DataFrame({"unit": [], "id": []})
-        near = unit_rows(x["vec"]) @ np.stack(c["centre"].to_numpy()).T >= np.cos(np.minimum(c["radius"].to_numpy() + least, math.pi)) - SLACK
-        i, j = np.nonzero(near)
-        return pd.DataFrame({"unit": c["unit"].to_numpy()[j], "id": x["id"].to_numpy()[i]})
+        out = [(MAYBE, np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(c):
+            held = {n: c[n].to_numpy() for n in ("unit", "component_id", "part", "parts", "weight", "radius")} | {"centre": np.stack(c["centre"].to_numpy()).T}
+            for at in range(0, len(x), SLICE):  # so that what a slice needs besides its rows is some megabytes
+                out += [o for o in meet(x.iloc[at : at + SLICE], held) if o[0] in (MAYBE, JOINED) or o[2].any()]
+        kind = np.repeat([k for k, _, _ in out], [len(x) for _, x, _ in out]).astype(np.int32)
+        return pd.DataFrame({"kind": kind, "x": np.concatenate([x for _, x, _ in out]), "y": np.concatenate([y for _, _, y in out])})
 
     keys = ["grp", "chunk", "set"]
-    return rows.drop("chunks", "sets").groupBy(*keys).cogroup(held.drop("chunks", "sets").groupBy(*keys)).applyInPandas(reach, "unit long, id long")
+    return rows.drop("chunks", "sets").groupBy(*keys).cogroup(held.drop("chunks", "sets").groupBy(*keys)).applyInPandas(reach, "kind int, x long, y long")
 
 
 def _complete(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -263,19 +293,22 @@ def _complete(vectors: DataFrame, threshold: float) -> DataFrame:
     """
     members = vectors.filter("open")
     sizes = members.groupBy("component_id").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
-    members = members.join(sizes, "component_id").withColumn("unit", F.xxhash64("component_id", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("parts", "open")
+    members = members.join(sizes, "component_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("unit", F.xxhash64("component_id", "part")).drop("open")
     members = write_table(members, "descent-members")
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit_rows(pdf["vec"])
         centre = x.mean(0)
         centre /= max(np.linalg.norm(centre), 1e-300)
-        return pd.DataFrame({"grp": pdf["grp"].head(1), "unit": pdf["unit"].head(1), "centre": [centre], "radius": np.arccos(np.clip(x @ centre, -1, 1)).max()})
+        unit = pdf[["grp", "unit", "component_id", "part", "parts"]].head(1)
+        return unit.assign(weight=pdf["copies"].sum(), centre=[centre], radius=np.arccos(np.clip(x @ centre, -1, 1)).max())
 
-    units = write_table(members.select("grp", "unit", "vec").groupBy("grp", "unit").applyInPandas(measure, "grp long, unit long, centre array<double>, radius double"), "descent-units")
+    unit_columns = "grp long, unit long, component_id long, part long, parts long, weight long, centre array<double>, radius double"
+    units = write_table(members.select("grp", "unit", "component_id", "part", "parts", "copies", "vec").groupBy("grp", "unit").applyInPandas(measure, unit_columns), "descent-units")
     reached = write_table(_reached(vectors, units, threshold), "descent-reached")
-    meets = write_table(reached.groupBy("unit").agg(F.ceil(F.count("*") / MEET).alias("parts")), "descent-meets")
-    x = reached.join(meets, "unit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    some = reached.filter(F.col("kind") == MAYBE).select(F.col("x").alias("unit"), F.col("y").alias("id"))
+    meets = write_table(some.groupBy("unit").agg(F.ceil(F.count("*") / MEET).alias("parts")), "descent-meets")
+    x = some.join(meets, "unit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
     x = x.join(vectors.select("id", "copies", "vec", "component_id", "open"), "id")
     y = members.select("unit", "id", "copies", "vec", "component_id").join(meets, "unit").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
@@ -292,7 +325,11 @@ def _complete(vectors: DataFrame, threshold: float) -> DataFrame:
             out.append(pd.DataFrame({"a": joined, "b": own["component_id"].iloc[0]}))
         return pd.concat([o for o in out if len(o)] or out).reindex(columns=["id", "links", "a", "b"]).astype("Int64")
 
-    found = x.groupBy("unit", "part").cogroup(y.groupBy("unit", "part")).applyInPandas(compare, "id long, links long, a long, b long")
+    compared = x.groupBy("unit", "part").cogroup(y.groupBy("unit", "part")).applyInPandas(compare, "id long, links long, a long, b long")
+    totals = reached.filter(F.col("kind") == UNIT_GETS).groupBy(F.col("x").alias("unit")).agg(F.sum("y").alias("links"))
+    counted = members.select("unit", "id").join(totals, "unit").select("id", "links").unionByName(reached.filter(F.col("kind") == VECTOR_GETS).select(F.col("x").alias("id"), F.col("y").alias("links")))
+    joined = reached.filter(F.col("kind") == JOINED).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = compared.unionByName(counted, allowMissingColumns=True).unionByName(joined, allowMissingColumns=True)
     return write_table(found.groupBy("id", "a", "b").agg(F.sum("links").alias("links")), "descent-complete")
 
 
@@ -336,7 +373,7 @@ def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, thr
     the other rows linked directly, copies included; component_id is the smallest
     key reachable; kept says that the key is its component's.  Many rows of one
     label, of one vector or of its multiples are compared in groups of bounded
-    size.  With at_random the first lists are random and only the descent finds
+    size.  The audited recall of each try is logged at level INFO.  With at_random the first lists are random and only the descent finds
     neighbours.  An empty table gives an empty result.  Other columns of df,
     whatever their names, are not carried.
     """
@@ -375,7 +412,12 @@ def near_duplicate_vectors(df: DataFrame, key: str, vector: str, label: str, thr
         complete = _complete(placed, threshold)
         counted = listed.unionByName(complete.filter("id is not null").select("id", "links"))
         degrees = write_table(counted.groupBy("id").agg(F.sum("links").alias("links")), "descent-degrees")
-        if attempt == TRIES or audit_recall(vectors, degrees, n, threshold) >= TARGET_RECALL:
+        if attempt == TRIES:
+            _log.info("everything was compared")
+            break
+        recall = audit_recall(vectors, degrees, n, threshold)
+        _log.info("try %d with lists of %d: audited recall %.4f, target %.2f", attempt + 1, k, recall, TARGET_RECALL)
+        if recall >= TARGET_RECALL:
             break
         k *= 2
     joined = components(complete.filter("a is not null").select("a", "b"), "a", "b").select(F.col("id").alias("component_id"), F.col("component_id").alias("whole"))

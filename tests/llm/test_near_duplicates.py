@@ -297,6 +297,31 @@ def test_links_between_tight_groups(spark):
     assert near_of(spark, x, labels) == expected
 
 
+@pytest.mark.parametrize(("unit", "centres", "part"), [(1024, 4096, 512), (16, 24, 7)])
+def test_vectors_that_link_to_whole_units(spark, monkeypatch, unit, centres, part):
+    """Dense groups, with copies, near others and with vectors of full and not full lists about them, are counted as by brute force, most without a row for each."""
+    from tessera.llm import nn_descent
+
+    monkeypatch.setattr(nn_descent, "UNIT", unit)
+    monkeypatch.setattr(nn_descent, "CENTRES", centres)
+    monkeypatch.setattr(nn_descent, "SLICE", part)
+    written = {}
+    write = nn_descent.write_table
+    monkeypatch.setattr(nn_descent, "write_table", lambda df, name: written.setdefault(name, write(df, name)) if name == "descent-reached" else write(df, name))
+    rng = np.random.default_rng(12)
+    axes = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+    tilted = lambda cosine, to: cosine * axes[0] + math.sqrt(1 - cosine**2) * axes[to]
+    groups = [(axes[0], 150, 1e-4), (tilted(0.99, 1), 60, 1e-3), (tilted(0.9803, 2), 4, 1e-4), (tilted(0.981, 3), 1, 0), (tilted(0.9795, 4), 30, 4e-4), (axes[5], 40, 0.02)]
+    x = np.concatenate([c + rng.standard_normal((n, 16)) * spread for c, n, spread in groups])
+    x = np.concatenate([x, x[:40], x[150:155], axes[6:9]])
+    labels = np.zeros(len(x), int)
+    assert near_of(spark, x, labels) == by_brute_force(x, labels)
+    kinds = {r["kind"]: r["count"] for r in written["descent-reached"].groupBy("kind").count().collect()}
+    assert kinds[nn_descent.UNIT_GETS] and kinds[nn_descent.VECTOR_GETS] and kinds[nn_descent.JOINED]
+    if unit == 16:  # if each vector and unit were a row, it would be more than this for the first group alone
+        assert kinds[nn_descent.MAYBE] < 150 * 150 / unit
+
+
 def test_everything_is_compared_when_no_try_finds_enough(spark, monkeypatch):
     from tessera.llm import nn_descent
 
