@@ -99,14 +99,21 @@ def code_signature(source: Column, name: Column) -> Column:
 
 def wordy_signature(source: Column, name: Column) -> Column:
     """The lines from `function <name>` (else the first function) up to `begin`, joined by bars."""
-    lines = F.transform(F.split(source, r"\R"), strip)
-    exact = F.array_position(lines, F.concat(F.lit("function "), name))
-    any_at = F.array_position(F.transform(lines, lambda x: x.startswith("function ")), F.lit(True))
-    start = F.when(exact > 0, exact).otherwise(any_at).cast("int")
-    rest = F.slice(lines, start, F.size(lines))
-    stop = F.array_position(rest, F.lit("begin")).cast("int")
-    head = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-    return F.when(start > 0, F.nullif(F.array_join(F.filter(head, lambda x: x != ""), " | "), F.lit("")))
+
+    def head(lines: Column) -> Column:
+        """The lines from the function's own (none if there is no function)."""
+        exact = F.array_position(lines, F.concat(F.lit("function "), name))
+        any_at = F.array_position(F.transform(lines, lambda x: x.startswith("function ")), F.lit(True))
+        start = F.coalesce(F.nullif(exact, F.lit(0)), F.nullif(any_at, F.lit(0)), F.size(lines) + 1).cast("int")
+        return F.slice(lines, start, F.size(lines))
+
+    def before_begin(lines: Column) -> Column:
+        stop = F.coalesce(F.nullif(F.array_position(lines, F.lit("begin")), F.lit(0)) - 1, F.size(lines)).cast("int")
+        return F.array_join(F.filter(F.slice(lines, F.lit(1), stop), lambda x: x != ""), " | ")
+
+    # Each step is bound to a variable, as the lines would be found anew wherever they are named.
+    bound = F.array(F.transform(F.split(source, r"\R"), strip))
+    return F.get(F.filter(F.transform(F.transform(bound, head), before_begin), lambda x: x != ""), 0)
 
 
 def strip_contract(prompt: Column) -> Column:

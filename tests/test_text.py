@@ -60,6 +60,12 @@ def test_wordy_signature(spark):
     assert value(spark, T.wordy_signature(F.col("c"), F.col("n")), c=code, n="f_1") == "function f_1 | takes x of i32 | returns i32"
     assert value(spark, T.wordy_signature(F.col("c"), F.col("n")), c=code, n="zzz") == "function other"
     assert value(spark, T.wordy_signature(F.col("c"), F.col("n")), c="nothing", n="zzz") is None
+    assert value(spark, T.wordy_signature(F.col("c"), F.col("n")), c="begin\nfunction a\nfunction f\n\n x", n="f") == "function f | x"
+    assert value(spark, T.wordy_signature(F.col("c"), F.col("n")), c="function a\nfunction b", n=None) == "function a | function b"
+    assert value(spark, T.wordy_signature(F.col("c"), F.col("n")), c=None, n="f") is None
+    # The lines are taken apart once, however often they are named.
+    plan = spark.range(1).select(T.wordy_signature(F.col("id").cast("string"), F.lit("f")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
 
 
 def test_strip_contract(spark):
