@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.classify import failure_phase, report_class
 from tessera.operators.score import FLAGS, pass_counts
 
 
-def result_rows(reports: DataFrame, arms: tuple[str, ...], *keys: str) -> DataFrame:
-    """One row for each result of each arm of report documents, with the reports' keys."""
-    arm = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a)["rows"].alias("rows")) for a in arms])).alias("a")
-    return reports.select(*keys, arm).select(*keys, F.col("a.arm").alias("arm"), F.explode("a.rows").alias("r")).select(*keys, "arm", "r.id", "r.family", *[f"r.{f}" for f in FLAGS], *[f"r.{f[:-3]}_error" for f in FLAGS])
+def result_rows(reports: DataFrame, arms: tuple[str, ...], *keys: str, **figures: Callable[[Column], Column]) -> DataFrame:
+    """One row for each result of each arm of report documents, with the reports' keys, and figures of its arm's report by name."""
+    by_arm = F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a)["rows"].alias("rows"), *[f(F.col(a)).alias(n) for n, f in figures.items()]) for a in arms]))
+    # A column of its own, as else each result would carry its arm's whole list along.
+    rows = reports.select(*keys, by_arm).select(*keys, "arm", *figures, F.explode("rows").alias("r"))
+    return rows.select(*keys, "arm", *figures, "r.id", "r.family", *[f"r.{f}" for f in FLAGS], *[f"r.{f[:-3]}_error" for f in FLAGS])
 
 
 def mean_std(rates: DataFrame, keys: list[str], *measures: str) -> DataFrame:

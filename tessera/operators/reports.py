@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.classify import evaluation_class, failure_phase
 from tessera.functions.text import round6, safe_ratio
 from tessera.operators.aggregate import mean_std, report_taxonomy
-from tessera.operators.score import failures, histogram, pass_counts, top_per_group
+from tessera.operators.score import FLAGS, failures, histogram, pass_counts, top_per_group
 
 RATES = ("compile_at_1", "test_at_1", "transform_rate")
 
@@ -26,17 +27,42 @@ def _as_map(counts: DataFrame, keys: list[str], name: str, value: Column, alias:
     return counts.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(name), value.alias("value"))))).alias(alias))
 
 
+def _cells(results: DataFrame, at: list[str], *more: Column) -> DataFrame:
+    """Counts by at, family, failure phase and class (both null where nothing failed), with more aggregates."""
+    phase, message = failure_phase(*[F.col(f) for f in FLAGS]), F.coalesce(*[F.when(F.col("failure_phase") == f[:-3], F.col(f"{f[:-3]}_error")) for f in FLAGS], F.lit(""))
+    known = results.withColumn("failure_phase", phase)
+    known = known.withColumn("failure_class", F.when(F.col("failure_phase").isNotNull(), evaluation_class(message, F.col("failure_phase"))))
+    passed = [F.count_if(f).alias(n) for f, n in zip(FLAGS, ("transform", "compile", "test"), strict=True)]
+    return known.groupBy(*at, "family", "failure_phase", "failure_class").agg(F.count("*").alias("total"), *passed, *more)
+
+
+def _reports(cells: DataFrame, at: list[str], *more: Column) -> DataFrame:
+    """One row for each of at, with more aggregates; the maps come from the cells' list, which has few entries."""
+    totals = [F.sum("total").alias("total"), *[F.sum(n).alias(f"{n}_pass") for n in ("transform", "compile", "test")]]
+    entry = F.struct("family", "failure_phase", "failure_class", "total", "compile", "test")
+    found = cells.groupBy(*at).agg(*totals, F.collect_list(entry).alias("_cells"), *more)
+
+    def counted(name: str, value, cells: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c[name])))
+        return F.map_from_arrays(names, F.transform(names, lambda n: value(F.filter(cells, lambda c: c[name].eqNullSafe(n)))))
+
+    def total(of: str):
+        return lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + c[of])
+
+    family = lambda cells: F.struct(*[total(n)(cells).alias(n) for n in ("total", "compile", "test")])
+    failed = F.filter("_cells", lambda c: c["failure_phase"].isNotNull())
+    return found.withColumns({
+        **{n: safe_ratio(F.col(p), F.col("total")) for n, p in (("transform_rate", "transform_pass"), ("compile_at_1", "compile_pass"), ("test_at_1", "test_pass"))},
+        "per_family": counted("family", family, F.col("_cells")),
+        "failure_phase_counts": counted("failure_phase", total("total"), failed),
+        "failure_taxonomy": counted("failure_class", total("total"), failed),
+    }).drop("_cells")
+
+
 def arm_reports(results: DataFrame, *keys: str) -> DataFrame:
     """One row for each of keys and arm: passes, rates, and counts by family, failure phase and class as maps."""
     at = [*keys, "arm"]
-    failed = failures(results)
-    family = F.struct(F.col("total"), F.col("compile_pass").alias("compile"), F.col("test_pass").alias("test"))
-    by_family = _as_map(pass_counts(results, *at, "family"), at, "family", family, "per_family")
-    phases = _as_map(histogram(failed, *at, "failure_phase"), at, "failure_phase", F.col("count"), "failure_phase_counts")
-    classes = _as_map(histogram(failed, *at, "failure_class"), at, "failure_class", F.col("count"), "failure_taxonomy")
-    joined = pass_counts(results, *at).join(by_family, at).join(phases, at, "left").join(classes, at, "left")
-    none = F.expr("cast(map() as map<string,bigint>)")
-    return joined.withColumns({c: F.coalesce(c, none) for c in ("failure_phase_counts", "failure_taxonomy")})
+    return _reports(_cells(results, at), at)
 
 
 def seed_documents(results: DataFrame, first: str, second: str, *keys: str) -> DataFrame:
@@ -51,9 +77,12 @@ def documents_with_rows(results: DataFrame, first: str, second: str, *keys: str)
 
     All rows of a key and arm are in one document, so keys must be such that these are few.
     """
+    at = [*keys, "arm"]
     row = F.struct("id", "family", "arm", *[c for f in ("transform", "compile", "test") for c in (f"{f}_ok", f"{f}_error")])
-    rows = results.groupBy(*keys, "arm").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    reports = arm_reports(results, *keys).join(rows, [*keys, "arm"])
+    # Dealt out by key once; no later step has to move rows again.
+    cells = _cells(results.repartition(*keys), at, F.collect_list(row).alias("rows"))
+    reports = _reports(cells, at, F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+    reports = reports.select(*[c for c in reports.columns if c != "rows"], "rows")
     body = F.struct(*[c for c in reports.columns if c not in keys])
     return reports.groupBy(*keys).pivot("arm", [first, second]).agg(F.first(body))
 

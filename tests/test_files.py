@@ -131,3 +131,13 @@ def test_documents_with_their_rows(spark, tmp_path):
     back = readers.json_documents(spark, f"seed long, {readers.report_schema('base', 'wordy')}", f"{tmp_path}/r/*.json").collect()
     assert {r["seed"]: (r["base"]["total"], r["wordy"] and len(r["wordy"]["rows"])) for r in back} == {0: (6, 12), 1: (6, None)}
     assert json.loads((tmp_path / "r/0.json").read_text())["base"]["rows"][0]["transform_error"] == "Parse error"
+
+
+def test_documents_move_rows_once(spark):
+    """Counts and rows of a document come from one pass over the results, dealt out once."""
+    results = spark.range(100).select(
+        "id", F.lit("f").alias("family"), F.when(F.col("id") % 2 == 0, "base").otherwise("wordy").alias("arm"), (F.col("id") % 5).alias("seed"), *[F.lit(True).alias(f"{p}_ok") for p in ("transform", "compile", "test")],
+        *[F.lit("").alias(f"{p}_error") for p in ("transform", "compile", "test")],
+    )
+    plan = reports.documents_with_rows(results, "base", "wordy", "seed")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Range (") == 1
